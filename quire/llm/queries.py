@@ -29,6 +29,16 @@ def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    dice = F.crc32(F.col("doc_id").cast("string"))
+    held_out = F.coalesce(F.pmod(dice, F.lit(7)) == 2, F.lit(False))
+    out = score(docs, ~held_out, F.pmod(F.floor(dice / 7), F.lit(8)) == 0)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import drop_common_lines
 
@@ -54,7 +64,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_substring_dedup, op4_perspective_rotation, op8_line_dedup, op9_decontamination, op10_entropy_mixing)
+    f.__name__: f for f in (op2_substring_dedup, op4_perspective_rotation, op5_deleted_interpolation, op8_line_dedup, op9_decontamination, op10_entropy_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
