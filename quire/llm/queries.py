@@ -39,6 +39,12 @@ def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .arc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"), "page_id", "url", "html", least_bytes=0)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import drop_common_lines
 
@@ -64,7 +70,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_substring_dedup, op4_perspective_rotation, op5_deleted_interpolation, op8_line_dedup, op9_decontamination, op10_entropy_mixing)
+    f.__name__: f for f in (op2_substring_dedup, op4_perspective_rotation, op5_deleted_interpolation, op6_arc_to_warc, op8_line_dedup, op9_decontamination, op10_entropy_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -94,6 +100,13 @@ SELECT conv_id, speaker, segment, CAST(count(*) AS INT) AS n_turns, CAST(count(*
   string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
   coalesce(list({'start': CAST(behind - length(body) AS INT), 'end': CAST(behind AS INT)} ORDER BY turn NULLS FIRST, role, text) FILTER (own), []) AS mask
 FROM y GROUP BY conv_id, speaker, segment""",
+    "op6_arc_to_warc": r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(hex, 5 * g + 1, 5))::BIGINT >> (15 - 5 * q)) & 31 AS INT), 1), '' ORDER BY g, q)
+  FROM range(8) a(g), range(4) c(q)) AS payload_digest FROM p),
+f AS (SELECT hex, min(page_id) AS first_id FROM p GROUP BY hex)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM b JOIN f USING (hex)""",
     "op8_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS i FROM d),
