@@ -45,6 +45,12 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"), "page_id", "url", "html", least_bytes=0)
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near import classes
+
+    return classes(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "class_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import drop_common_lines
 
@@ -70,7 +76,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_substring_dedup, op4_perspective_rotation, op5_deleted_interpolation, op6_arc_to_warc, op8_line_dedup, op9_decontamination, op10_entropy_mixing)
+    f.__name__: f for f in (op2_substring_dedup, op4_perspective_rotation, op5_deleted_interpolation, op6_arc_to_warc, op7_order_minhash, op8_line_dedup, op9_decontamination, op10_entropy_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
