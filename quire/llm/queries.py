@@ -23,6 +23,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    network = train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return classify(docs, network, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import rotate
 
@@ -76,7 +85,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_substring_dedup, op4_perspective_rotation, op5_deleted_interpolation, op6_arc_to_warc, op7_order_minhash, op8_line_dedup, op9_decontamination, op10_entropy_mixing)
+    f.__name__: f for f in (op2_substring_dedup, op3_byte_cnn_quality, op4_perspective_rotation, op5_deleted_interpolation, op6_arc_to_warc, op7_order_minhash, op8_line_dedup, op9_decontamination, op10_entropy_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
