@@ -26,6 +26,8 @@ DEPTH, FILTERS = 8, 24
 #: Labelled rows to learn from at most, and bytes of each that a training pass sees (whole chunks drawn
 #: anew from all over the text in every pass). Scores always see the whole text.
 SAMPLE, SEEN, PASSES, GROUP = 4_000, 2_048, 10, 64
+#: Updates of the weights at least.
+UPDATES = 400
 BATCH = 1_500_000
 #: Bytes of a labelled text that the driver holds at most: a stretch from a place its key's hash chooses.
 HELD = 100_000
@@ -133,6 +135,7 @@ class Network:
         # both labels weigh the same up to the square root of their imbalance
         weight = np.where(labels > 0, (0.5 / good) ** 0.5, (0.5 / (1 - good)) ** 0.5).astype(np.float32)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        passes = max(passes, -(-UPDATES * GROUP // len(texts)))  # small samples are seen more often
         t, total = 0, passes * -(-len(texts) // GROUP)
         for _ in range(passes):
             order = r.permutation(len(texts))

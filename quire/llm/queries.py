@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(20)) == 0, "vec_id", "embedding", k=20)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import cut_repeats
 
@@ -85,7 +91,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_substring_dedup, op3_byte_cnn_quality, op4_perspective_rotation, op5_deleted_interpolation, op6_arc_to_warc, op7_order_minhash, op8_line_dedup, op9_decontamination, op10_entropy_mixing)
+    f.__name__: f for f in (op1_rp_forest, op2_substring_dedup, op3_byte_cnn_quality, op4_perspective_rotation, op5_deleted_interpolation, op6_arc_to_warc, op7_order_minhash, op8_line_dedup, op9_decontamination, op10_entropy_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
