@@ -197,10 +197,14 @@ def change_state(state: DataFrame | None, docs: DataFrame, sign: int, column: st
     return state.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(merge, STATE)
 
 
-def drop_common_lines(docs: DataFrame, state: DataFrame | None = None, column: str = "text", least_docs: int = 10, least_chars: int = 1) -> DataFrame:
+def drop_common_lines(docs: DataFrame, state: DataFrame | None = None, column: str = "text", least_docs: int = 10, least_chars: int = 1, spare_copies: bool = False) -> DataFrame:
     """Documents without the lines whose key is in at least ``least_docs`` documents of the state
     (None: of docs themselves). The columns of docs with the text cut, then n_lines (before) and
-    n_dropped."""
+    n_dropped.
+
+    spare_copies: documents that consist of common lines for the most part (nothing would be left, or
+    three lines and half of the characters would go) are copies of each other rather than holders of
+    boilerplate. They stay whole, for a near-dedup to keep one of them."""
     chunks = chunk_count(docs, column)
     shards = shard_count(chunks)
     if state is not None:
@@ -239,6 +243,10 @@ def drop_common_lines(docs: DataFrame, state: DataFrame | None = None, column: s
         for text in row_texts(left, column):
             lines, keys = line_keys(text, least_chars)
             kept = [x for x, k in zip(lines, keys, strict=True) if k not in common]
+            if spare_copies and len(kept) < len(lines):
+                rest = sum(map(len, kept))
+                if not rest or (len(lines) - len(kept) >= 3 and 2 * rest < sum(map(len, lines))):
+                    kept = lines
             texts.append(b"\n".join(kept))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))

@@ -293,10 +293,12 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", column: str = "text", **how) -> DataFrame:
     """The document of the least key of each class. All columns of docs."""
-    # of rows that are equal in key and text, one
-    own = classes(docs, key, column, **how).filter(F.col(key).eqNullSafe(F.col("class_id"))).groupBy(F.col(key).alias("_key"), F.col("node").alias("_node")).agg(F.lit(1).alias("_one"))
-    least = own.groupBy("_key").agg(F.min("_node").alias("_node")).withColumnRenamed("_key", "k")  # equal keys with other texts: one of them
+    own = classes(docs, key, column, **how).filter(F.col(key).eqNullSafe(F.col("class_id"))).groupBy(F.col(key).alias("k"), "node").agg(F.count(F.lit(1)).alias("rows"))
+    # equal keys with other texts: one of them
+    own = own.groupBy("k").agg(F.min(F.struct("node", "rows")).alias("o")).select("k", F.col("o.node").alias("node"), F.col("o.rows").alias("rows"))
     rows = boxed(docs)
     node = F.unhex(F.md5(F.coalesce(F.col(f"row.`{column}`"), F.lit("")).cast("binary")))
-    kept = rows.join(least, F.col(f"row.`{key}`").eqNullSafe(F.col("k")) & (node == F.col("_node")))
-    return unboxed(kept.dropDuplicates(["k", "_node"]), docs)
+    kept = rows.join(own, F.col(f"row.`{key}`").eqNullSafe(F.col("k")) & (node == F.col("node")))
+    if (own.agg(F.max("rows")).first()[0] or 0) > 1:  # rows that are equal in key and text
+        kept = kept.dropDuplicates(["k", "node"])
+    return unboxed(kept, docs)
