@@ -41,7 +41,9 @@ def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import rotate
 
-    return rotate(table(spark, sf_dir, "conversations"))
+    out = rotate(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return out.withColumn("mask", mask)
 
 
 def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,7 @@ x AS (
 y AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, segment ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS behind FROM x)
 SELECT conv_id, speaker, segment, CAST(count(*) AS INT) AS n_turns, CAST(count(*) FILTER (own) AS INT) AS n_own,
   string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
-  coalesce(list({'start': CAST(behind - length(body) AS INT), 'end': CAST(behind AS INT)} ORDER BY turn NULLS FIRST, role, text) FILTER (own), []) AS mask
+  coalesce(string_agg(CAST(behind - length(body) AS VARCHAR) || '-' || CAST(behind AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS mask
 FROM y GROUP BY conv_id, speaker, segment""",
     "op6_arc_to_warc": r"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
