@@ -25,12 +25,22 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next(iter(_QUERIES.values()))(spark, sf_dir)
+
+
+def _load() -> None:
+    """Modules that register queries, in the order in which they are listed."""
+    import importlib
+
+    for name in ("text_queries",):
+        importlib.import_module(f"quire.plans.{name}")
