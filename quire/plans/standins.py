@@ -119,3 +119,87 @@ DICT_SQL = f"{TOKENS_SQL}, dict AS (SELECT word, ntile(10) OVER (ORDER BY n DESC
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+# Chunks, event logs, terms, hints, cards, books ----------------------------------------------------
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(task, idx, source, translated, kind, stage, heading): turns as units of work."""
+    rows = pairs(spark, sf_dir).filter("task >= 0")
+    rows = rows.withColumn("idx", F.row_number().over(Window.partitionBy("task").orderBy("idx")) - 1)
+    mix = F.col("task") + F.col("idx")
+    kind = F.when(mix % 10 == 7, "reference").when(mix % 10 == 8, "protectedMetadata").when(mix % 10 == 9, "pdfTable").otherwise("body")
+    done = (F.col("task") + 2 * F.col("idx")) % 7 != 0
+    stages = F.array(*[F.lit(x) for x in ("translated", "termConsistencyApplied", "residualReviewed", "mergeReady")])
+    stage = (
+        F.when(~done & (F.col("task") % 3 == 0), "translationFailed").when(~done, "pending").when(kind != "body", "protectedPassthrough")
+        .otherwise(F.element_at(stages, (mix % 4 + 1).cast("int")))
+    )
+    heading = F.when(F.col("idx") % 3 == 0, F.concat(F.lit("Heading "), F.col("task") % 5, F.lit("."), F.col("idx")))
+    return rows.select("task", F.col("idx").cast("long").alias("idx"), "source", F.when(done, F.col("target")).alias("translated"), kind.alias("kind"), stage.alias("stage"), heading.alias("heading"))
+
+
+CHUNKS_SQL = (
+    f"{PAIRS_SQL}, c0 AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY idx) - 1 AS idx, source, target FROM p WHERE task >= 0), c1 AS (SELECT *, (task + 2 * idx) % 7 <> 0 AS done, "
+    "CASE (task + idx) % 10 WHEN 7 THEN 'reference' WHEN 8 THEN 'protectedMetadata' WHEN 9 THEN 'pdfTable' ELSE 'body' END AS kind FROM c0), "
+    "chunks AS (SELECT task, idx, source, CASE WHEN done THEN target END AS translated, kind, CASE WHEN NOT done AND task % 3 = 0 THEN 'translationFailed' WHEN NOT done THEN 'pending' WHEN kind <> 'body' THEN 'protectedPassthrough' "
+    "ELSE ['translated', 'termConsistencyApplied', 'residualReviewed', 'mergeReady'][(task + idx) % 4 + 1] END AS stage, CASE WHEN idx % 3 = 0 THEN 'Heading ' || task % 5 || '.' || idx END AS heading FROM c1)"
+)
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(task, seq, ts, stage, message, progress)."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    stage = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "chunk_translated").when(F.col("event_type") == "click", "pipeline_stage").when(F.col("event_type") == "purchase", "chunk_structure_check").otherwise("error")
+    ms = F.floor(F.col("value") * 2000).cast("long")
+    message = F.concat(F.lit("index="), F.col("event_id") % 97, F.lit("; elapsed_ms="), ms, F.lit("; llm_elapsed_ms="), F.floor(ms / 2), F.lit("; wait_ms="), k, F.lit("; mismatch="), k % 2, F.lit("; stage=s"), k % 4)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), "ts", stage.alias("stage"), message.alias("message"), (F.col("event_id") % 101).alias("progress"))
+
+
+LOG_SQL = (
+    "log AS (SELECT user_id AS task, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'chunk_translated' WHEN 'click' THEN 'pipeline_stage' WHEN 'purchase' THEN 'chunk_structure_check' ELSE 'error' END AS stage, "
+    "'index=' || event_id % 97 || '; elapsed_ms=' || ms || '; llm_elapsed_ms=' || ms // 2 || '; wait_ms=' || k || '; mismatch=' || k % 2 || '; stage=s' || k % 4 AS message, event_id % 101 AS progress "
+    "FROM (SELECT *, CAST(floor(value * 2000) AS BIGINT) AS ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"
+)
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(task, chunk, pos, source, translation, confidence): confirmed terms."""
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 200).alias("task"), F.col("l_linenumber").cast("long").alias("chunk"), F.col("l_orderkey").alias("pos"), F.concat(F.when(F.col("l_suppkey") % 2 == 0, "Term ").otherwise("term "), F.col("l_partkey") % 50).alias("source"),
+        F.concat(F.lit("T"), F.col("l_suppkey") % 4).alias("translation"), (F.col("l_quantity").cast("long") + 60).alias("confidence"),
+    )
+
+
+TERMS_SQL = "terms AS (SELECT l_orderkey % 200 AS task, CAST(l_linenumber AS BIGINT) AS chunk, l_orderkey AS pos, CASE WHEN l_suppkey % 2 = 0 THEN 'Term ' ELSE 'term ' END || l_partkey % 50 AS source, 'T' || l_suppkey % 4 AS translation, CAST(l_quantity AS BIGINT) + 60 AS confidence FROM lineitem)"
+
+
+def hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(task, id, source, target, enforcement, occurrences, first_chunk, n_chunks): proper nouns."""
+    return table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") % 20).alias("task"), F.col("p_partkey").alias("id"), F.col("p_name").alias("source"), F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("T"), F.col("p_partkey") % 50)).alias("target"),
+        F.when(F.col("p_size") % 3 == 0, "contextual").otherwise("strict").alias("enforcement"), F.col("p_size").cast("long").alias("occurrences"), (F.col("p_size") % 7).cast("long").alias("first_chunk"), (F.col("p_size") % 5).cast("long").alias("n_chunks"),
+    )
+
+
+HINTS_SQL = "hints AS (SELECT p_partkey % 20 AS task, p_partkey AS id, p_name AS source, CASE WHEN p_partkey % 4 <> 0 THEN 'T' || p_partkey % 50 END AS target, CASE WHEN p_size % 3 = 0 THEN 'contextual' ELSE 'strict' END AS enforcement, CAST(p_size AS BIGINT) AS occurrences, CAST(p_size % 7 AS BIGINT) AS first_chunk, CAST(p_size % 5 AS BIGINT) AS n_chunks FROM part)"
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book, word, quality, minutes, ts, seq): reviews of cards, which are readings too."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("book"), F.concat("event_type", F.get_json_object("props", "$.k").cast("long") % 5).alias("word"), (F.col("event_id") % 6).alias("quality"), F.col("value").alias("minutes"), "ts", F.col("event_id").alias("seq"))
+
+
+REVIEWS_SQL = "reviews AS (SELECT user_id AS book, event_type || CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS word, event_id % 6 AS quality, value AS minutes, ts, event_id AS seq FROM events)"
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, title, category, progress)."""
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_mktsegment")).otherwise("").alias("category"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(F.col("c_acctbal") / 80).cast("double"))).alias("progress")
+    )
+
+
+BOOKS_SQL = "books AS (SELECT c_custkey AS id, c_name AS title, CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment ELSE '' END AS category, greatest(0.0, least(100.0, CAST(floor(c_acctbal / 80) AS DOUBLE))) AS progress FROM customer)"
+TODAY, NOW = "2024-01-30", "2024-01-31 00:00:00"
