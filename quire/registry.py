@@ -42,5 +42,5 @@ def _load() -> None:
     """Modules that register queries, in the order in which they are listed."""
     import importlib
 
-    for name in ("text_queries", "metric_queries"):
+    for name in ("term_queries", "text_queries", "metric_queries"):
         importlib.import_module(f"quire.plans.{name}")
