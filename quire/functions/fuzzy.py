@@ -27,29 +27,15 @@ def column(f: Callable, kind: str) -> Callable[..., Column]:
 
 
 def _named(f: Callable, batch: Callable) -> Callable:
-    """A batch function with as many named arguments as f, as Spark reads its signature."""
+    """A batch function with as many named, annotated arguments as f: Spark reads its signature."""
     import inspect
 
     import pandas as pd
 
     n = len([p for p in inspect.signature(f).parameters.values() if p.default is p.empty])
-    if n == 1:
-
-        def one(a: pd.Series) -> pd.Series:
-            return batch(a)
-
-        return one
-    if n == 2:
-
-        def two(a: pd.Series, b: pd.Series) -> pd.Series:
-            return batch(a, b)
-
-        return two
-
-    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return batch(a, b, c)
-
-    return three
+    out = {1: lambda a: batch(a), 2: lambda a, b: batch(a, b), 3: lambda a, b, c: batch(a, b, c)}[n]
+    out.__annotations__ = dict.fromkeys(("a", "b", "c")[:n], pd.Series) | {"return": pd.Series}
+    return out
 
 
 def fnv1a64(text: str) -> str:

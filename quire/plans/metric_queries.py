@@ -101,18 +101,18 @@ q("agg26_lowest_level", lambda s, d: table(s, d, "orders").select("o_orderkey",
 
 # --- insights
 CAL = f"cal AS (SELECT CAST(unnest(generate_series(DATE '{TODAY}' - INTERVAL 29 DAY, DATE '{TODAY}', INTERVAL 1 DAY)) AS DATE) AS day)"
-DAYS = f"{REVIEWS_SQL}, {CAL}, days AS (SELECT day, coalesce(total, 0.0) AS total FROM cal LEFT JOIN (SELECT CAST(ts AS DATE) AS day, sum(minutes) AS total FROM reviews WHERE book % 40 = 3 GROUP BY 1) USING (day))"
-one_book = lambda s, d: reviews(s, d).filter("book % 40 = 3")
-q("agg27_minutes_per_day", lambda s, d: I.per_day(one_book(s, d), TODAY, 30, "minutes").withColumn("total", F.round("total", 6)), f"WITH {DAYS} SELECT day, round(total, 6) AS total FROM days")
+DAYS = f"{REVIEWS_SQL}, {CAL}, days AS (SELECT day, coalesce(total, 0.0) AS total FROM cal LEFT JOIN (SELECT CAST(ts AS DATE) AS day, sum(minutes) AS total FROM reviews WHERE minutes > 48 GROUP BY 1) USING (day))"
+long_sessions = lambda s, d: reviews(s, d).filter("minutes > 48")
+q("agg27_minutes_per_day", lambda s, d: I.per_day(long_sessions(s, d), TODAY, 30, "minutes").withColumn("total", F.round("total", 6)), f"WITH {DAYS} SELECT day, round(total, 6) AS total FROM days")
 q("agg28_minutes_per_book", lambda s, d: I.minutes_per_book(reviews(s, d)).withColumn("minutes", F.round("minutes", 6)), f"WITH {REVIEWS_SQL} SELECT book, round(sum(minutes), 6) AS minutes FROM reviews GROUP BY book HAVING sum(minutes) > 0")
 q("agg29_reviews_per_day", lambda s, d: I.per_day(reviews(s, d), TODAY, 7), f"WITH {REVIEWS_SQL}, {CAL} SELECT day, coalesce(total, 0) AS total FROM (SELECT * FROM cal WHERE day > DATE '{TODAY}' - INTERVAL 7 DAY) LEFT JOIN (SELECT CAST(ts AS DATE) AS day, count(*) AS total FROM reviews GROUP BY 1) USING (day)")
 q("agg30_length_buckets", lambda s, d: I.length_buckets(dictionary(s, d)), f"WITH {DICT_SQL} SELECT CASE WHEN length(word) <= 5 THEN '≤5' WHEN length(word) <= 9 THEN '6–9' ELSE '10+' END AS label, count(*) AS n FROM dict GROUP BY 1")
 q("agg31_average_progress", lambda s, d: I.average_progress(books(s, d)), f"WITH {BOOKS_SQL} SELECT CAST(coalesce(round(avg(progress)), 0) AS BIGINT) AS average FROM books")
-q("agg32_summary", lambda s, d: I.summary(books(s, d), I.per_day(one_book(s, d), TODAY, 30, "minutes")), f"WITH {DAYS}, {BOOKS_SQL} SELECT * FROM (SELECT count(*) AS books, count(*) FILTER (progress = 0) AS not_started, count(*) FILTER (progress > 0 AND progress < 100) AS active, count(*) FILTER (progress >= 100) AS finished FROM books), (SELECT round(sum(total), 6) AS minutes, count(*) FILTER (total > 0) AS active_days, (SELECT day FROM days ORDER BY total DESC, day LIMIT 1) AS peak_day FROM days)")
+q("agg32_summary", lambda s, d: I.summary(books(s, d), I.per_day(long_sessions(s, d), TODAY, 30, "minutes")), f"WITH {DAYS}, {BOOKS_SQL} SELECT * FROM (SELECT count(*) AS books, count(*) FILTER (progress = 0) AS not_started, count(*) FILTER (progress > 0 AND progress < 100) AS active, count(*) FILTER (progress >= 100) AS finished FROM books), (SELECT round(sum(total), 6) AS minutes, count(*) FILTER (total > 0) AS active_days, (SELECT day FROM days ORDER BY total DESC, day LIMIT 1) AS peak_day FROM days)")
 q("agg33_levels", lambda s, d: I.levels(reviews(s, d).select(F.regexp_replace("word", "[0-9]", "").alias("word")), dictionary(s, d)), f"WITH {DICT_SQL}, {REVIEWS_SQL} SELECT coalesce(rank, -1) AS rank, count(*) AS n FROM (SELECT regexp_replace(word, '[0-9]', '', 'g') AS word FROM reviews) LEFT JOIN dict USING (word) GROUP BY 1")
 q("agg34_retention", lambda s, d: I.retention(reviews(s, d)), f"WITH {REVIEWS_SQL} SELECT CAST(round(100.0 * count(*) FILTER (quality >= 3) / count(*)) AS BIGINT) AS retention FROM reviews")
 q("agg34_quality_histogram", lambda s, d: I.quality_histogram(reviews(s, d)), f"WITH {REVIEWS_SQL} SELECT quality, count(seq) AS n FROM (SELECT unnest(generate_series(0, 5)) AS quality) LEFT JOIN reviews USING (quality) GROUP BY quality")
 q("agg35_year_heat", lambda s, d: I.year_heat(reviews(s, d), NOW), f"WITH {REVIEWS_SQL}, w AS (SELECT 51 - CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 604800000000.0) AS BIGINT) AS week, sum(minutes) AS minutes FROM reviews GROUP BY 1), a AS (SELECT week, coalesce(minutes, 0) AS minutes FROM (SELECT unnest(generate_series(0, 51)) AS week) LEFT JOIN w USING (week)) SELECT week, CASE WHEN minutes = 0 THEN 0 ELSE CAST(least(4, ceil(4 * minutes / greatest((SELECT max(minutes) FROM a), 1))) AS BIGINT) END AS level FROM a")
-q("win10_streak", lambda s, d: I.streak(I.per_day(one_book(s, d), TODAY, 30, "minutes")), f"WITH {DAYS}, r AS (SELECT total, row_number() OVER (ORDER BY day DESC) AS rn FROM days) SELECT coalesce(min(rn) FILTER (total <= 0), count(*) + 1) - 1 AS streak FROM r")
+q("win10_streak", lambda s, d: I.streak(I.per_day(long_sessions(s, d), TODAY, 30, "minutes")), f"WITH {DAYS}, r AS (SELECT total, row_number() OVER (ORDER BY day DESC) AS rn FROM days) SELECT coalesce(min(rn) FILTER (total <= 0), count(*) + 1) - 1 AS streak FROM r")
 q("srt03_top_categories", lambda s, d: I.top_categories(books(s, d)), f"WITH {BOOKS_SQL} SELECT CASE WHEN trim(category) = '' THEN 'Uncategorised' ELSE category END AS category, count(*) AS n FROM books GROUP BY 1 ORDER BY n DESC, min(id) LIMIT 4")
 q("srt04_recent_books", lambda s, d: I.recent_books(books(s, d), reviews(s, d).groupBy("book").agg(F.max("ts").alias("updated"))), f"WITH {BOOKS_SQL}, {REVIEWS_SQL} SELECT id, title, max(ts) AS updated FROM books JOIN reviews ON id = book GROUP BY id, title ORDER BY updated DESC, id LIMIT 5")

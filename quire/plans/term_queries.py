@@ -65,7 +65,7 @@ def cards(s: SparkSession, d: str) -> DataFrame:
 CARDS_SQL = f"{REVIEWS_SQL}, cards AS (SELECT book, word, n, created_at, CASE WHEN n % 4 = 0 THEN NULL WHEN n % 9 = 0 THEN 'no date' ELSE strftime(last + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') END AS due_at FROM (SELECT book, word, count(*) AS n, max(ts) AS last, min(ts) AS created_at FROM reviews GROUP BY 1, 2))"
 _due = f"(due_at IS NULL OR coalesce(TRY_CAST(due_at AS TIMESTAMP) <= TIMESTAMP '{NOW}', true))"
 q("flt07_due", lambda s, d: cards(s, d).select("book", "word", V.is_due(F.col("due_at"), NOW).alias("due")), f"WITH {CARDS_SQL} SELECT book, word, {_due} AS due FROM cards")
-q("srt01_due_cards", lambda s, d: V.due_queue(cards(s, d).filter("book = 3"), NOW, "word").select("word", "due_at"), f"WITH {CARDS_SQL} SELECT word, due_at FROM cards WHERE book = 3 AND {_due} ORDER BY due_at NULLS FIRST, created_at, word")
+q("srt01_due_cards", lambda s, d: V.due_queue(cards(s, d), NOW, "book", "word").select("book", "word", "due_at"), f"WITH {CARDS_SQL} SELECT book, word, due_at FROM cards WHERE {_due} ORDER BY due_at NULLS FIRST, created_at, book, word")
 q("srt02_due_queue", lambda s, d: V.due_queue(cards(s, d), NOW, "book", "word").select("book", "word", "due_at"), f"WITH {CARDS_SQL} SELECT book, word, due_at FROM cards WHERE {_due}")
 q("jn01_card_faces", lambda s, d: V.card_faces(marks(s, d, "length(word) > 6").withColumn("custom", F.when(F.length("word") % 5 == 0, F.concat(F.lit("own "), "word")).otherwise(" ")), small_dictionary(s, d), small_dictionary(s, d).select("word", F.concat(F.lit("def "), "word").alias("definition"))).select("word", "definition", F.col("rank").cast("long").alias("rank")), f"WITH {DIC} SELECT v.word, CASE WHEN length(v.word) % 5 = 0 THEN 'own ' || v.word ELSE coalesce('def ' || entry, '') END AS definition, CAST(rank AS BIGINT) AS rank FROM voc v LEFT JOIN found f ON f.word = v.word WHERE length(v.word) > 6")
 _seed = lambda s, d: reviews(s, d).select("book", F.upper("word").alias("word"), F.concat(F.lit("c"), "seq").alias("context"), F.lit("1").alias("chapter"), F.col("seq").alias("pos"))

@@ -154,11 +154,10 @@ _q = f"(length(target) - length(replace(target, '“', '')) = length(target) - l
 two("txt37_repair_quote", lambda a, b: X.repair_quote(a, b)["text"], f"CASE WHEN {_q} THEN {D.rtrim('target')} || '”' ELSE target END")
 one("txt38_compact", lambda c: X.compact(c, 40), f"substr({D.collapse('t')}, 1, 40)")
 two("txt40_untranslated_token", lambda a, b: X.untranslated_token(a, b, F.lit(False)), f"len(list_filter(list_filter(regexp_split_to_array({D.low('source')}, '[^a-z]+'), lambda t: length(t) >= 4), lambda t: list_contains(regexp_split_to_array({D.low('target')}, '[^a-z]+'), t))) > 0")
-_a, _b = "substr(source, 1, 60)", "substr(target, 1, 60)"
-cut = lambda f: lambda a, b: f(F.substring(a, 1, 60), F.substring(b, 1, 60))
-two("txt41_levenshtein", long(cut(F.levenshtein)), None)
-two("txt42_similarity", lambda a, b: F.round(cut(X.similarity)(a, b).cast("double"), 5), None)
-two("txt44_common_prefix", cut(lambda a, b: F.round(X.common_prefix_ratio(a, b).cast("double"), 5)), f"CASE WHEN greatest(length({_a}), length({_b})) = 0 THEN 1.0 ELSE round(CAST(CAST(len(list_filter(generate_series(1, least(length({_a}), length({_b}))), lambda i: substr({_a}, 1, CAST(i AS BIGINT)) = substr({_b}, 1, CAST(i AS BIGINT)))) / greatest(length({_a}), length({_b})) AS FLOAT) AS DOUBLE), 5) END")
+_a, _b = "source", "target"
+two("txt41_levenshtein", long(F.levenshtein), None)
+two("txt42_similarity", lambda a, b: F.round(X.similarity(a, b).cast("double"), 5), None)
+two("txt44_common_prefix", lambda a, b: F.round(X.common_prefix_ratio(a, b).cast("double"), 5), f"CASE WHEN greatest(length({_a}), length({_b})) = 0 THEN 1.0 ELSE round(CAST(CAST(len(list_filter(generate_series(1, least(length({_a}), length({_b}))), lambda i: substr({_a}, 1, CAST(i AS BIGINT)) = substr({_b}, 1, CAST(i AS BIGINT)))) / greatest(length({_a}), length({_b})) AS FLOAT) AS DOUBLE), 5) END")
 _phr = lambda w: f"list_contains(string_split(regexp_replace(t, '[^A-Za-z0-9_-]+', ' ', 'g'), ' '), '{w}')"
 one("txt47_mentions", lambda c: X.mentions(c, F.lit("the")), _phr("the"))
 one("txt48_canonical_phrase", X.canonical_phrase, f"regexp_replace(regexp_replace({D.collapse('t')}, '^(?:(?:{'|'.join(X.LEADING_NOISE)}) )+', ''), '(?: (?:[\\x00-\\x7F]|{'|'.join(X.TRAILING_NOISE)}))+$', '')")
@@ -272,7 +271,7 @@ two("chk05_reference_tail", lambda a, b: G.reference_tail(F.concat(F.lit("Refere
 two("chk06_blocks", lambda a, b: F.array_join(G.blocks(F.concat(a, F.lit("\n\n"), b)), "|"), f"array_to_string(list_filter(list_transform(string_split(source || chr(10) || chr(10) || target, chr(10) || chr(10)), lambda x: {D.trim('x')}), lambda x: x <> ''), '|')")
 over_docs("chk08_sentences", lambda c: F.size(G.sentences(c)).cast("long"), f"len(list_filter(list_transform(regexp_extract_all(t, '[^.!?。！？\\n]*[.!?。！？\\n]|[^.!?。！？\\n]+'), lambda x: {D.trim('x')}), lambda x: x <> ''))")
 two("chk09_marked_blocks", lambda a, b: F.array_join(G.marked_blocks(b), "|"), None)
-over_docs("chk10_english_words", lambda c: F.array_join(F.slice(G.english_words(c), 1, 50), "|"), "array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(t, '[^A-Za-z''-]+'), lambda w: length(w) >= 3), lambda w: trim(w, '''-')), lambda w: w <> '')[1:50], '|')")
+over_docs("chk10_english_words", lambda c: F.array_join(G.english_words(c), "|"), "array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(t, '[^A-Za-z''-]+'), lambda w: length(w) >= 3), lambda w: trim(w, '''-')), lambda w: w <> ''), '|')")
 over_docs("chk11_ascii_tokens", lambda c: F.size(G.ascii_tokens(c)).cast("long"), "len(regexp_extract_all(t, '[A-Za-z]{2,}'))")
 one("chk12_capital_phrases", joined(G.capital_phrases), None)
 one("chk13_han_runs", joined(G.han_runs), "array_to_string(regexp_extract_all(t, '[一-鿿]+'), '|')")

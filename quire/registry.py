@@ -35,12 +35,13 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(_QUERIES.values()))(spark, sf_dir)
+    """Difficult words of each language: scan, tokens, lemmas, dictionary join, marks, levels."""
+    return queries()["jn04_difficult_words"](spark, sf_dir)
 
 
 def _load() -> None:
     """Modules that register queries, in the order in which they are listed."""
     import importlib
 
-    for name in ("term_queries", "text_queries", "metric_queries"):
+    for name in ("term_queries", "text_queries", "metric_queries", "custom_queries"):
         importlib.import_module(f"quire.plans.{name}")
