@@ -26,6 +26,8 @@ from .exchange import ensure_checkpoints
 
 #: Documents in a cell at most, about.
 CELL = 10_000
+#: Documents of a source that may be given once more or less to come within CLOSE of its target.
+MENDS, CLOSE = 3, 0.003
 #: Rows of a small table (about 100 bytes each) that may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -132,35 +134,38 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         "first": F.floor(F.col("before") + F.col("rate") + 0.5) - F.floor(F.col("before") + 0.5),
         "got": F.col("size") * (F.floor(F.col("before") + F.col("n") * F.col("rate") + 0.5) - F.floor(F.col("before") + 0.5)),
     }).checkpoint()
-    # a few long documents may leave a source off its target: one document of the missing (or
-    # surplus) size is given once more (or less)
-    off = (
-        parts.groupBy("source").agg(F.sum("got").alias("got"))
-        .join(goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .select(F.col("source").alias("of"), (F.col("target") - F.col("got")).alias("off"))
-    )
-    mend = (
-        parts.join(_small(off, n_cells), F.col("source").eqNullSafe(F.col("of")))
-        .filter(F.when(F.col("off") > 0, F.col("first") < top).otherwise(F.col("first") > 0) & (F.abs(F.abs("off") - F.col("size")) < F.abs("off")))
-        .groupBy("source").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("rest"), "size", "salt", F.signum("off").alias("by"))).alias("m"))
-        .select(F.col("source").alias("ms"), F.col("m.size").alias("mx"), F.col("m.salt").alias("mend_salt"), F.col("m.by").cast("long").alias("mend_by"))
-    )
-    before = (
-        parts.groupBy(F.col("source").alias("s"), F.col("size").alias("x"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("salt", "before"))).alias("before"))
-        .join(_small(mend, n_cells), F.col("s").eqNullSafe(F.col("ms")) & (F.col("x") == F.col("mx")), "left")
-    )
+    # a few long documents may leave a source off its target: a document of the missing (or surplus)
+    # size is given once more (or less), in a small source several of them
+    parts = parts.withColumn("mend", F.lit(0).cast("long"))
+    for _ in range(MENDS):
+        off = (
+            parts.groupBy("source").agg(F.sum(F.col("got") + F.col("mend") * F.col("size")).alias("got"))
+            .join(goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).filter("target > 0")
+            .select(F.col("source").alias("of"), (F.col("target") - F.col("got")).alias("off"), "target")
+        )
+        worst = off.agg(F.max(F.abs("off") / F.col("target"))).first()[0]
+        if worst is None or worst <= CLOSE:
+            break
+        best = (
+            parts.join(_small(off, n_cells), F.col("source").eqNullSafe(F.col("of"))).filter("mend = 0")
+            .filter(F.when(F.col("off") > 0, F.col("first") < top).otherwise(F.col("first") > 0) & (F.abs(F.abs("off") - F.col("size")) < F.abs("off")))
+            .groupBy("source").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("rest"), "size", "salt", F.signum("off").alias("by"))).alias("m"))
+            .select(F.col("source").alias("ms"), F.col("m.size").alias("mx"), F.col("m.salt").alias("mz"), F.col("m.by").cast("long").alias("by"))
+        )
+        chosen = F.col("source").eqNullSafe(F.col("ms")) & (F.col("size") == F.col("mx")) & (F.col("salt") == F.col("mz"))
+        parts = parts.join(_small(best, n_cells), chosen, "left").withColumn("mend", F.col("mend") + F.coalesce("by", F.lit(0))).drop("ms", "mx", "mz", "by").checkpoint()
+    before = parts.groupBy(F.col("source").alias("s"), F.col("size").alias("x")).agg(F.map_from_entries(F.collect_list(F.struct("salt", F.struct("before", "mend").alias("e")))).alias("cells"))
     plan = wide.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("x"))).select(
         F.col("source").alias(f"{p}s"), F.col("size").alias(f"{p}x"), F.col("source_size").alias(f"{p}all"), F.col("target").alias(f"{p}target"),
-        F.col("rate").alias(f"{p}rate"), F.col("salts").alias(f"{p}salts"), F.col("before").alias(f"{p}before"),
-        F.col("mend_salt").alias(f"{p}mend_salt"), F.col("mend_by").alias(f"{p}mend_by"),
+        F.col("rate").alias(f"{p}rate"), F.col("salts").alias(f"{p}salts"), F.col("cells").alias(f"{p}cells"),
     ).checkpoint()
     out = rows.join(_small(plan, n_cells), F.col(f"{p}source").eqNullSafe(F.col(f"{p}s")) & (F.col(f"{p}size") == F.col(f"{p}x")))
     out = out.withColumn(f"{p}salt", _salt(F.col(f"{p}dice"), F.col(f"{p}salts")))
     out = out.withColumn(f"{p}place", F.row_number().over(Window.partitionBy(f"{p}source", f"{p}size", f"{p}salt").orderBy(f"{p}dice")))
-    start = F.col(f"{p}before")[F.col(f"{p}salt")]
+    own = F.col(f"{p}cells")[F.col(f"{p}salt")]
+    start = own["before"]
     passed = lambda k: F.floor(start + (F.col(f"{p}place") - k) * F.col(f"{p}rate") + 0.5)
-    mended = F.when((F.col(f"{p}salt") == F.col(f"{p}mend_salt")) & (F.col(f"{p}place") == 1), F.col(f"{p}mend_by")).otherwise(F.lit(0))
+    mended = F.when(F.col(f"{p}place") == 1, own["mend"]).otherwise(F.lit(0))
     new = {
         "size": F.col(f"{p}size"), "source_size": F.col(f"{p}all").cast("long"), "target": F.col(f"{p}target"), "rate": F.col(f"{p}rate"),
         "copies": (F.least(passed(0) - passed(1), F.lit(top)) + mended).cast("long"),
