@@ -78,6 +78,6 @@ def recent_books(books: DataFrame, states: DataFrame, n: int = 5) -> DataFrame:
     return books.join(states, books["id"] == states["book"]).orderBy(F.desc("updated"), "id").limit(n).select("id", "title", "updated")
 
 
-def levels(cards: DataFrame, dictionary: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+def levels(cards: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Cards by dictionary level; -1 for words that it lacks."""
     return cards.join(dictionary, "word", "left").groupBy(F.coalesce("rank", F.lit(-1)).cast("long").alias("rank")).agg(F.count(F.lit(1)).alias("n"))

@@ -43,5 +43,5 @@ def _load() -> None:
     """Modules that register queries, in the order in which they are listed."""
     import importlib
 
-    for name in ("term_queries", "text_queries", "metric_queries", "custom_queries"):
+    for name in ("term_queries", "text_queries", "metric_queries", "custom_queries", "book_queries"):
         importlib.import_module(f"quire.plans.{name}")

@@ -193,3 +193,9 @@ def markdown_html(markdown: str) -> str:
         elif block.strip():
             out.append("<p>" + inline(" ".join(rows)) + "</p>")
     return "\n".join(out)
+
+
+def append_wal(events: DataFrame, path: str) -> None:
+    """Appends to the write-ahead log; only events of a commit carry their snapshot."""
+    committed = F.endswith("stage", F.lit("_committed"))
+    events.withColumn("payload", F.when(committed, F.col("payload"))).write.mode("append").json(path)

@@ -191,3 +191,36 @@ def bundle_files(bundles: DataFrame) -> DataFrame:
                             yield pd.DataFrame({"path": [path], "name": [name], "content": [z.read(name)]})
 
     return bundles.select("path", "content").mapInPandas(read, "path string, name string, content binary")
+
+
+def is_bilingual(chapters_: DataFrame) -> DataFrame:
+    """(path, kind): bilingual if a book's text has both Chinese and English in good measure."""
+    text = F.regexp_replace("html", "(?s)<[^>]*>?", "")
+    han, latin = (F.sum(F.length(text) - F.length(F.regexp_replace(text, p, ""))) for p in ("[一-鿿]", "[A-Za-z]"))
+    return chapters_.groupBy("path").agg(F.when((han > 0) & (latin > 0) & (F.least(han * 3, latin) * 4 >= F.greatest(han * 3, latin)), "bilingual").otherwise("monolingual").alias("kind"))
+
+
+def pack_epub(chapters_: DataFrame) -> DataFrame:
+    """(path, content): an EPUB of each book's chapters (path, ord, title, html)."""
+
+    def pack(key, pdf):
+        import html
+
+        import pandas as pd
+
+        out = io.BytesIO()
+        rows = pdf.sort_values("ord")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            stamp = lambda name: zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))  # noqa: E731  equal books have equal bytes
+            z.writestr(stamp("mimetype"), "application/epub+zip")
+            z.writestr(stamp("META-INF/container.xml"), '<container><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>')
+            items = "".join(f'<item id="c{i}" href="c{i}.xhtml" media-type="application/xhtml+xml"/>' for i in range(len(rows)))
+            spine = "".join(f'<itemref idref="c{i}"/>' for i in range(len(rows)))
+            z.writestr(stamp("OEBPS/content.opf"), f'<package><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>{items}</manifest><spine>{spine}</spine></package>')
+            points = "".join(f'<navPoint><navLabel><text>{html.escape(t)}</text></navLabel><content src="c{i}.xhtml"/></navPoint>' for i, t in enumerate(rows["title"]))
+            z.writestr(stamp("OEBPS/toc.ncx"), f"<ncx><navMap>{points}</navMap></ncx>")
+            for i, body in enumerate(rows["html"]):
+                z.writestr(stamp(f"OEBPS/c{i}.xhtml"), f"<html><body>{body}</body></html>")
+        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()]})
+
+    return chapters_.groupBy("path").applyInPandas(pack, "path string, content binary")
