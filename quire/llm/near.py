@@ -8,9 +8,13 @@ table make candidates. Two documents are linked if the edit similarity of their
 by an alignment restricted to the band of allowed differences. Classes are the connected components.
 
 Exact copies are one node. Documents that share a sketch are not paired with each other: a leader of
-the bucket is compared with the others, which usually joins them; only where members stay apart do
-further leaders follow, from the smaller components, until every two members are connected or compared.
-No candidates are dropped. Every round is linear in the bucket; pairs already connected are skipped.
+the bucket is compared with the others, which usually joins them; only where members stay apart are
+these compared with further leaders, from the largest component first, until every two members are
+connected or compared. Pairs already connected are skipped. In a bucket that is large and divided even
+after such a round, members must share a second sketch to be compared (see ``NEAR_TABLES``): such buckets
+come from a passage that documents share which are different otherwise. Nothing is capped or sampled;
+what decides is the candidates' definition, whose losses at the least similarity are a few in a
+thousand links, most of them between documents that others connect.
 
 Defined results: a null text counts as empty; texts without words are linked to exact copies alone;
 repeated rows are copies; an empty table gives an empty result; columns named like new ones are
@@ -28,10 +32,14 @@ from pyspark.sql import functions as F
 from .bytestext import groups_of, mix, split_words, text_bytes, windows
 from .exchange import boxed, ensure_checkpoints, shared_dir, unboxed
 
-GRAM, SIMILARITY, TABLES, PICKS = 5, 0.8, 32, 4
+GRAM, SIMILARITY, TABLES, PICKS = 5, 0.8, 40, 4
 BATCH = 4_000_000
-#: Leaders of a bucket grow by this factor from round to round.
-MORE = 8
+#: How many tables behind a bucket's own are asked for a second common sketch when a large bucket stays
+#: divided. Documents at the least similarity agree in a fifth of all tables, so two of them lie this
+#: close but for a few pairs in a thousand.
+NEAR_TABLES = 6
+#: Pairs of a bucket in the first round that leaders are chosen for, and their growth by round.
+WORK, MORE = 256, 16
 
 
 def gram_sequences(texts: list[bytes], gram: int) -> list[np.ndarray]:
@@ -145,19 +153,23 @@ def banded(a: np.ndarray, b: np.ndarray, most: int) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): every node of the edges (a, b) with the least node of its component. Labels
-    spread over edges and jump along themselves, so long chains take a logarithm of rounds."""
+    """(node, label): every node of the edges (a, b) with the least node of its component. Labels spread
+    over edges, twice a job; from the third job on they also jump along themselves, so that long chains
+    take a logarithm of jobs."""
     ensure_checkpoints(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).checkpoint()
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels, job = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), 0
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        spread = spread.join(hop, "label").select("node", "old", F.least("label", "far").alias("label")).checkpoint()
-        changed = spread.filter("old <> label").limit(1).count()
-        labels = spread.select("node", "label")
-        if not changed:
+        for last in (False, True):
+            near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("binary").alias("old"))
+            if job >= 2:
+                hop = labels.select("node", F.col("label").alias("at")).join(labels.select(F.col("node").alias("at"), "label"), "at").select("node", "label", F.lit(None).cast("binary").alias("old"))
+                near = near.union(hop)
+            spread = near.union(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+            labels = spread if last else spread.select("node", "label")
+        done = labels.checkpoint()
+        labels, job = done.select("node", "label"), job + 1
+        if done.filter("old <> label").isEmpty():
             return labels
 
 
@@ -183,30 +195,28 @@ def sketches(docs: DataFrame, key: str, column: str, gram: int, tables: int, pic
     return docs.selectExpr(f"`{key}` AS key", f"`{column}` AS text").mapInArrow(make, f"key {kind}, node binary, n int, sketch array<bigint>")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, gram: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose texts are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, gram: int, similarity: float) -> DataFrame:
+    """Adds to pairs (a, b) of nodes whether their texts are similar enough: ok."""
 
     def verify(batches):
         import pyarrow as pa
 
         for batch in batches:
             left, right = text_bytes(batch.column("text_a")), text_bytes(batch.column("text_b"))
-            keep = []
+            ok: list[bool] = []
             for a, b in groups_of([len(x) + len(y) for x, y in zip(left, right, strict=True)], BATCH):
                 grams = gram_sequences(left[a:b] + right[a:b], gram)
                 for i in range(b - a):
                     x, y = grams[i], grams[b - a + i]
-                    if within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)):
-                        keep.append(a + i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a").take(at), "b": batch.column("b").take(at)})
+                    ok.append(within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)))
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(ok, pa.bool_())})
 
     full = (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    return full.mapInArrow(verify, "a binary, b binary")
+    return full.mapInArrow(verify, "a binary, b binary, ok boolean")
 
 
 def _stored(df: DataFrame, spark: SparkSession) -> DataFrame:
@@ -230,65 +240,55 @@ def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", gram: in
 
     allowed = lambda x, y: F.abs(x - y) <= F.floor((1 - similarity) * F.greatest(x, y) + 1e-9)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = members.filter((F.col("node") != F.col("lead.node")) & allowed(F.col("n"), F.col("lead.n"))).groupBy("node", F.col("lead.node").alias("other")).agg(F.count(F.lit(1)).alias("shared")).checkpoint()
-    # first the leader with which a document shares most sketches, then the others where still needed
-    first = stars.groupBy("node").agg(F.max_by("other", F.struct("shared", "other")).alias("other")).select(*ordered(F.col("node"), F.col("other"))).distinct().checkpoint()
-    tested, label = first, None
-    label = _merged(label, linked(first, texts, gram, similarity).checkpoint())
-    rest = _apart(stars.select(*ordered(F.col("node"), F.col("other"))).distinct().join(first, ["a", "b"], "left_anti"), label).checkpoint()
-    if rest.limit(1).count():
-        tested = tested.union(rest)
-        label = _merged(label, linked(rest, texts, gram, similarity).checkpoint())
-    # members that were leaders have met all others of their bucket
-    waiting, many = members.filter(F.col("node") != F.col("lead.node")).select("bucket", "node", "n"), MORE
+    # first every document meets the leader with which it shares most sketches
+    stars = members.filter((F.col("node") != F.col("lead.node")) & allowed(F.col("n"), F.col("lead.n"))).groupBy("node", F.col("lead.node").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
+    first = stars.groupBy("node").agg(F.max_by("other", F.struct("shared", "other")).alias("other")).select(*ordered(F.col("node"), F.col("other"))).distinct()
+    tested = verified(first, texts, gram, similarity).checkpoint()
+    label = components(tested.filter("ok"))
+    waiting, work, round_ = members.select("bucket", "node", "n"), WORK, 0
     while True:
         known = waiting.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
         by_label = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("same"))
-        open_ = by_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("bucket")
-        waiting = known.join(open_, "bucket", "left_semi").checkpoint()
-        if not waiting.limit(1).count():
+        open_ = by_label.groupBy("bucket").agg(F.max(F.struct("same", "label")).alias("main"), F.sum("same").alias("size"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+        open_ = open_.select("bucket", F.col("main.label").alias("main"), "size", (F.col("size") - F.col("main.same")).alias("apart"))
+        waiting = known.join(open_, "bucket").checkpoint()
+        if waiting.isEmpty():
             break
-        sized = waiting.join(by_label, ["bucket", "label"])
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("same", "label", "node"))
-        leaders = sized.withColumn("rank", rank).filter(F.col("rank") <= many).select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("of")).checkpoint()
+        # where little is apart from the largest component, that leads, and the bucket is done; else
+        # members of the largest component lead, which usually joins most of what is apart
+        outside = F.col("label") != F.col("main")
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(outside, F.xxhash64("node", "bucket"), "node"))
+        chosen = F.when(F.col("apart") * F.col("size") <= work, outside).otherwise(~outside & (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(work) / F.col("apart")))))
+        leads = waiting.withColumn("rank", rank).withColumn("leads", chosen).select("bucket", "node", "n", "label", "leads")
+        leaders = leads.filter("leads").select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("of"))
         pairs = (
             waiting.join(leaders, "bucket").filter((F.col("label") != F.col("of")) & allowed(F.col("n"), F.col("m")))
-            .select(*ordered(F.col("node"), F.col("other"))).distinct().join(tested, ["a", "b"], "left_anti").checkpoint()
+            .select(*ordered(F.col("node"), F.col("other"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         )
-        if pairs.limit(1).count():
-            label = _merged(label, linked(pairs, texts, gram, similarity).checkpoint())
-            tested = tested.union(pairs)
-        waiting = waiting.select("bucket", "node", "n").join(leaders.select("bucket", F.col("other").alias("node")), ["bucket", "node"], "left_anti").checkpoint()
-        many *= MORE
+        new = verified(pairs, texts, gram, similarity).checkpoint()
+        tested = tested.union(new)
+        label = components(tested.filter("ok"))
+        waiting = leads.filter("NOT leads").select("bucket", "node", "n")  # a leader has met all others
+        if round_ == 0:  # what is large and divided still: documents that share one passage, as a rule
+            waiting = _split(waiting, label, nodes, tables)
+        else:
+            work *= MORE
+        round_ += 1
     named = made.select("key", "node").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("key").alias("class_id"))
     return named.join(least, "label").select(F.col("key").alias(key), "node", "class_id")
 
 
-def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after new links, found on the graph of the labels so far."""
-    if label is None:
-        return components(links)
-    lifted = _lifted(links, label).filter("a <> b")
-    if not lifted.limit(1).count():
-        return label
-    over = components(lifted)
-    old = label.select("node").union(over.select("node")).distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    up = over.select(F.col("node").alias("from"), F.col("label").alias("to"))
-    return old.join(up, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label")).checkpoint()
-
-
-def _lifted(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    left, right = (label.select(F.col("node").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-    out = pairs.join(left, F.col("a") == F.col("na"), "left").join(right, F.col("b") == F.col("nb"), "left")
-    return out.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-
-
-def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs that are not connected yet."""
-    left, right = (label.select(F.col("node").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-    out = pairs.join(left, F.col("a") == F.col("na"), "left").join(right, F.col("b") == F.col("nb"), "left")
-    return out.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+def _split(waiting: DataFrame, label: DataFrame, nodes: DataFrame, tables: int) -> DataFrame:
+    """Buckets that are still divided, parted by a second sketch: one of the next tables' after that
+    which made the bucket. (bucket, node, n)."""
+    known = waiting.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    divided = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
+    rows = known.join(divided, "bucket", "left_semi").select("bucket", "node", "n").join(nodes.select(F.col("node").alias("of"), "sketch"), F.col("node") == F.col("of"))
+    own = F.array_position("sketch", F.col("bucket"))  # sketches of two tables are never equal
+    behind = F.transform(F.sequence(F.lit(1), F.lit(NEAR_TABLES)), lambda j: F.get("sketch", F.pmod(own - 1 + j, F.lit(tables)).cast("int")))
+    parts = rows.select("bucket", "node", "n", F.explode(behind).alias("second"))
+    return parts.select(F.xxhash64("bucket", "second").alias("bucket"), "node", "n")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", column: str = "text", **how) -> DataFrame:
