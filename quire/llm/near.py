@@ -8,13 +8,12 @@ table make candidates. Two documents are linked if the edit similarity of their
 by an alignment restricted to the band of allowed differences. Classes are the connected components.
 
 Exact copies are one node. Documents that share a sketch are not paired with each other: a leader of
-the bucket is compared with the others, which usually joins them; only where members stay apart are
-these compared with further leaders, from the largest component first, until every two members are
-connected or compared. Pairs already connected are skipped. In a bucket that is large and divided even
-after such a round, members must share a second sketch to be compared (see ``NEAR_TABLES``): such buckets
-come from a passage that documents share which are different otherwise. Nothing is capped or sampled;
-what decides is the candidates' definition, whose losses at the least similarity are a few in a
-thousand links, most of them between documents that others connect.
+the bucket is compared with the others, which usually joins them, and what stays apart meets a few
+members of the bucket's largest component (all members, where these are few). Whatever is divided even
+then is compared in blocks of bounded size, the part that is apart with all of the group, for every pair
+that shares two sketches of near tables (``NEAR_TABLES``). So every two documents with two such sketches
+end up connected or compared; documents at the least similarity have them in all but a few cases in a
+thousand. Nothing is capped or sampled.
 
 Defined results: a null text counts as empty; texts without words are linked to exact copies alone;
 repeated rows are copies; an empty table gives an empty result; columns named like new ones are
@@ -38,8 +37,8 @@ BATCH = 4_000_000
 #: divided. Documents at the least similarity agree in a fifth of all tables, so two of them lie this
 #: close but for a few pairs in a thousand.
 NEAR_TABLES = 6
-#: Pairs of a bucket in the first round that leaders are chosen for, and their growth by round.
-WORK, MORE = 256, 16
+#: Pairs of a bucket that leaders are chosen for, and documents in a block.
+WORK, BLOCK = 256, 256
 
 
 def gram_sequences(texts: list[bytes], gram: int) -> list[np.ndarray]:
@@ -230,7 +229,7 @@ def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", gram: in
     spark = docs.sparkSession
     ensure_checkpoints(spark)
     made = _stored(sketches(docs, key, column, gram, tables, picks), spark)
-    nodes = made.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = _stored(made.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), spark)
     rows = nodes.filter("n > 0").select(F.explode("sketch").alias("bucket"), "node", "n")
     lead = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = _stored(rows.join(lead.select("bucket", "lead"), "bucket").select("bucket", "node", "n", "lead"), spark)
@@ -245,40 +244,98 @@ def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", gram: in
     first = stars.groupBy("node").agg(F.max_by("other", F.struct("shared", "other")).alias("other")).select(*ordered(F.col("node"), F.col("other"))).distinct()
     tested = verified(first, texts, gram, similarity).checkpoint()
     label = components(tested.filter("ok"))
-    waiting, work, round_ = members.select("bucket", "node", "n"), WORK, 0
-    while True:
-        known = waiting.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-        by_label = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("same"))
-        open_ = by_label.groupBy("bucket").agg(F.max(F.struct("same", "label")).alias("main"), F.sum("same").alias("size"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        open_ = open_.select("bucket", F.col("main.label").alias("main"), "size", (F.col("size") - F.col("main.same")).alias("apart"))
-        waiting = known.join(open_, "bucket").checkpoint()
-        if waiting.isEmpty():
-            break
-        # where little is apart from the largest component, that leads, and the bucket is done; else
-        # members of the largest component lead, which usually joins most of what is apart
-        outside = F.col("label") != F.col("main")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(outside, F.xxhash64("node", "bucket"), "node"))
-        chosen = F.when(F.col("apart") * F.col("size") <= work, outside).otherwise(~outside & (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(work) / F.col("apart")))))
-        leads = waiting.withColumn("rank", rank).withColumn("leads", chosen).select("bucket", "node", "n", "label", "leads")
-        leaders = leads.filter("leads").select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("of"))
-        pairs = (
-            waiting.join(leaders, "bucket").filter((F.col("label") != F.col("of")) & allowed(F.col("n"), F.col("m")))
-            .select(*ordered(F.col("node"), F.col("other"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        new = verified(pairs, texts, gram, similarity).checkpoint()
-        tested = tested.union(new)
-        label = components(tested.filter("ok"))
-        waiting = leads.filter("NOT leads").select("bucket", "node", "n")  # a leader has met all others
-        if round_ == 0:  # what is large and divided still: documents that share one passage, as a rule
-            waiting = _split(waiting, label, nodes, tables)
-        else:
-            work *= MORE
-        round_ += 1
+    # then, where little of a bucket is apart from its largest component, that meets all others; else it
+    # meets a few members of the largest component, which usually joins most of it
+    waiting = _divided(members.select("bucket", "node", "n"), label).checkpoint()
+    outside = F.col("label") != F.col("main")
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(outside, F.xxhash64("node", "bucket"), "node"))
+    chosen = F.when(F.col("apart") * F.col("size") <= WORK, outside).otherwise(~outside & (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(WORK) / F.col("apart")))))
+    leads = waiting.withColumn("rank", rank).withColumn("leads", chosen).select("bucket", "node", "n", "label", "leads")
+    leaders = leads.filter("leads").select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("of"))
+    pairs = (
+        waiting.join(leaders, "bucket").filter((F.col("label") != F.col("of")) & allowed(F.col("n"), F.col("m")))
+        .select(*ordered(F.col("node"), F.col("other"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    )
+    tested = tested.union(verified(pairs, texts, gram, similarity).checkpoint())
+    label = components(tested.filter("ok"))
+    # what is large and divided still is compared in blocks; a leader has met all others
+    waiting = leads.filter("NOT leads").select("bucket", "node", "n")
+    links = _in_blocks(_split(waiting, label, nodes, tables), label, nodes, texts, gram, similarity).checkpoint()
+    if not links.isEmpty():
+        label = components(tested.filter("ok").select("a", "b").union(links))
     named = made.select("key", "node").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("key").alias("class_id"))
     return named.join(least, "label").select(F.col("key").alias(key), "node", "class_id")
 
 
+def _divided(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Adds to members (bucket, node, n) their label, the bucket's largest component (main), its size and
+    how many members are apart; buckets of one component go."""
+    known = rows.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    by_label = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("same"))
+    open_ = by_label.groupBy("bucket").agg(F.max(F.struct("same", "label")).alias("main"), F.sum("same").alias("size"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    return known.join(open_.select("bucket", F.col("main.label").alias("main"), "size", (F.col("size") - F.col("main.same")).alias("apart")), "bucket")
+
+
+def _in_blocks(rows: DataFrame, label: DataFrame, nodes: DataFrame, texts: DataFrame, gram: int, similarity: float) -> DataFrame:
+    """Links (a, b) among members of divided buckets (bucket, node, n).
+
+    The members of all buckets with one largest component form a group. Those apart from it are dealt
+    to blocks, as are all members, and every block of the former meets every block of the latter in a
+    task of its own: bounded however large the group is, and only links leave it. In a task the pairs
+    of different components that share two sketches of near tables are verified, unless others have
+    connected them there already."""
+    group = _divided(rows, label).select(F.col("main").alias("of_group"), "node", "n", "label").distinct().checkpoint()
+    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
+    sizes = group.groupBy("of_group").agg(blocks(F.count(F.lit(1))).alias("wide"), blocks(F.count_if(F.col("label") != F.col("of_group"))).alias("narrow"))
+    dealt = group.join(sizes, "of_group")
+    dice = F.xxhash64("node")
+    left = dealt.filter(F.col("label") != F.col("of_group")).select("of_group", F.pmod(dice, F.col("narrow")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), "node", "n", "label", F.lit(0).alias("side"))
+    right = dealt.select("of_group", F.explode(F.sequence(F.lit(0), F.col("narrow") - 1)).alias("i"), F.pmod(dice, F.col("wide")).cast("int").alias("j"), "node", "n", "label", F.lit(1).alias("side"))
+    full = left.union(right).join(nodes.select("node", "sketch"), "node").join(texts, "node")
+
+    def meet(table):
+        import pyarrow as pa
+
+        rows = table.select(["node", "n", "label", "side"]).to_pydict()
+        sketches = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        side, n = np.array(rows["side"]), np.array(rows["n"], dtype=np.int64)
+        names = {x: i for i, x in enumerate(dict.fromkeys(rows["label"]))}
+        own = np.array([names[x] for x in rows["label"]])
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        grams: dict[int, np.ndarray] = {}
+        found = text_bytes(table.column("text"))
+
+        def sequence(i: int) -> np.ndarray:
+            if i not in grams:
+                grams[i] = gram_sequences([found[i]], gram)[0]
+            return grams[i]
+
+        root = list(range(len(names)))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        out: list[tuple] = []
+        for i in x:
+            same = sketches[y] == sketches[i]
+            near = np.zeros(len(y), dtype=bool)
+            for j in range(1, NEAR_TABLES + 1):
+                near |= (same & np.roll(same, -j, axis=1)).any(axis=1)
+            most = ((1 - similarity) * np.maximum(n[y], n[i]) + 1e-9).astype(np.int64)
+            for k in np.flatnonzero(near & (own[y] != own[i]) & (np.abs(n[y] - n[i]) <= most)):
+                p, q = find(own[i]), find(own[y[k]])
+                if p != q and within(sequence(i), sequence(y[k]), int(most[k])):
+                    root[p] = q
+                    out.append(tuple(sorted((rows["node"][i], rows["node"][y[k]]))))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    return full.groupBy("of_group", "i", "j").applyInArrow(meet, "a binary, b binary")
+
+
 def _split(waiting: DataFrame, label: DataFrame, nodes: DataFrame, tables: int) -> DataFrame:
     """Buckets that are still divided, parted by a second sketch: one of the next tables' after that
     which made the bucket. (bucket, node, n)."""
