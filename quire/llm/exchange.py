@@ -33,6 +33,15 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of finished jobs' shuffle files: Spark deletes them when the driver collects the plans
+    that wrote them, which a driver with memory to spare may not do for long."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_size(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows, and bytes of a text column."""
     row = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(column))).first()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytestext import groups_of, mix, split_words, text_bytes, windows
-from .exchange import boxed, ensure_checkpoints, shared_dir, unboxed
+from .exchange import boxed, ensure_checkpoints, release, shared_dir, unboxed
 
 GRAM, SIMILARITY, TABLES, PICKS = 5, 0.8, 40, 4
 BATCH = 4_000_000
@@ -221,6 +221,7 @@ def verified(pairs: DataFrame, texts: DataFrame, gram: int, similarity: float) -
 def _stored(df: DataFrame, spark: SparkSession) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -244,9 +245,10 @@ def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", gram: in
     first = stars.groupBy("node").agg(F.max_by("other", F.struct("shared", "other")).alias("other")).select(*ordered(F.col("node"), F.col("other"))).distinct()
     tested = verified(first, texts, gram, similarity).checkpoint()
     label = components(tested.filter("ok"))
+    release(spark)
     # then, where little of a bucket is apart from its largest component, that meets all others; else it
     # meets a few members of the largest component, which usually joins most of it
-    waiting = _divided(members.select("bucket", "node", "n"), label).checkpoint()
+    waiting = _divided(_labelled(members.select("bucket", "node", "n"), label)).checkpoint()
     outside = F.col("label") != F.col("main")
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(outside, F.xxhash64("node", "bucket"), "node"))
     chosen = F.when(F.col("apart") * F.col("size") <= WORK, outside).otherwise(~outside & (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(WORK) / F.col("apart")))))
@@ -258,9 +260,10 @@ def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", gram: in
     )
     tested = tested.union(verified(pairs, texts, gram, similarity).checkpoint())
     label = components(tested.filter("ok"))
+    release(spark)
     # what is large and divided still is compared in blocks; a leader has met all others
     waiting = leads.filter("NOT leads").select("bucket", "node", "n")
-    links = _in_blocks(_split(waiting, label, nodes, tables), label, nodes, texts, gram, similarity).checkpoint()
+    links = _in_blocks(_split(waiting, label, nodes, tables), nodes, texts, gram, similarity).checkpoint()
     if not links.isEmpty():
         label = components(tested.filter("ok").select("a", "b").union(links))
     named = made.select("key", "node").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -268,24 +271,27 @@ def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", gram: in
     return named.join(least, "label").select(F.col("key").alias(key), "node", "class_id")
 
 
-def _divided(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """Adds to members (bucket, node, n) their label, the bucket's largest component (main), its size and
-    how many members are apart; buckets of one component go."""
-    known = rows.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+
+
+def _divided(known: DataFrame) -> DataFrame:
+    """Adds to members (bucket, node, n, label) the bucket's largest component (main), its size and how
+    many members are apart; buckets of one component go."""
     by_label = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("same"))
     open_ = by_label.groupBy("bucket").agg(F.max(F.struct("same", "label")).alias("main"), F.sum("same").alias("size"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     return known.join(open_.select("bucket", F.col("main.label").alias("main"), "size", (F.col("size") - F.col("main.same")).alias("apart")), "bucket")
 
 
-def _in_blocks(rows: DataFrame, label: DataFrame, nodes: DataFrame, texts: DataFrame, gram: int, similarity: float) -> DataFrame:
-    """Links (a, b) among members of divided buckets (bucket, node, n).
+def _in_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, gram: int, similarity: float) -> DataFrame:
+    """Links (a, b) among members of divided buckets (bucket, node, n, label).
 
     The members of all buckets with one largest component form a group. Those apart from it are dealt
     to blocks, as are all members, and every block of the former meets every block of the latter in a
     task of its own: bounded however large the group is, and only links leave it. In a task the pairs
     of different components that share two sketches of near tables are verified, unless others have
     connected them there already."""
-    group = _divided(rows, label).select(F.col("main").alias("of_group"), "node", "n", "label").distinct().checkpoint()
+    group = _divided(rows).select(F.col("main").alias("of_group"), "node", "n", "label").distinct().checkpoint()
     blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
     sizes = group.groupBy("of_group").agg(blocks(F.count(F.lit(1))).alias("wide"), blocks(F.count_if(F.col("label") != F.col("of_group"))).alias("narrow"))
     dealt = group.join(sizes, "of_group")
@@ -338,14 +344,14 @@ def _in_blocks(rows: DataFrame, label: DataFrame, nodes: DataFrame, texts: DataF
 
 def _split(waiting: DataFrame, label: DataFrame, nodes: DataFrame, tables: int) -> DataFrame:
     """Buckets that are still divided, parted by a second sketch: one of the next tables' after that
-    which made the bucket. (bucket, node, n)."""
-    known = waiting.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    which made the bucket. (bucket, node, n, label)."""
+    known = _labelled(waiting, label)
     divided = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-    rows = known.join(divided, "bucket", "left_semi").select("bucket", "node", "n").join(nodes.select(F.col("node").alias("of"), "sketch"), F.col("node") == F.col("of"))
+    rows = known.join(divided, "bucket", "left_semi").join(nodes.select(F.col("node").alias("of"), "sketch"), F.col("node") == F.col("of"))
     own = F.array_position("sketch", F.col("bucket"))  # sketches of two tables are never equal
     behind = F.transform(F.sequence(F.lit(1), F.lit(NEAR_TABLES)), lambda j: F.get("sketch", F.pmod(own - 1 + j, F.lit(tables)).cast("int")))
-    parts = rows.select("bucket", "node", "n", F.explode(behind).alias("second"))
-    return parts.select(F.xxhash64("bucket", "second").alias("bucket"), "node", "n")
+    parts = rows.select("bucket", "node", "n", "label", F.explode(behind).alias("second"))
+    return parts.select(F.xxhash64("bucket", "second").alias("bucket"), "node", "n", "label")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", column: str = "text", **how) -> DataFrame:
