@@ -11,9 +11,11 @@ Exact copies are one node. Documents that share a sketch are not paired with eac
 the bucket is compared with the others, which usually joins them, and what stays apart meets a few
 members of the bucket's largest component (all members, where these are few). Whatever is divided even
 then is compared in blocks of bounded size, the part that is apart with all of the group, for every pair
-that shares two sketches of near tables (``NEAR_TABLES``). So every two documents with two such sketches
-end up connected or compared; documents at the least similarity have them in all but a few cases in a
-thousand. Nothing is capped or sampled.
+that shares a sketch. So every two documents with a common sketch end up connected or compared, however
+large their bucket. Documents at the least similarity lack one in 2 cases of 1,000 at most (ten grams) and
+0.2 of 1,000 where they are long. Sequences of ``SHORT`` grams or fewer that are one edit apart always have
+one: their last sketches are the sequence itself and what is left of it without one of its grams. Nothing
+is capped or sampled.
 
 Defined results: a null text counts as empty; texts without words are linked to exact copies alone;
 repeated rows are copies; an empty table gives an empty result; columns named like new ones are
@@ -33,10 +35,11 @@ from .exchange import boxed, ensure_checkpoints, release, shared_dir, unboxed
 
 GRAM, SIMILARITY, TABLES, PICKS = 5, 0.8, 40, 4
 BATCH = 4_000_000
-#: How many tables behind a bucket's own are asked for a second common sketch when a large bucket stays
-#: divided. Documents at the least similarity agree in a fifth of all tables, so two of them lie this
-#: close but for a few pairs in a thousand.
-NEAR_TABLES = 6
+#: Grams of a sequence that has sketches of the whole and of the whole without one gram in place of its
+#: last SHORT + 1 tables'.
+SHORT = 9
+#: Grams of the least sequence that may differ in one at SIMILARITY.
+EDIT = 5
 #: Pairs of a bucket that leaders are chosen for, and documents in a block.
 WORK, BLOCK = 256, 256
 
@@ -74,9 +77,21 @@ def sketch(x: np.ndarray, seeds: np.ndarray, picks: int) -> np.ndarray:
     out = np.arange(tables, dtype=np.uint64)
     for k in range(at.shape[1]):
         out = mix(out, x[at[:, k]])
+    if len(x) <= SHORT < tables:
+        out[-SHORT - 1 :] = short_keys(x)
     return out
 
 
+def short_keys(x: np.ndarray) -> np.ndarray:
+    """SHORT + 1 hashes, the first repeated as need be, of the sequence and, if it is long enough for one
+    edit at SIMILARITY, of what each deletion leaves of it: sequences one edit apart have a common one."""
+    gone = np.arange(-1, len(x) if len(x) >= EDIT else 0)
+    keys = np.uint64(1_000) + np.uint64(len(x)) - (gone >= 0).astype(np.uint64)  # not a table's number
+    for k in range(len(x)):
+        keys = np.where(gone == k, keys, mix(keys, x[k : k + 1]))
+    return np.concatenate([keys, np.repeat(keys[:1], SHORT + 1 - len(keys))])
+
+
 def seeds_of(tables: int) -> np.ndarray:
     rng = np.random.default_rng(20_24)
     return rng.integers(0, 2**64, (tables, 2), dtype=np.uint64) | np.uint64(1)
@@ -231,7 +246,7 @@ def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", gram: in
     ensure_checkpoints(spark)
     made = _stored(sketches(docs, key, column, gram, tables, picks), spark)
     nodes = _stored(made.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), spark)
-    rows = nodes.filter("n > 0").select(F.explode("sketch").alias("bucket"), "node", "n")
+    rows = nodes.filter("n > 0").select(F.explode(F.when(F.col("n") <= SHORT, F.array_distinct("sketch")).otherwise(F.col("sketch"))).alias("bucket"), "node", "n")
     lead = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = _stored(rows.join(lead.select("bucket", "lead"), "bucket").select("bucket", "node", "n", "lead"), spark)
     wanted = members.select("node").distinct()
@@ -263,7 +278,7 @@ def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", gram: in
     release(spark)
     # what is large and divided still is compared in blocks; a leader has met all others
     waiting = leads.filter("NOT leads").select("bucket", "node", "n")
-    links = _in_blocks(_split(waiting, label, nodes, tables), nodes, texts, gram, similarity).checkpoint()
+    links = _in_blocks(_labelled(waiting, label), nodes, texts, gram, similarity).checkpoint()
     if not links.isEmpty():
         label = components(tested.filter("ok").select("a", "b").union(links))
     named = made.select("key", "node").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -289,8 +304,8 @@ def _in_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, gram: int, s
     The members of all buckets with one largest component form a group. Those apart from it are dealt
     to blocks, as are all members, and every block of the former meets every block of the latter in a
     task of its own: bounded however large the group is, and only links leave it. In a task the pairs
-    of different components that share two sketches of near tables are verified, unless others have
-    connected them there already."""
+    of different components that share a sketch are verified, unless others have connected them there
+    already."""
     group = _divided(rows).select(F.col("main").alias("of_group"), "node", "n", "label").distinct().checkpoint()
     blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
     sizes = group.groupBy("of_group").agg(blocks(F.count(F.lit(1))).alias("wide"), blocks(F.count_if(F.col("label") != F.col("of_group"))).alias("narrow"))
@@ -327,10 +342,10 @@ def _in_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, gram: int, s
 
         out: list[tuple] = []
         for i in x:
-            same = sketches[y] == sketches[i]
-            near = np.zeros(len(y), dtype=bool)
-            for j in range(1, NEAR_TABLES + 1):
-                near |= (same & np.roll(same, -j, axis=1)).any(axis=1)
+            near = (sketches[y] == sketches[i]).any(axis=1)
+            if n[i] <= SHORT:  # what a deletion leaves may be at another place
+                few = np.flatnonzero(n[y] <= SHORT)
+                near[few] |= np.isin(sketches[y[few], -SHORT - 1 :], sketches[i, -SHORT - 1 :]).any(axis=1)
             most = ((1 - similarity) * np.maximum(n[y], n[i]) + 1e-9).astype(np.int64)
             for k in np.flatnonzero(near & (own[y] != own[i]) & (np.abs(n[y] - n[i]) <= most)):
                 p, q = find(own[i]), find(own[y[k]])
@@ -342,18 +357,6 @@ def _in_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, gram: int, s
     return full.groupBy("of_group", "i", "j").applyInArrow(meet, "a binary, b binary")
 
 
-def _split(waiting: DataFrame, label: DataFrame, nodes: DataFrame, tables: int) -> DataFrame:
-    """Buckets that are still divided, parted by a second sketch: one of the next tables' after that
-    which made the bucket. (bucket, node, n, label)."""
-    known = _labelled(waiting, label)
-    divided = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-    rows = known.join(divided, "bucket", "left_semi").join(nodes.select(F.col("node").alias("of"), "sketch"), F.col("node") == F.col("of"))
-    own = F.array_position("sketch", F.col("bucket"))  # sketches of two tables are never equal
-    behind = F.transform(F.sequence(F.lit(1), F.lit(NEAR_TABLES)), lambda j: F.get("sketch", F.pmod(own - 1 + j, F.lit(tables)).cast("int")))
-    parts = rows.select("bucket", "node", "n", "label", F.explode(behind).alias("second"))
-    return parts.select(F.xxhash64("bucket", "second").alias("bucket"), "node", "n", "label")
-
-
 def keep_one(docs: DataFrame, key: str = "doc_id", column: str = "text", **how) -> DataFrame:
     """The document of the least key of each class. All columns of docs."""
     own = classes(docs, key, column, **how).filter(F.col(key).eqNullSafe(F.col("class_id"))).groupBy(F.col(key).alias("k"), "node").agg(F.count(F.lit(1)).alias("rows"))

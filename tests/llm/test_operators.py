@@ -167,6 +167,44 @@ def test_leaders_lose_no_link(spark):
     assert set(got.values()) == {0}
 
 
+def test_large_buckets_lose_no_pair_that_shares_a_sketch(spark):
+    """Similar pairs in one large divided bucket whose sketches agree in a single table."""
+    r = np.random.default_rng(5)
+    alone = lambda: r.integers(0, 2**62, near.TABLES)
+    text = lambda k, end: " ".join([f"g{k}w{i}" for i in range(39)] + [end])
+    rows, nodes = [], []
+    for k in range(60):
+        first = alone()
+        second = alone()
+        second[7] = first[7]
+        for end, own in (("x", first), ("y", second)):
+            t = text(k, end)
+            node = hashlib.md5(t.encode()).digest()
+            nodes.append((node, t, [int(v) for v in own]))
+            rows.append((1, node, 36, node))
+    rows = spark.createDataFrame(rows, "bucket long, node binary, n int, label binary")
+    nodes = spark.createDataFrame(nodes, "node binary, text string, sketch array<bigint>")
+    near.ensure_checkpoints(spark)
+    links = near._in_blocks(rows, nodes, nodes.select("node", "text"), 5, 0.8).collect()
+    assert len({(r.a, r.b) for r in links}) == 60
+
+
+def test_short_texts_one_gram_apart_share_a_sketch(spark):
+    r = np.random.default_rng(6)
+    seeds, shared = near.seeds_of(near.TABLES), 0
+    for k in range(1000):
+        x = r.integers(0, 2**63, 5 + k % 5, dtype=np.uint64)
+        at, y = k % len(x), x.copy()
+        y[at] += np.uint64(1)
+        z = np.insert(x, at, y[at]) if len(x) < near.SHORT else np.delete(x, at)
+        a, b, c = (set(near.sketch(v, seeds, near.PICKS).tolist()) for v in (x, y, z))
+        shared += bool(a & b) and bool(a & c)
+    assert shared == 1000
+    ends = [(i, " ".join([f"t{i // 2}w{j}" for j in range(8)] + [f"end{i}"])) for i in range(600)]
+    got = {r.doc_id: r.class_id for r in near.classes(spark.createDataFrame(ends, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
 def test_mixing_meets_targets(spark):
     r = np.random.default_rng(2)
     rows = [(i, " w" * int(n), s) for i, (n, s) in enumerate(zip(r.geometric(0.02, 1500), r.choice(["a", "b", "c", None, "é"], 1500, p=[0.5, 0.2, 0.2, 0.05, 0.05]), strict=True))]
