@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import ensure_checkpoints
+from .exchange import ensure_checkpoints, release
 
 #: Documents in a cell at most, about.
 CELL = 10_000
@@ -57,10 +57,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), top:
     return weighed.select("source", "source_size", share.alias("target"))
 
 
-def solve(cells: DataFrame, goals: DataFrame, top: float = 3.0, steps: int = 24, each: int = 8, close: float = 1e-9) -> DataFrame:
+def solve(cells: DataFrame, goals: DataFrame, top: float = 3.0, steps: int = 400, each: int = 8, close: float = 1e-9) -> DataFrame:
     """(source, unit, tilt) that meet the targets. cells: (source, size, n) with size > 0.
 
-    Sources whose target is their limit (or 0) have an infinite tilt of that sign."""
+    Sources whose target is their limit (or 0) have an infinite tilt of that sign. The bracket doubles
+    until it holds the target and is halved where a Newton step does not halve the distance; a source that
+    is not within ``close`` of its target after ``steps`` is an error."""
     spark = cells.sparkSession
     ensure_checkpoints(spark)
     sources = goals.count()
@@ -80,26 +82,31 @@ def solve(cells: DataFrame, goals: DataFrame, top: float = 3.0, steps: int = 24,
             rate = _rate(x, top)
             both = cells.join(_small(state.withColumnRenamed("source", "of"), sources), F.col("source").eqNullSafe(F.col("of")))
             sums = both.groupBy("source").agg(
-                F.first("unit").alias("unit"), F.first("target").alias("target"), F.first("tilt").alias("tilt"), F.first("low").alias("low"), F.first("high").alias("high"),
+                F.first("unit").alias("unit"), F.first("target").alias("target"), F.first("tilt").alias("tilt"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("off").alias("before"),
                 F.sum(F.col("n") * F.col("size") * rate).alias("got"),
                 F.sum(F.col("n") * F.col("size") * x * rate * (F.lit(1.0) - rate / F.lit(top))).alias("slope"),
             )
             off = F.col("got") - F.col("target")
             ends = sums.withColumns({"low": F.when(off < 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(off > 0, F.col("tilt")).otherwise(F.col("high")), "off": F.abs(off) / F.col("target")})
-            step = F.col("tilt") - off / F.col("slope")
-            inside = (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high")) & (F.abs(step - F.col("tilt")) <= 8)
+            step = F.col("tilt") - F.when(F.col("slope") > 0, off / F.col("slope"))
+            wide = F.greatest(F.lit(8.0), F.abs("tilt"))
+            open_ = (F.col("low") == float("-inf")) | (F.col("high") == float("inf"))
+            inside = (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high")) & (F.abs(step - F.col("tilt")) <= wide) & (open_ | (F.col("off") <= F.col("before") / 2))
             middle = (
-                F.when(F.col("low") == float("-inf"), F.col("tilt") - 4)
-                .when(F.col("high") == float("inf"), F.col("tilt") + 4)
+                F.when(F.col("low") == float("-inf"), F.col("tilt") - wide / 2 - F.abs("tilt") / 2)
+                .when(F.col("high") == float("inf"), F.col("tilt") + wide / 2 + F.abs("tilt") / 2)
                 .otherwise((F.col("low") + F.col("high")) / 2)
             )
             tilt = F.when((F.abs(F.col("tilt")) == float("inf")) | (F.col("off") <= close), F.col("tilt")).when(inside, step).otherwise(middle)
             state = ends.select("source", "unit", "target", tilt.alias("tilt"), "low", "high", "off")
             done += 1
         state = state.checkpoint()
+        release(spark)
         worst = state.filter(F.abs("tilt") != float("inf")).agg(F.max("off")).first()[0]
         if worst is None or worst <= close:
             break
+    else:
+        raise ArithmeticError(f"mixing: a source is off its target by {worst:.3g} of it after {done} steps")
     return state.select("source", "unit", "tilt")
 
 

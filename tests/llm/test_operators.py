@@ -205,6 +205,30 @@ def test_short_texts_one_gram_apart_share_a_sketch(spark):
     assert got == {i: i - i % 2 for i in range(600)}
 
 
+def test_tilts_of_a_few_long_and_many_short_documents(spark):
+    """Targets that need tilts far beyond a hundred."""
+    sources = [("a", 20_000, 30, 50, 10_000), ("b", 20_000, 1, 100, 200), ("c", 20_000, 10, 200, 1000)]
+    cells, goals = [], []
+    for name, x, n, y, m in sources:
+        for share in (0.1, 0.3, 1.0, 2.5, 2.8):
+            s, size = f"{name}{share}", x * n + y * m
+            cells += [(s, x, n), (s, y, m)]
+            goals.append((s, size, share * size))
+    tilts = mixing.solve(spark.createDataFrame(cells, "source string, size long, n long"), spark.createDataFrame(goals, "source string, source_size long, target double")).collect()
+    assert len(tilts) == 15 and max(abs(t.tilt) for t in tilts) > 96
+    for t in tilts:
+        rate = lambda x: 3 / (1 + 2 * math.exp(min(700.0, -t.tilt * x / t.unit)))  # noqa: B023, E731
+        got = sum(n * x * rate(x) for s, x, n in cells if s == t.source)
+        assert got == pytest.approx(next(g for s, _, g in goals if s == t.source), rel=1e-6)
+
+
+def test_mixing_says_when_a_target_is_not_reached(spark):
+    cells = spark.createDataFrame([("a", 20_000, 30), ("a", 50, 10_000)], "source string, size long, n long")
+    goals = spark.createDataFrame([("a", 1_100_000, 110_000.0)], "source string, source_size long, target double")
+    with pytest.raises(ArithmeticError):
+        mixing.solve(cells, goals, steps=2, each=2)
+
+
 def test_mixing_meets_targets(spark):
     r = np.random.default_rng(2)
     rows = [(i, " w" * int(n), s) for i, (n, s) in enumerate(zip(r.geometric(0.02, 1500), r.choice(["a", "b", "c", None, "é"], 1500, p=[0.5, 0.2, 0.2, 0.05, 0.05]), strict=True))]
