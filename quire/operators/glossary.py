@@ -79,7 +79,16 @@ def first_seen(terms: DataFrame, *by: str) -> DataFrame:
 
 
 def hint_order(hints: DataFrame) -> DataFrame:
-    return hints.orderBy(F.desc(F.col("target").isNotNull()), F.desc("occurrences"), "first_chunk", "source", "id")
+    return hints.orderBy(*_hint_keys())
+
+
+def hint_places(hints: DataFrame) -> DataFrame:
+    """Adds each hint's place in that order, from 1."""
+    return hints.withColumn("place", F.row_number().over(Window.orderBy(*_hint_keys())).cast("long"))
+
+
+def _hint_keys() -> list:
+    return [F.desc(F.col("target").isNotNull()), F.desc("occurrences"), "first_chunk", "source", "id"]
 
 
 def cast_block(hints: DataFrame, most: int = CAST, *by: str) -> DataFrame:

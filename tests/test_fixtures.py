@@ -244,3 +244,12 @@ def test_word_packs(spark, tmp_path):
         (tmp_path / "e.json").write_text('{"seq": 1}\nnot json\n')
         S.event_lines(spark, str(tmp_path / "e.json")).collect()
     assert S.event_lines(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_every_hint_has_a_place(spark, sf_dir):
+    from quire import registry
+
+    rows = registry.queries()["srt06_hint_places"](spark, sf_dir).collect()
+    assert len(rows) > 100 and sorted(r.place for r in rows) == list(range(1, len(rows) + 1))
+    first = registry.queries()["srt06_hint_order"](spark, sf_dir).collect()
+    assert [r.id for r in sorted(rows, key=lambda r: r.place)][:100] == [r.id for r in first]
