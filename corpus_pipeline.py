@@ -28,8 +28,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that ten or more of them hold; whole copies wait for the next stage."""
-    out = lines.drop_common_lines(docs, least_docs=10, least_chars=1, spare_copies=True)
+    """Documents without lines that ten or more distinct texts hold; copies wait for the next stage."""
+    out = lines.drop_common_lines(docs, lines.of_distinct_texts(docs), least_docs=10, least_chars=1)
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

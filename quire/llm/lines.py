@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytestext import M1, M2, R32, SPACES, member
-from .exchange import boxed_schema, by_shard, chunk_count, found_keys, in_chunks, pack, row_texts, shard_count, strings, tally, unboxed, unpack
+from .exchange import boxed_schema, by_shard, chunk_count, found_keys, in_chunks, pack, release, row_texts, shard_count, shared_dir, strings, tally, unboxed, unpack
 
 SLOTS = 4
 STATE = "shard int, shards int, keys binary, refs binary, filter binary"
@@ -197,14 +197,30 @@ def change_state(state: DataFrame | None, docs: DataFrame, sign: int, column: st
     return state.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(merge, STATE)
 
 
+def of_distinct_texts(docs: DataFrame, column: str = "text", least_chars: int = 1) -> DataFrame:
+    """The state in which a line counts once for each distinct text that has it: the lines of exact
+    copies are not common because of the copies."""
+    spark = docs.sparkSession
+    text = docs.select(F.coalesce(F.col(f"`{column}`"), F.lit("")).alias("text"))
+    distinct = text.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary")))).dropDuplicates(["digest"])
+    path = shared_dir(spark)
+    distinct.select("digest", "text").write.parquet(path)
+    release(spark)
+    distinct = spark.read.schema("digest binary, text string").parquet(path)
+    state, path = change_state(None, distinct, 1, "text", least_chars), shared_dir(spark)
+    state.write.parquet(path)
+    release(spark)
+    return spark.read.schema(STATE).parquet(path)
+
+
 def drop_common_lines(docs: DataFrame, state: DataFrame | None = None, column: str = "text", least_docs: int = 10, least_chars: int = 1, spare_copies: bool = False) -> DataFrame:
     """Documents without the lines whose key is in at least ``least_docs`` documents of the state
     (None: of docs themselves). The columns of docs with the text cut, then n_lines (before) and
     n_dropped.
 
     spare_copies: documents that consist of common lines for the most part (nothing would be left, or
-    three lines and half of the characters would go) are copies of each other rather than holders of
-    boilerplate. They stay whole, for a near-dedup to keep one of them."""
+    three lines and half of the characters would go) stay whole. Nothing checks that they are copies;
+    a state ``of_distinct_texts`` protects copies without keeping boilerplate."""
     chunks = chunk_count(docs, column)
     shards = shard_count(chunks)
     if state is not None:

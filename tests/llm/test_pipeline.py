@@ -49,3 +49,16 @@ def test_each_stage_does_its_work(spark, results):
 
 def test_run_equals_the_stages(spark, results):
     assert P.run(spark, SF).count() == results[-1][1].count()
+
+
+def test_boilerplate_goes_and_copies_stay(spark):
+    """Documents that are boilerplate for the most part lose it and keep their own line; exact copies stay whole."""
+    licence = "\n".join(f"license line {k} with a few more words of it" for k in range(8))
+    rows = [(i, f"{licence}\nbody {i}", "en", "a", 0) for i in range(12)] + [(100 + i, "copied one\ncopied two", "en", "a", 0) for i in range(12)]
+    rows += [(200, licence, "en", "a", 0), (201, None, "en", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in P.line_dedup(spark, docs, SF).collect()}
+    assert len(out) == 26 and all(out[i].text == f"body {i}" and out[i].n_chars == len(f"body {i}") for i in range(12))
+    assert all(out[100 + i].text == "copied one\ncopied two" for i in range(12)) and out[200].text == ""
+    assert {r.doc_id for r in P.near_dedup(spark, P.line_dedup(spark, docs, SF), SF).collect()} >= set(range(12)) | {100}
+    assert P.line_dedup(spark, docs.limit(0), SF).count() == 0
