@@ -20,14 +20,37 @@ CHUNKS_PER_SHARD = 3
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names in ``spark.checkpoint.dir``; where
-    that is unset, as in tests, one in the warehouse."""
+    """A new folder in the shared one that the cluster names in ``spark.checkpoint.dir``; where that is
+    unset, one in the warehouse of a local session, as in tests, and an error on a cluster."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/quire-shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/quire-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+class Shelf:
+    """The stored tables of one computation, in a database of their own in the shared folder. They cut
+    lineage, and dropping one deletes its files."""
+
+    def __init__(self, spark: SparkSession):
+        import uuid
+
+        self.spark, self.name = spark, f"quire_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {self.name} LOCATION '{shared_dir(spark)}'")
+
+    def put(self, table: str, df: DataFrame) -> DataFrame:
+        df.write.saveAsTable(f"{self.name}.{table}")
+        release(self.spark)
+        return self.spark.table(f"{self.name}.{table}")
+
+    def drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}.{table}")
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))

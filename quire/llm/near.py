@@ -7,19 +7,19 @@ table make candidates. Two documents are linked if the edit similarity of their
 1 - distance / longer length, is at least ``similarity``: decided by cheap bounds where these suffice, else
 by an alignment restricted to the band of allowed differences. Classes are the connected components.
 
-Exact copies are one node. Documents that share a sketch are not paired with each other: a leader of
-the bucket is compared with the others, which usually joins them, and what stays apart meets a few
-members of the bucket's largest component (all members, where these are few). Whatever is divided even
-then is compared in blocks of bounded size, the part that is apart with all of the group, for every pair
-that shares a sketch. So every two documents with a common sketch end up connected or compared, however
-large their bucket. Documents at the least similarity lack one in 2 cases of 1,000 at most (ten grams) and
-0.2 of 1,000 where they are long. Sequences of ``SHORT`` grams or fewer that are one edit apart always have
-one: their last sketches are the sequence itself and what is left of it without one of its grams. Nothing
-is capped or sampled.
+Exact copies are one node. Documents that share a sketch are not paired with each other: every document
+meets the leader with which it shares most sketches, which joins most of a bucket. Of a bucket that is
+divided still, every document apart from its largest component meets all the others, in tasks of bounded
+size that return only links; pairs whose grams overlap too little for the similarity are passed over at once
+there, whatever is left is aligned. So every two documents with a common sketch end up connected or
+compared, however large their bucket. Documents at the least similarity lack one in 2 cases of 1,000 at
+most (ten grams) and 0.2 of 1,000 where they are long. Sequences of ``SHORT`` grams or fewer that are one
+edit apart always have one: their last sketches are the sequence itself and what is left of it without one
+of its grams.
 
 Defined results: a null text counts as empty; texts without words are linked to exact copies alone;
-repeated rows are copies; an empty table gives an empty result; columns named like new ones are
-replaced.
+repeated rows are copies; a class whose keys are all null has the key null; an empty table gives an
+empty result; columns named like new ones are replaced.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytestext import groups_of, mix, split_words, text_bytes, windows
-from .exchange import boxed, ensure_checkpoints, release, shared_dir, unboxed
+from .exchange import Shelf, boxed, unboxed
 
 GRAM, SIMILARITY, TABLES, PICKS = 5, 0.8, 40, 4
 BATCH = 4_000_000
@@ -40,8 +40,9 @@ BATCH = 4_000_000
 SHORT = 9
 #: Grams of the least sequence that may differ in one at SIMILARITY.
 EDIT = 5
-#: Pairs of a bucket that leaders are chosen for, and documents in a block.
-WORK, BLOCK = 256, 256
+#: Documents and grams in a block, and rows of a small table that may be broadcast (about 60 bytes each).
+BLOCK, GRAMS = 4_096, 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def gram_sequences(texts: list[bytes], gram: int) -> list[np.ndarray]:
@@ -166,11 +167,10 @@ def banded(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     return False
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf, name: str) -> DataFrame:
     """(node, label): every node of the edges (a, b) with the least node of its component. Labels spread
     over edges, twice a job; from the third job on they also jump along themselves, so that long chains
     take a logarithm of jobs."""
-    ensure_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels, job = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), 0
     while True:
@@ -181,7 +181,9 @@ def components(edges: DataFrame) -> DataFrame:
                 near = near.union(hop)
             spread = near.union(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
             labels = spread if last else spread.select("node", "label")
-        done = labels.checkpoint()
+        done = shelf.put(f"{name}_{job}", labels)
+        if job:
+            shelf.drop(f"{name}_{job - 1}")
         labels, job = done.select("node", "label"), job + 1
         if done.filter("old <> label").isEmpty():
             return labels
@@ -209,81 +211,71 @@ def sketches(docs: DataFrame, key: str, column: str, gram: int, tables: int, pic
     return docs.selectExpr(f"`{key}` AS key", f"`{column}` AS text").mapInArrow(make, f"key {kind}, node binary, n int, sketch array<bigint>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, gram: int, similarity: float) -> DataFrame:
-    """Adds to pairs (a, b) of nodes whether their texts are similar enough: ok."""
-
-    def verify(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            left, right = text_bytes(batch.column("text_a")), text_bytes(batch.column("text_b"))
-            ok: list[bool] = []
-            for a, b in groups_of([len(x) + len(y) for x, y in zip(left, right, strict=True)], BATCH):
-                grams = gram_sequences(left[a:b] + right[a:b], gram)
-                for i in range(b - a):
-                    x, y = grams[i], grams[b - a + i]
-                    ok.append(within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)))
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(ok, pa.bool_())})
-
-    full = (
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
-    return full.mapInArrow(verify, "a binary, b binary, ok boolean")
-
-
-def _stored(df: DataFrame, spark: SparkSession) -> DataFrame:
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def classes(docs: DataFrame, key: str = "doc_id", column: str = "text", gram: int = GRAM, similarity: float = SIMILARITY, tables: int = TABLES, picks: int = PICKS) -> DataFrame:
     """(key, node, class_id): for every row the least key of its class. node is md5 of the text."""
-    spark = docs.sparkSession
-    ensure_checkpoints(spark)
-    made = _stored(sketches(docs, key, column, gram, tables, picks), spark)
-    nodes = _stored(made.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), spark)
-    rows = nodes.filter("n > 0").select(F.explode(F.when(F.col("n") <= SHORT, F.array_distinct("sketch")).otherwise(F.col("sketch"))).alias("bucket"), "node", "n")
+    shelf = Shelf(docs.sparkSession)
+    made = shelf.put("made", sketches(docs, key, column, gram, tables, picks))
+    nodes = made.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).filter("n > 0")
+    rows = shelf.put("rows", nodes.select(F.explode(F.when(F.col("n") <= SHORT, F.array_distinct("sketch")).otherwise(F.col("sketch"))).alias("bucket"), "node", "n"))
     lead = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = _stored(rows.join(lead.select("bucket", "lead"), "bucket").select("bucket", "node", "n", "lead"), spark)
-    wanted = members.select("node").distinct()
+    members = shelf.put("members", rows.join(lead.select("bucket", "lead"), "bucket").select("bucket", "node", "n", "lead"))
+    shelf.drop("rows")
+    # exact copies are one before texts meet, so their number does not matter
+    wanted = shelf.put("wanted", members.select("node").distinct())
     texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(f"`{column}`"), F.lit("")).cast("binary"))).alias("node"), F.col(f"`{column}`").alias("text"))
-    texts = _stored(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), spark)
+    if wanted.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(wanted), "node", "left_semi").dropDuplicates(["node"])
+    else:
+        texts = texts.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
+    texts = shelf.put("texts", texts)
+    shelf.drop("wanted")
 
-    allowed = lambda x, y: F.abs(x - y) <= F.floor((1 - similarity) * F.greatest(x, y) + 1e-9)
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     # first every document meets the leader with which it shares most sketches
-    stars = members.filter((F.col("node") != F.col("lead.node")) & allowed(F.col("n"), F.col("lead.n"))).groupBy("node", F.col("lead.node").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
-    first = stars.groupBy("node").agg(F.max_by("other", F.struct("shared", "other")).alias("other")).select(*ordered(F.col("node"), F.col("other"))).distinct()
-    tested = verified(first, texts, gram, similarity).checkpoint()
-    label = components(tested.filter("ok"))
-    release(spark)
-    # then, where little of a bucket is apart from its largest component, that meets all others; else it
-    # meets a few members of the largest component, which usually joins most of it
-    waiting = _divided(_labelled(members.select("bucket", "node", "n"), label)).checkpoint()
-    outside = F.col("label") != F.col("main")
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(outside, F.xxhash64("node", "bucket"), "node"))
-    chosen = F.when(F.col("apart") * F.col("size") <= WORK, outside).otherwise(~outside & (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(WORK) / F.col("apart")))))
-    leads = waiting.withColumn("rank", rank).withColumn("leads", chosen).select("bucket", "node", "n", "label", "leads")
-    leaders = leads.filter("leads").select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("of"))
-    pairs = (
-        waiting.join(leaders, "bucket").filter((F.col("label") != F.col("of")) & allowed(F.col("n"), F.col("m")))
-        .select(*ordered(F.col("node"), F.col("other"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    stars = (
+        members.filter((F.col("node") != F.col("lead.node")) & _allowed(F.col("n"), F.col("lead.n"), similarity))
+        .groupBy("node", "n", F.col("lead.node").alias("other"), F.col("lead.n").alias("m")).agg(F.count(F.lit(1)).alias("shared"))
+        .groupBy("node", "n").agg(F.max_by(F.struct("other", "m"), F.struct("shared", "other")).alias("to"))
+    )
+    stars = shelf.put("stars", stars.select(F.col("to.other").alias("of_group"), "node", "n", F.col("node").alias("label"), F.col("to.m").alias("m")))
+    leaders = stars.select("of_group", F.col("of_group").alias("node"), F.col("m").alias("n"), F.col("of_group").alias("label")).distinct()
+    links = linked(leaders, stars.drop("m"), texts, gram, similarity, shelf, "first")
+    shelf.drop("stars")
+    label = components(links, shelf, "label")
+    # then the members of buckets that are divided still: those apart from the largest component meet all.
+    # Buckets with the same largest component are one group
+    group = shelf.put("group", _divided(_labelled(members, label)).select(F.col("main").alias("of_group"), "node", "n", "label").distinct())
+    shelf.drop("members")
+    sizes = group.groupBy("of_group").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
+    pairs = sizes.filter((F.col("size") == 2) & ~_allowed(F.col("least"), F.col("most"), similarity)).select("of_group")
+    group = group.join(pairs, "of_group", "left_anti")
+    more = linked(group.filter("label <> of_group"), group, texts, gram, similarity, shelf, "second")
+    shelf.drop("group"), shelf.drop("texts")
+    # components of components
+    over = lambda at, to: label.select(F.col("node").alias(at), F.col("label").alias(to))
+    joined = (
+        more.join(over("a", "la"), "a", "left").join(over("b", "lb"), "b", "left")
+        .select(F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y")).filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     )
-    tested = tested.union(verified(pairs, texts, gram, similarity).checkpoint())
-    label = components(tested.filter("ok"))
-    release(spark)
-    # what is large and divided still is compared in blocks; a leader has met all others
-    waiting = leads.filter("NOT leads").select("bucket", "node", "n")
-    links = _in_blocks(_labelled(waiting, label), nodes, texts, gram, similarity).checkpoint()
-    if not links.isEmpty():
-        label = components(tested.filter("ok").select("a", "b").union(links))
-    named = made.select("key", "node").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("key").alias("class_id"))
-    return named.join(least, "label").select(F.col("key").alias(key), "node", "class_id")
+    joined = shelf.put("joined", joined)
+    shelf.drop("second")
+    if not joined.isEmpty():
+        top = components(joined, shelf, "top").select(F.col("node").alias("label"), F.col("label").alias("top"))
+        single = top.join(label, top["label"] == label["node"], "left_anti").select(F.col("label").alias("node"), "top")  # in no component before
+        known = label.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")).union(single.select("node", F.col("top").alias("label")))
+        label = shelf.put("final", known)
+    named = made.select("key", "node").join(_small(label.select(F.col("node").alias("of"), "label")), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    least = shelf.put("least", named.groupBy("label").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("label").alias("of"), "least"))
+    out = named.join(_small(least), F.col("label") == F.col("of"), "left")
+    return out.select(F.col("key").alias(key), "node", F.when(F.col("of").isNull(), F.col("key")).otherwise(F.col("least")).alias("class_id"))
+
+
+def _allowed(x: Column, y: Column, similarity: float) -> Column:
+    return F.abs(x - y) <= F.floor((1 - similarity) * F.greatest(x, y) + 1e-9)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """Broadcast where the rows, counted now, are few; else Spark shuffles both sides."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -291,70 +283,103 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _divided(known: DataFrame) -> DataFrame:
-    """Adds to members (bucket, node, n, label) the bucket's largest component (main), its size and how
-    many members are apart; buckets of one component go."""
+    """Adds to members (bucket, node, n, label) the bucket's largest component (main); buckets of one
+    component go."""
     by_label = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("same"))
-    open_ = by_label.groupBy("bucket").agg(F.max(F.struct("same", "label")).alias("main"), F.sum("same").alias("size"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    return known.join(open_.select("bucket", F.col("main.label").alias("main"), "size", (F.col("size") - F.col("main.same")).alias("apart")), "bucket")
-
-
-def _in_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, gram: int, similarity: float) -> DataFrame:
-    """Links (a, b) among members of divided buckets (bucket, node, n, label).
-
-    The members of all buckets with one largest component form a group. Those apart from it are dealt
-    to blocks, as are all members, and every block of the former meets every block of the latter in a
-    task of its own: bounded however large the group is, and only links leave it. In a task the pairs
-    of different components that share a sketch are verified, unless others have connected them there
-    already."""
-    group = _divided(rows).select(F.col("main").alias("of_group"), "node", "n", "label").distinct().checkpoint()
-    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
-    sizes = group.groupBy("of_group").agg(blocks(F.count(F.lit(1))).alias("wide"), blocks(F.count_if(F.col("label") != F.col("of_group"))).alias("narrow"))
-    dealt = group.join(sizes, "of_group")
-    dice = F.xxhash64("node")
-    left = dealt.filter(F.col("label") != F.col("of_group")).select("of_group", F.pmod(dice, F.col("narrow")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), "node", "n", "label", F.lit(0).alias("side"))
-    right = dealt.select("of_group", F.explode(F.sequence(F.lit(0), F.col("narrow") - 1)).alias("i"), F.pmod(dice, F.col("wide")).cast("int").alias("j"), "node", "n", "label", F.lit(1).alias("side"))
-    full = left.union(right).join(nodes.select("node", "sketch"), "node").join(texts, "node")
+    open_ = by_label.groupBy("bucket").agg(F.max(F.struct("same", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    return known.join(open_.select("bucket", F.col("main.label").alias("main")), "bucket")
 
-    def meet(table):
-        import pyarrow as pa
 
-        rows = table.select(["node", "n", "label", "side"]).to_pydict()
-        sketches = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-        side, n = np.array(rows["side"]), np.array(rows["n"], dtype=np.int64)
-        names = {x: i for i, x in enumerate(dict.fromkeys(rows["label"]))}
-        own = np.array([names[x] for x in rows["label"]])
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        grams: dict[int, np.ndarray] = {}
-        found = text_bytes(table.column("text"))
+def linked(left: DataFrame, right: DataFrame, texts: DataFrame, gram: int, similarity: float, shelf: Shelf, name: str) -> DataFrame:
+    """Links (a, b) between the left and the right documents (of_group, node, n, label) of each group
+    that no label joins; those that others have connected meanwhile may be left out.
 
-        def sequence(i: int) -> np.ndarray:
-            if i not in grams:
-                grams[i] = gram_sequences([found[i]], gram)[0]
-            return grams[i]
+    Both sides are dealt to blocks of at most about ``BLOCK`` documents and ``GRAMS`` grams, and every left
+    block of a group meets every right one: bounded work however large the group is, of which only links
+    leave the task. Tasks take as many such meetings as make about ``GRAMS`` grams."""
+    blocks = lambda rows, to: rows.groupBy("of_group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))), F.ceil(F.sum("n") / F.lit(float(GRAMS))), F.lit(1)).cast("int").alias(to))
+    sizes = blocks(left, "narrow").join(blocks(right, "wide"), "of_group")
+    dice = F.xxhash64("node")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(dice, F.col(n)).cast("int")
+    dealt = left.join(sizes, "of_group").select("of_group", own("narrow").alias("i"), all_of("wide").alias("j"), "node", "n", "label", F.lit(0).alias("side"))
+    dealt = dealt.union(right.join(sizes, "of_group").select("of_group", all_of("narrow").alias("i"), own("wide").alias("j"), "node", "n", "label", F.lit(1).alias("side")))
+    dealt = shelf.put(f"{name}_dealt", dealt)
+    grams = dealt.agg(F.sum("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("of_group", "i", "j"), F.lit(max(12, -(-grams // GRAMS)))).cast("int")
+    full = dealt.select(part.alias("part"), F.xxhash64("of_group", "i", "j").alias("cell"), "node", "label", "side").join(texts, "node")
 
-        root = list(range(len(names)))
+    def meet(table):
+        import pyarrow as pa
 
-        def find(k: int) -> int:
+        a, b = meetings(table, gram, similarity)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    links = shelf.put(name, full.groupBy("part").applyInArrow(meet, "a binary, b binary"))
+    shelf.drop(f"{name}_dealt")
+    return links
+
+
+def meetings(table, gram: int, similarity: float) -> tuple[list[bytes], list[bytes]]:
+    """The links within each cell of a table (cell, node, label, side, text)."""
+    node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
+    cell, side = (table.column(c).to_numpy() for c in ("cell", "side"))
+    name: dict[bytes, int] = {}
+    own = np.array([name.setdefault(x, len(name)) for x in node])
+    first = {k: i for i, k in reversed(list(enumerate(own.tolist())))}
+    found = text_bytes(table.column("text").take([first[k] for k in range(len(name))]))
+    grams: list[np.ndarray] = []
+    for a, b in groups_of([len(x) for x in found], BATCH):
+        grams += gram_sequences(found[a:b], gram)
+    n = np.array([len(x) for x in grams], dtype=np.int64)
+    kind: dict[bytes, int] = {}
+    of = np.array([kind.setdefault(x, len(kind)) for x in label])
+    out_a: list[bytes] = []
+    out_b: list[bytes] = []
+    order = np.lexsort((side, cell))
+    cut = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1], [True]]))
+    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        rows = order[s:e]
+        x, y = rows[side[rows] == 0], rows[side[rows] == 1]
+        if not len(x) or not len(y):
+            continue
+        root = {int(k): int(k) for k in of[rows]}
+
+        def find(k: int, root=root) -> int:
             while root[k] != k:
                 root[k] = root[root[k]]
                 k = root[k]
             return k
 
-        out: list[tuple] = []
-        for i in x:
-            near = (sketches[y] == sketches[i]).any(axis=1)
-            if n[i] <= SHORT:  # what a deletion leaves may be at another place
-                few = np.flatnonzero(n[y] <= SHORT)
-                near[few] |= np.isin(sketches[y[few], -SHORT - 1 :], sketches[i, -SHORT - 1 :]).any(axis=1)
-            most = ((1 - similarity) * np.maximum(n[y], n[i]) + 1e-9).astype(np.int64)
-            for k in np.flatnonzero(near & (own[y] != own[i]) & (np.abs(n[y] - n[i]) <= most)):
-                p, q = find(own[i]), find(own[y[k]])
-                if p != q and within(sequence(i), sequence(y[k]), int(most[k])):
+        sizes = n[own[y]]
+        if len(y) > 4:  # how many grams of each right document a left one has, at once for all of them
+            every, at = np.unique(np.concatenate([grams[k] for k in own[y]] + [grams[k] for k in own[x]]), return_inverse=True)
+            right, starts = at[: sizes.sum()], np.cumsum(sizes) - sizes
+            mark, left_at = np.zeros(len(every), dtype=np.int32), int(sizes.sum())
+        for i in x.tolist():
+            size = int(n[own[i]])
+            most = ((1 - similarity) * np.maximum(sizes, size) + 1e-9).astype(np.int64)
+            may = (of[y] != of[i]) & (np.abs(sizes - size) <= most)
+            common = None
+            if len(y) > 4:
+                mine = at[left_at : left_at + size]
+                left_at += size
+                if not may.any():
+                    continue
+                mark[mine] = 1
+                common = np.add.reduceat(mark[right], starts)
+                mark[mine] = 0
+                may &= common >= np.maximum(sizes, size) - most  # no alignment matches more
+            close = np.flatnonzero(may)
+            if common is not None:
+                close = close[np.argsort(-common[close], kind="stable")]
+            for k in close.tolist():
+                p, q = find(int(of[i])), find(int(of[y[k]]))
+                if p != q and within(grams[own[i]], grams[own[y[k]]], int(most[k])):
                     root[p] = q
-                    out.append(tuple(sorted((rows["node"][i], rows["node"][y[k]]))))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
-
-    return full.groupBy("of_group", "i", "j").applyInArrow(meet, "a binary, b binary")
+                    out_a.append(node[i])
+                    out_b.append(node[y[k]])
+    return out_a, out_b
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", column: str = "text", **how) -> DataFrame:
