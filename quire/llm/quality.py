@@ -3,9 +3,10 @@
 Every byte has a learned vector. Filters ``WIDTH`` bytes wide run over the text in steps of ``STEP``, and
 their responses are max-pooled within chunks of ``CHUNK`` bytes that overlap by half and cover the whole
 document, however long. A document's features are the mean and the maximum of its chunks' pools; a
-logistic unit combines them into one probability. Learned in NumPy by Adam on a bounded sample of
-labelled rows (``SAMPLE``, those with the least hashes of their keys); scores need one pass over the
-texts and no shuffle.
+logistic unit combines them into one probability. Learned in NumPy by Adam from the whole texts of a
+bounded sample of labelled rows (``SAMPLE``, those with the least hashes of their keys); scores need one
+pass over the texts and no shuffle. Long texts are worked on in pieces of whole chunks, so memory is
+bounded, and a score does not depend on the texts beside it.
 
 Defined results: a null or empty text scores like one chunk of padding, within 0 to 1; repeated rows
 score alike; without labelled rows of both kinds every text scores the share of good labels (0.5 if
@@ -14,6 +15,9 @@ there are none); an empty table gives an empty result; columns named like new on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,15 +26,52 @@ from .bytestext import groups_of
 from .exchange import boxed, boxed_schema, row_texts, unboxed
 
 WIDTH, STEP, BLOCK, CHUNK = 16, 4, 128, 512
-DEPTH, FILTERS = 8, 24
-#: Labelled rows to learn from at most, and bytes of each that a training pass sees (whole chunks drawn
-#: anew from all over the text in every pass). Scores always see the whole text.
-SAMPLE, SEEN, PASSES, GROUP = 4_000, 2_048, 10, 64
+HALF = CHUNK // BLOCK // 2
+DEPTH, FILTERS = 8, 16
+#: Labelled rows to learn from at most. Their whole texts are learned from.
+SAMPLE, PASSES, GROUP = 3_000, 4, 32
 #: Updates of the weights at least.
 UPDATES = 400
-BATCH = 1_500_000
-#: Bytes of a labelled text that the driver holds at most: a stretch from a place its key's hash chooses.
-HELD = 100_000
+#: Chunks of a piece, and bytes of the pieces that are worked on at once.
+PIECE, BATCH = 2_048, 1_500_000
+
+
+class Piece(NamedTuple):
+    """Some chunks of a text, with the block behind them or what pads the text's end."""
+
+    text: int
+    data: bytes
+    chunks: int
+
+
+class Forward(NamedTuple):
+    data: np.ndarray
+    x: np.ndarray
+    arg: np.ndarray  # the step of the greatest response of each block and filter
+    block: np.ndarray  # the block of that in each chunk
+    pre: np.ndarray
+    text: np.ndarray  # the text of each chunk
+
+
+def batches_of(texts: list[bytes]) -> Iterator[list[Piece]]:
+    """The pieces of all texts in order, in lists of about BATCH bytes; a text's end is padded by what a
+    filter needs at least."""
+    out: list[Piece] = []
+    size = 0
+    for i, text in enumerate(texts):
+        blocks = -(-(max(len(text), 1) + WIDTH - STEP) // BLOCK)
+        chunks = max(-(-(blocks - HALF) // HALF), 1)
+        for a in range(0, chunks, PIECE):
+            n = min(PIECE, chunks - a)
+            end = min(((a + n - 1) * HALF + CHUNK // BLOCK + 1), blocks)
+            data = text[a * HALF * BLOCK : end * BLOCK].ljust((end - a * HALF) * BLOCK, b"\0")
+            if out and size + len(data) > BATCH:
+                yield out
+                out, size = [], 0
+            out.append(Piece(i, data, n))
+            size += len(data)
+    if out:
+        yield out
 
 
 class Network:
@@ -43,86 +84,86 @@ class Network:
         }
         self.prior: float | None = None
 
-    def pools(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Bytes of all texts padded to whole blocks, the responses by (block, step, filter), the
-        blocks of each text and the first of them."""
-        sizes = np.array([max(len(t), 1) for t in texts], dtype=np.int64)
-        blocks = -(-sizes // BLOCK)
-        first = np.concatenate([[0], np.cumsum(blocks)])
-        data = np.frombuffer(b"".join(t.ljust(int(n) * BLOCK, b"\0") for t, n in zip(texts, blocks, strict=True)) + b"\0" * (WIDTH - STEP), dtype=np.uint8)
+    def forward(self, pieces: list[Piece]) -> Forward:
+        """The pools of all chunks of the pieces, and where they come from."""
+        blocks = np.array([len(x.data) // BLOCK for x in pieces], dtype=np.int64)
+        first = np.cumsum(blocks) - blocks
+        data = np.frombuffer(b"".join(x.data for x in pieces) + b"\0" * (WIDTH - STEP), dtype=np.uint8)
         x = self.p["bytes"][data].reshape(-1, STEP * DEPTH)  # a filter is a sum over its steps
         w = self.p["filters"].reshape(WIDTH // STEP, STEP * DEPTH, FILTERS)
         n = len(x) - len(w) + 1
         y = x[:n] @ w[0]
         for k in range(1, len(w)):
             y += x[k : n + k] @ w[k]
-        return data, x, y.reshape(-1, BLOCK // STEP, FILTERS), blocks, first
-
-    def chunks(self, blocks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last block of every chunk, and the text of each."""
-        half = CHUNK // BLOCK // 2
-        n = np.maximum(-(-(blocks - half) // half), 1)
-        text = np.repeat(np.arange(len(blocks)), n)
-        place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        start = first[text] + place * half
-        return start, np.minimum(start + CHUNK // BLOCK, first[text + 1]), text
-
-    def features(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        _, _, y, blocks, first = self.pools(texts)
-        best = y.max(axis=1)
-        start, end, text = self.chunks(blocks, first)
-        reach = CHUNK // BLOCK
-        at = np.minimum(start[:, None] + np.arange(reach), end[:, None] - 1)
-        pool = np.maximum(best[at].max(axis=1) + self.p["bias"], 0)
-        cut = np.searchsorted(text, np.arange(len(texts)))
-        return np.add.reduceat(pool, cut) / np.bincount(text, minlength=len(texts))[:, None], np.maximum.reduceat(pool, cut)
+        y = y.reshape(-1, BLOCK // STEP, FILTERS)
+        y[first + blocks - 1, 1 - WIDTH // STEP :] = -np.inf  # windows that would reach into the next piece
+        arg = y.argmax(axis=1)
+        best = np.take_along_axis(y, arg[:, None, :], axis=1)[:, 0]
+        n = np.array([x.chunks for x in pieces], dtype=np.int64)
+        of = np.repeat(np.arange(len(pieces)), n)
+        start = first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * HALF
+        at = np.minimum(start[:, None] + np.arange(CHUNK // BLOCK), (first + blocks)[of, None] - 1)
+        block = np.take_along_axis(at, best[at].argmax(axis=1), axis=1)  # (chunk, filter)
+        pre = np.take_along_axis(best, block, axis=0) + self.p["bias"]
+        return Forward(data, x, arg, block, pre, np.array([x.text for x in pieces])[of])
+
+    def pooled(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """The mean and the greatest pool of each text by filter, the chunks that have the latter, the
+        texts' chunks, and the last forward step."""
+        mean, most, ties = (np.zeros((len(texts), FILTERS), np.float32) for _ in range(3))
+        count, step = np.zeros(len(texts), np.float32), None
+        for pieces in batches_of(texts):
+            step = self.forward(pieces)
+            pool, text = np.maximum(step.pre, 0), step.text
+            cut = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            own = text[cut]
+            mean[own] += np.add.reduceat(pool, cut)
+            count[own] += np.diff(np.append(cut, len(text)))
+            top = np.maximum.reduceat(pool, cut)
+            same = np.add.reduceat((pool == np.repeat(top, np.diff(np.append(cut, len(text))), axis=0)).astype(np.float32), cut)
+            ties[own] = np.where(top > most[own], same, ties[own] + same * (top == most[own]))
+            most[own] = np.maximum(most[own], top)
+        return mean / np.maximum(count, 1)[:, None], most, ties, count, step
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(texts), self.prior)
         if not texts:
             return np.zeros(0)
-        mean, most = self.features(texts)
+        mean, most, *_ = self.pooled(texts)
         z = mean.astype(np.float64) @ self.p["mean"] + most.astype(np.float64) @ self.p["most"] + float(self.p["out"][0])
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def gradient(self, texts: list[bytes], labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        data, x, y, blocks, first = self.pools(texts)
-        arg = y.argmax(axis=1)
-        best = np.take_along_axis(y, arg[:, None, :], axis=1)[:, 0]
-        start, end, text = self.chunks(blocks, first)
-        at = np.minimum(start[:, None] + np.arange(CHUNK // BLOCK), end[:, None] - 1)
-        which = best[at].argmax(axis=1)
-        block = np.take_along_axis(at, which, axis=1)  # (chunk, filter)
-        pre = np.take_along_axis(best, block, axis=0) + self.p["bias"]
-        pool = np.maximum(pre, 0)
-        cut = np.searchsorted(text, np.arange(len(texts)))
-        count = np.bincount(text, minlength=len(texts)).astype(np.float32)
-        mean, most = np.add.reduceat(pool, cut) / count[:, None], np.maximum.reduceat(pool, cut)
+        mean, most, ties, count, step = self.pooled(texts)
         z = mean @ self.p["mean"] + most @ self.p["most"] + self.p["out"]
         dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight).astype(np.float32)
-        g = {"mean": mean.T @ dz, "most": most.T @ dz, "out": np.array([dz.sum()], np.float32)}
-        top = (pool == most[text]) & (pool > 0)
-        share = np.maximum(np.add.reduceat(top.astype(np.float32), cut), 1)
-        dpool = (dz / count)[text][:, None] * self.p["mean"] + top * (dz[:, None] * self.p["most"] / share)[text]
-        dpool *= pre > 0
-        g["bias"] = dpool.sum(axis=0)
-        step = block * (BLOCK // STEP) + np.take_along_axis(arg, block, axis=0)
-        rows = step.ravel()
-        d = dpool.ravel()
-        fil = np.tile(np.arange(FILTERS), len(dpool))
-        live = d != 0
-        rows, d, fil = rows[live], d[live], fil[live]
-        window = np.concatenate([x[rows + k] for k in range(WIDTH // STEP)], axis=1)
-        g["filters"] = np.zeros_like(self.p["filters"])
-        g["bytes"] = np.zeros_like(self.p["bytes"])
-        for f in range(FILTERS):
-            own = fil == f
-            g["filters"][:, f] = d[own] @ window[own]
-        back = (d[:, None] * self.p["filters"].T[fil]).reshape(len(d), WIDTH, DEPTH)
-        byte = data[rows[:, None] * STEP + np.arange(WIDTH)]
-        for k in range(DEPTH):
-            g["bytes"][:, k] = np.bincount(byte.ravel(), back[:, :, k].ravel(), 256)
+        g = {k: np.zeros_like(x) for k, x in self.p.items()}
+        g |= {"mean": mean.T @ dz, "most": most.T @ dz, "out": np.array([dz.sum()], np.float32)}
+        batches = list(batches_of(texts))
+        for pieces in batches:
+            if len(batches) > 1:
+                step = self.forward(pieces)
+            pool, text = np.maximum(step.pre, 0), step.text
+            top = (pool == most[text]) & (pool > 0)
+            d = (dz / count)[text][:, None] * self.p["mean"] + top * (dz[:, None] * self.p["most"] / np.maximum(ties, 1))[text]
+            d *= step.pre > 0
+            g["bias"] += d.sum(axis=0)
+            rows = (step.block * (BLOCK // STEP) + np.take_along_axis(step.arg, step.block, axis=0)).ravel()
+            fil, d = np.tile(np.arange(FILTERS), len(d)), d.ravel()
+            live = d != 0
+            rows, d, fil = rows[live], d[live], fil[live]
+            # chunks that overlap often pool the same place: one row for each place and filter
+            place, back = np.unique(rows * FILTERS + fil, return_inverse=True)
+            rows, fil, d = place // FILTERS, place % FILTERS, np.bincount(back, d, len(place)).astype(np.float32)
+            window = np.concatenate([step.x[rows + k] for k in range(WIDTH // STEP)], axis=1)
+            for f in range(FILTERS):
+                own = fil == f
+                g["filters"][:, f] += d[own] @ window[own]
+            back = (d[:, None] * self.p["filters"].T[fil]).reshape(len(d), WIDTH, DEPTH)
+            byte = step.data[rows[:, None] * STEP + np.arange(WIDTH)]
+            for k in range(DEPTH):
+                g["bytes"][:, k] += np.bincount(byte.ravel(), back[:, :, k].ravel(), 256)
         return g
 
     def learn(self, texts: list[bytes], labels: np.ndarray, passes: int = PASSES, seed: int = 11, rate: float = 0.01) -> Network:
@@ -141,7 +182,7 @@ class Network:
             order = r.permutation(len(texts))
             for a in range(0, len(order), GROUP):
                 own = order[a : a + GROUP]
-                g = self.gradient([drawn(texts[i], r) for i in own], labels[own], weight[own] / len(own))
+                g = self.gradient([texts[i] for i in own], labels[own], weight[own] / len(own))
                 t += 1
                 now = rate * (1 - 0.9 * t / total)
                 for k, x in self.p.items():
@@ -152,27 +193,35 @@ class Network:
         return self
 
 
-def drawn(text: bytes, r: np.random.Generator) -> bytes:
-    """A stretch of at most SEEN bytes from anywhere in the text."""
-    if len(text) <= SEEN:
-        return text
-    at = int(r.integers(0, len(text) - SEEN + 1))
-    return text[at : at + SEEN]
-
-
 def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", column: str = "text", label: str = "quality", sample: int = SAMPLE) -> Network:
-    """A network learned from at most ``sample`` labelled rows for which ``usable`` (on docs) holds."""
+    """A network learned from at most ``sample`` labelled rows for which ``usable`` (on docs) holds: the
+    keys of least hashes; of rows of one key, one. The rows meet in one task, which learns from their whole
+    texts; the driver gets the weights."""
     known = labels.filter(F.col(f"`{label}`").isin(0, 1)).groupBy(F.col(f"`{key}`").alias("_k")).agg(F.max(f"`{label}`").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_k"), "_k").limit(2 * sample)  # bounded before texts are touched
-    rows = docs.filter(usable).select(F.col(f"`{key}`").alias("_id"), F.col(f"`{column}`").cast("binary").alias("_text"))
-    rows = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_k")).orderBy(F.xxhash64("_k"), "_k", "_text").limit(sample)
-    texts, marks = [], []
-    size = F.octet_length("_text")
-    place = F.when(size > HELD, F.pmod(F.xxhash64("_k"), size - HELD)).otherwise(F.lit(0)).cast("int") + 1
-    for r in rows.select(F.substring("_text", place, F.lit(HELD)).alias("_text"), "_y").collect():
-        texts.append(bytes(r["_text"] or b""))
-        marks.append(r["_y"])
-    return Network().learn(texts, np.array(marks))
+    usable_docs = docs.filter(usable)
+    ids = usable_docs.select(F.col(f"`{key}`").alias("_id")).join(F.broadcast(chosen), F.col("_id") == F.col("_k")).select("_k", "_y").distinct().orderBy(F.xxhash64("_k"), "_k").limit(sample)
+    rows = usable_docs.select(F.col(f"`{key}`").alias("_id"), F.coalesce(F.col(f"`{column}`").cast("binary"), F.lit(b"")).alias("_text"))
+    rows = rows.join(F.broadcast(ids), F.col("_id") == F.col("_k")).groupBy("_k").agg(F.max("_text").alias("text"), F.first("_y").alias("y"))
+
+    def fit(table):
+        import pickle
+
+        import pyarrow as pa
+
+        order = np.argsort(np.array(table.column("h").to_pylist(), dtype=np.int64), kind="stable")
+        texts = table.column("text").to_pylist()
+        net = Network().learn([texts[i] for i in order], np.array(table.column("y").to_pylist())[order])
+        return pa.table({"net": pa.array([pickle.dumps((net.p, net.prior))], pa.binary())})
+
+    learned = rows.select(F.lit(1).alias("one"), F.xxhash64("_k").alias("h"), "text", "y").groupBy("one").applyInArrow(fit, "net binary").collect()
+    net = Network()
+    if not learned:
+        return net.learn([], np.zeros(0))
+    import pickle
+
+    net.p, net.prior = pickle.loads(bytes(learned[0]["net"]))
+    return net
 
 
 def classify(docs: DataFrame, network: Network, column: str = "text", threshold: float = 0.3) -> DataFrame:
