@@ -286,13 +286,13 @@ def test_mixing_meets_targets(spark):
     assert again == {(r.doc_id, r.taken) for r in out.collect()} and mixing.mix(d.limit(0)).count() == 0
 
 
-def test_forest_is_exact_on_small_tables(spark):
+def test_a_share_of_all_trees_is_exact(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 8)).astype(np.float32)
     x[7] = x[3]
     x[20:60] = x[0]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [1.0, None] * 4), (903, [float("nan")] * 8), (904, [1.0]), (None, x[0].tolist())]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0, k=20).collect()
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0, k=20, share=ann.TREES).collect()
     by = defaultdict(list)
     for g in got:
         by[g.query_id].append(g)
@@ -307,6 +307,32 @@ def test_forest_is_exact_on_small_tables(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_repeated_ids_hide_no_neighbour(spark):
+    same, other = [1.0, 0.0, 0.0], [0.5, 0.5, 0.0]
+    rows = [(0, same)] * 25 + [(5, same), (7, other), (7, other), (7, [0.0, 0.9, 0.0]), (9, [0.9, 0.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id").isin(0, 7), k=3, share=ann.TREES).collect()
+    of = lambda q: [(g.vec_id, round(g.score, 4)) for g in sorted(got, key=lambda g: g.rank) if g.query_id == q]
+    assert of(0) == [(5, 1.0), (9, 0.9), (7, 0.5)] and of(7) == [(0, 0.5), (5, 0.5), (9, 0.45)]
+    with pytest.raises(TypeError):
+        ann.nearest(spark.createDataFrame([("a", same)], "vec_id string, embedding array<float>"), F.lit(True))
+
+
+def test_recall_of_the_whole_search(spark, monkeypatch):
+    """64 cells a tree, cells split by salts, several trees: at least 0.9 of the true neighbours."""
+    monkeypatch.setattr(ann, "SPLIT", 20)
+    x = np.random.default_rng(3).normal(size=(3000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), F.col("id") % 50 == 0, k=20).collect()
+    assert len(got) == 60 * 20
+    full = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(full, -np.inf)
+    hits = 0
+    for g in got:
+        hits += g.score >= np.partition(full[g.query_id], -20)[-20] - 1e-12
+        assert g.score == pytest.approx(full[g.query_id, g.vec_id], abs=1e-12)
+    assert hits / len(got) >= 0.9
+
+
 def test_forest_recall_on_many_cells():
     r = np.random.default_rng(4)
     x = r.normal(size=(20_000, 32))
