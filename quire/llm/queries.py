@@ -110,18 +110,24 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t FROM (
 SELECT o.doc_id, n_words, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM o LEFT JOIN kept USING (doc_id)""",
     "op4_perspective_rotation": r"""
 WITH t AS (
-  SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS segment, turn, coalesce(role, 'unknown') AS role,
+  SELECT conv_id, CAST(floor(turn / 4096) AS BIGINT) AS segment, turn, coalesce(role, 'unknown') AS role,
     replace(replace(coalesce(text, ''), '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS text FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, text) AS r FROM t WHERE role = 'system') WHERE r = 1),
+g AS (SELECT DISTINCT conv_id, segment FROM t),
+a AS (
+  SELECT conv_id, segment, turn, role, text, 1 AS place FROM t UNION ALL
+  SELECT g.conv_id, g.segment, turn, role, text, 0 FROM g JOIN f ON g.conv_id IS NOT DISTINCT FROM f.conv_id WHERE g.segment > coalesce(f.segment, -4611686018427387904)),
 x AS (
-  SELECT t.conv_id, speaker, segment, turn, role, text, role = speaker AS own,
+  SELECT a.conv_id, speaker, segment, turn, role, text, place, role = speaker AS own,
     CASE WHEN role = speaker THEN '<|im_start|>assistant' || chr(10) WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
-      ELSE '<|im_start|>user name=' || role || chr(10) END AS head, text || '<|im_end|>' || chr(10) AS body
-  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-y AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, segment ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS behind FROM x)
-SELECT conv_id, speaker, segment, CAST(count(*) AS INT) AS n_turns, CAST(count(*) FILTER (own) AS INT) AS n_own,
-  string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
-  coalesce(string_agg(CAST(behind - length(body) AS VARCHAR) || '-' || CAST(behind AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS mask
+      ELSE '<|im_start|>user name=' || translate(replace(replace(role, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>'), chr(13) || chr(10), '  ') || chr(10) END AS head,
+    text || '<|im_end|>' || chr(10) AS body
+  FROM a JOIN s ON a.conv_id IS NOT DISTINCT FROM s.conv_id),
+y AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, segment ORDER BY place, turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS behind FROM x)
+SELECT conv_id, speaker, segment, CAST(count(*) FILTER (place = 1) AS INT) AS n_turns, CAST(count(*) FILTER (own) AS INT) AS n_own,
+  string_agg(head || body, '' ORDER BY place, turn NULLS FIRST, role, text) AS rendered,
+  coalesce(string_agg(CAST(behind - length(body) AS VARCHAR) || '-' || CAST(behind AS VARCHAR), ',' ORDER BY place, turn NULLS FIRST, role, text) FILTER (own), '') AS mask
 FROM y GROUP BY conv_id, speaker, segment""",
     "op6_arc_to_warc": r"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
