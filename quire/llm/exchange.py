@@ -3,13 +3,15 @@
 Documents are dealt by the hash of their whole row identity to chunks of bounded size. A chunk asks
 about its *distinct* keys (64-bit hashes), packed by shard; a shard gathers what all chunks say about
 a key and answers each of them. A key that a third of all rows hold is therefore one entry per chunk:
-no key is hot, and no pairs arise. Chunks and shards grow in number with the input, never in size.
+no key is hot, and no pairs arise. Chunks and shards grow in number with the input, never in size. A
+message from a chunk to a shard has a key at least, so there are never more messages than distinct keys of
+the chunks, however many shards there are.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytestext import member
@@ -80,15 +82,16 @@ def shard_count(chunks: int) -> int:
     return max(min(chunks, 12), -(-chunks // CHUNKS_PER_SHARD))
 
 
-def in_chunks(docs: DataFrame, chunks: int) -> DataFrame:
+def in_chunks(docs: DataFrame, chunks: int, **more: Column) -> DataFrame:
     """Boxed rows with ``chunk``, dealt by the hash of all their columns that can be hashed; so copies
-    of a text under different ids do not meet in one chunk."""
+    of a text under different ids do not meet in one chunk. more: further columns beside the box."""
 
     def plain(kind) -> bool:
         return not any(x in kind.simpleString() for x in ("map<", "variant", "geo", "void"))
 
     keys = [f"`{f.name}`" for f in docs.schema.fields if plain(f.dataType)]
-    return boxed(docs).withColumn("chunk", F.pmod(F.xxhash64(*[F.col(f"row.{k}") for k in keys]) if keys else F.lit(0), F.lit(chunks)).cast("int"))
+    dice = F.xxhash64(*[docs[k] for k in keys]) if keys else F.lit(0)
+    return docs.select(_box(docs), F.pmod(dice, F.lit(chunks)).cast("int").alias("chunk"), *[c.alias(k) for k, c in more.items()])
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -179,7 +182,11 @@ def found_keys(table) -> np.ndarray:
 
 def boxed(docs: DataFrame) -> DataFrame:
     """All columns in one struct ``row``, so that no name of theirs can clash with an operator's own."""
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    return docs.select(_box(docs))
+
+
+def _box(docs: DataFrame) -> Column:
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
 
 
 def unboxed(df: DataFrame, docs: DataFrame, *new: str) -> DataFrame:

@@ -33,6 +33,8 @@ FLOOR = 1e-4
 
 ASK = "chunk int, shard int, kind int, keys binary, main binary, held binary"
 ANSWER = "chunk int, shard int, kind int, main binary, held binary, n_main long, n_all long, v_main long, v_all long"
+#: The chunk of the rows that hold a shard's totals.
+TOTALS = -1
 
 
 def pack_counts(c: np.ndarray) -> bytes:
@@ -98,11 +100,10 @@ class Answers:
     """A chunk's counts in the order of its sorted keys."""
 
     def __init__(self, table):
-        rows = table.select(["kind", "shard", "main", "held", "n_main", "n_all", "v_main", "v_all"]).to_pylist()
+        rows = table.select(["kind", "shard", "main", "held"]).to_pylist()
         rows.sort(key=lambda r: (r["kind"], r["shard"]))
         none = np.zeros(0, dtype=np.int64)
         self.main, self.held = ([np.concatenate([none, *[unpack_counts(r[x]) for r in rows if r["kind"] == k]]) for k in (0, 1)] for x in ("main", "held"))
-        self.n_main, self.n_all, self.v_main, self.v_all = (sum(r[x] for r in rows if r["kind"] == 0) for x in ("n_main", "n_all", "v_main", "v_all"))
 
 
 def score(docs: DataFrame, train: Column, held: Column, column: str = "text") -> DataFrame:
@@ -114,33 +115,20 @@ def score(docs: DataFrame, train: Column, held: Column, column: str = "text") ->
     chunks = chunk_count(docs, column)
     apart = max(1, chunks // 8)  # held documents have chunks of their own
     shards = shard_count(chunks)
-    part = F.when(~F.coalesce(train, F.lit(True)), 2).when(F.coalesce(held, F.lit(False)), 1).otherwise(0).alias("part")
-    source = docs.select("*", part) if "part" not in docs.columns else docs.drop("part").select("*", part)
-    dealt = in_chunks(source, chunks)
-    dealt = dealt.withColumn("chunk", F.when(F.col("row.part") == 1, F.lit(chunks) + F.pmod(F.col("chunk"), F.lit(apart))).otherwise(F.col("chunk")).cast("int"))
-
-    def parts(table) -> np.ndarray:
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        row = table.column("row")
-        row = row.combine_chunks() if isinstance(row, pa.ChunkedArray) else row
-        return np.array(pc.struct_field(row, [row.type.get_field_index("part")]).to_pylist(), dtype=np.int64)
+    part = F.when(~F.coalesce(train, F.lit(True)), 2).when(F.coalesce(held, F.lit(False)), 1).otherwise(0)
+    dealt = in_chunks(docs, chunks, part=part)
+    dealt = dealt.withColumn("chunk", F.when(F.col("part") == 1, F.lit(chunks) + F.pmod(F.col("chunk"), F.lit(apart))).otherwise(F.col("chunk")).cast("int"))
 
     def ask(key, table):
         import pyarrow as pa
 
         token, before, doc = tokens(row_texts(table, column))
-        part = parts(table)
+        part = np.array(table.column("part").to_pylist(), dtype=np.int64)
         of = part[doc]
         rows: list[tuple] = []
         for kind, (every, values, owner) in enumerate(zip(keys_of(token, before), (np.concatenate([token, np.full(len(part), BEGIN)]), mix(before, token)), (np.concatenate([of, part]), of), strict=True)):
             main, held_ = (counted(every, values[owner == k]) for k in (0, 1))
-            cut = {s: (a, b) for s, a, b in by_shard(every, shards)}
-            for s in range(shards):  # an empty question too: every chunk learns every shard's totals
-                a, b = cut.get(s, (0, 0))
-                if kind == 0 or b > a:
-                    rows.append((key[0].as_py(), s, kind, pack(every[a:b]), pack_counts(main[a:b]), pack_counts(held_[a:b])))
+            rows += [(key[0].as_py(), s, kind, pack(every[a:b]), pack_counts(main[a:b]), pack_counts(held_[a:b])) for s, a, b in by_shard(every, shards)]
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("chunk", "shard", "kind", "keys", "main", "held"), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True))})
 
     def answer(key, table):
@@ -163,13 +151,16 @@ def score(docs: DataFrame, train: Column, held: Column, column: str = "text") ->
             for x in ("main", "held"):
                 c = np.concatenate([unpack_counts(b) for b in rows.column(x).to_pylist()])
                 sums.append(np.add.reduceat(c[order], first) if len(first) else c)
-            real = ranked[first] != BEGIN
-            totals = [int(sums[0][real].sum()), int((sums[0] + sums[1])[real].sum()), int((sums[0][real] > 0).sum()), int(((sums[0] + sums[1])[real] > 0).sum())] if kind == 0 else [0] * 4
+            if kind == 0:
+                real = ranked[first] != BEGIN
+                main, every = sums[0][real], (sums[0] + sums[1])[real]
+                for n, v in zip(out, (TOTALS, key[0].as_py(), kind, b"", b"", int(main.sum()), int(every.sum()), int((main > 0).sum()), int((every > 0).sum())), strict=True):
+                    out[n].append(v)
             at = 0
             for chunk, k in zip(rows.column("chunk").to_pylist(), keys, strict=True):
                 own = number[at : at + len(k)]
                 at += len(k)
-                for n, v in zip(out, (chunk, key[0].as_py(), kind, pack_counts(sums[0][own]), pack_counts(sums[1][own]), *totals), strict=True):
+                for n, v in zip(out, (chunk, key[0].as_py(), kind, pack_counts(sums[0][own]), pack_counts(sums[1][own]), 0, 0, 0, 0), strict=True):
                     out[n].append(v)
         kinds_of = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
         return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), kinds_of, strict=True)})
@@ -178,6 +169,9 @@ def score(docs: DataFrame, train: Column, held: Column, column: str = "text") ->
     asked = dealt.groupBy("chunk").applyInArrow(ask, ASK)
     asked.groupBy("shard").applyInArrow(answer, ANSWER).write.option("compression", "zstd").parquet(path)
     answers = spark.read.schema(ANSWER).parquet(path)
+    sums = answers.filter(F.col("chunk") == TOTALS).agg(*[F.sum(c) for c in ("n_main", "n_all", "v_main", "v_all")]).first()
+    n_main, n_all, v_main, v_all = (int(x or 0) for x in sums)
+    answers = answers.filter(F.col("chunk") != TOTALS).drop("n_main", "n_all", "v_main", "v_all")
 
     def look(table, right):
         """Per token: its text and the counts of pair, context and word by (main, held)."""
@@ -194,16 +188,16 @@ def score(docs: DataFrame, train: Column, held: Column, column: str = "text") ->
         h, n2, n1 = known.main[0][context], known.main[1][pair], known.main[0][word]
         b = bucket(h)
         grid = lambda x: np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-300)) * GRID), 1).astype(np.int64)  # noqa: E731  1: none
-        code = (b * 4096 - grid(n2 / np.maximum(h, 1)) + 1) * 4096 - grid(n1 / max(known.n_main, 1)) + 1
+        code = (b * 4096 - grid(n2 / np.maximum(h, 1)) + 1) * 4096 - grid(n1 / max(n_main, 1)) + 1
         every, n = np.unique(code, return_counts=True)
-        return pa.table({"code": pa.array(every, pa.int64()), "n": pa.array(n, pa.int64()), "v": pa.array([known.v_main] * len(n), pa.int64())})
+        return pa.table({"code": pa.array(every, pa.int64()), "n": pa.array(n, pa.int64())})
 
     held_docs = dealt.filter(F.col("chunk") >= chunks)
     gathered = (
-        held_docs.groupBy("chunk").cogroup(answers.filter(F.col("chunk") >= chunks).groupBy("chunk")).applyInArrow(lambda a, b: events(a, b) if a.num_rows else events_none(), "code long, n long, v long")
-        .groupBy("code").agg(F.sum("n").alias("n"), F.max("v").alias("v"))
+        held_docs.groupBy("chunk").cogroup(answers.filter(F.col("chunk") >= chunks).groupBy("chunk")).applyInArrow(lambda a, b: events(a, b) if a.num_rows else events_none(), "code long, n long")
+        .groupBy("code").agg(F.sum("n").alias("n"))
     )
-    weights = learn(gathered)
+    weights = learn(gathered, v_main)
 
     def rate(table, right):
         import pyarrow as pa
@@ -213,34 +207,34 @@ def score(docs: DataFrame, train: Column, held: Column, column: str = "text") ->
         h, n2, n1 = c1[context], c2[pair], c1[word]
         w = weights[bucket(h)]
         size = table.num_rows
-        p = w[:, 0] * (n2 / np.maximum(h, 1)) + w[:, 1] * (n1 / max(known.n_all, 1)) + w[:, 2] / (known.v_all + 1)
-        base = (n1 + 1) / (known.n_all + 1 * (known.v_all + 1))
+        p = w[:, 0] * (n2 / np.maximum(h, 1)) + w[:, 1] * (n1 / max(n_all, 1)) + w[:, 2] / (v_all + 1)
+        base = (n1 + 1) / (n_all + 1 * (v_all + 1))
         return pa.table({
             "row": table.column("row"), "n_tokens": pa.array(np.bincount(doc, minlength=size), pa.int64()), "n_known": pa.array(np.bincount(doc, n1 > 0, size).astype(np.int64), pa.int64()),
-            "train_tokens": pa.array(np.full(size, known.n_all), pa.int64()), "base_score": pa.array(np.bincount(doc, np.log10(base), size), pa.float64()), "score": pa.array(np.bincount(doc, np.log10(p), size), pa.float64()),
+            "train_tokens": pa.array(np.full(size, n_all), pa.int64()), "base_score": pa.array(np.bincount(doc, np.log10(base), size), pa.float64()), "score": pa.array(np.bincount(doc, np.log10(p), size), pa.float64()),
         })
 
-    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(rate, boxed_schema(source, "n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(rate, boxed_schema(docs, "n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     return unboxed(out, docs, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def events_none():
     import pyarrow as pa
 
-    return pa.table({n: pa.array([], pa.int64()) for n in ("code", "n", "v")})
+    return pa.table({n: pa.array([], pa.int64()) for n in ("code", "n")})
 
 
-def learn(gathered: DataFrame) -> np.ndarray:
+def learn(gathered: DataFrame, vocabulary: int) -> np.ndarray:
     """The weights from held-out events on the grid, learned in one task; its size is the grid's."""
 
     def fit(table):
         import pyarrow as pa
 
-        code, n, v = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("code", "n", "v"))
+        code, n = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("code", "n"))
         g1, rest = code % 4096, code // 4096
         g2, b = rest % 4096, rest // 4096
         value = lambda g: np.where(g == 0, 0.0, 2.0 ** (-(g - 1) / GRID))
-        weights = em(b, value(g2), value(g1), 1 / (int(v.max()) + 1), n.astype(float))
+        weights = em(b, value(g2), value(g1), 1 / (vocabulary + 1), n.astype(float))
         return pa.table({"weights": pa.array([weights.ravel().tolist()], pa.list_(pa.float64()))})
 
     row = gathered.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "weights array<double>").first()

@@ -450,3 +450,42 @@ def test_gradient_matches_differences():
 
 def test_digests():
     assert decontam.sha256_of_items([]) == hashlib.sha256(b"").hexdigest()
+
+
+def test_language_model_scores_by_brute_force(spark):
+    """The interpolated score itself, recomputed with the weights of the model's own buckets; an input
+    column named like the model's inner ones survives; an empty table."""
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"v{x}" for x in r.geometric(0.2, 30)), 7) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    seen = {}
+    learn = lm.learn
+
+    def spy(*a):
+        seen["w"] = learn(*a)
+        return seen["w"]
+
+    lm.learn = spy
+    try:
+        got = {x.doc_id: x for x in lm.score(d, F.col("doc_id") % 3 != 0, F.col("doc_id") % 5 == 0).collect()}
+    finally:
+        lm.learn = learn
+    assert all(x.part == 7 for x in got.values())
+    toks = {i: [*t.split(), ""] for i, t, _ in rows}
+    c1, c2, h = Counter(), Counter(), Counter()
+    for i, w in toks.items():
+        if i % 3:
+            c1.update(w)
+            c2.update(zip(["^", *w], w, strict=False))
+            h.update(["^", *w[:-1]])
+    h = Counter({k: v for k, v in h.items()})
+    n, v = sum(c1.values()), len(c1)
+    for i, w in toks.items():
+        want = 0.0
+        for a, b in zip(["^", *w], w, strict=False):
+            own = h[a] if a != "^" else sum(1 for k in toks if k % 3)
+            l2, l1, l0 = seen["w"][lm.bucket(np.array([c1[a] if a != "^" else own]))[0]]
+            total = c1[a] if a != "^" else own
+            want += math.log10(l2 * (c2[a, b] / max(total, 1)) + l1 * c1[b] / n + l0 / (v + 1))
+        assert got[i].score == pytest.approx(want, rel=1e-9)
+    assert lm.score(d.limit(0), F.lit(True), F.lit(False)).count() == 0
