@@ -7,13 +7,15 @@ payloads, and makes of each record a WARC record: an identifier derived from its
 14-digit date as a W3C date, the type, and SHA-1 digests of payload and block. Records with an equal
 payload of at least ``least_bytes`` are ``revisit`` records of the one with the smallest key.
 
-Archives are files of Spark's own text writer in the shared folder (header and payload are UTF-8; any
-file system Spark writes to will do), read back whole and parsed by declared lengths. Only digests are
-shuffled to find equal payloads, not pages.
+Converted records are stored once, so that their identifiers stay as they are. Equal payloads are found
+by digests alone, of which only those that occur more than once come back to the records: broadcast where
+they are few, else a join by identifier. Archives are files of Spark's own text writer in the shared folder
+(header and payload are UTF-8; any file system Spark writes to will do), of at most about 128 MB before
+compression or one record, read back whole and parsed by declared lengths.
 
 Defined results: a null payload is empty; a null URL is ``unknown:``; repeated rows are records of
-their own, of which the smallest key is the response (equal keys: all of them); an empty table gives
-an empty archive and result.
+their own with identifiers of their own, of which the smallest key is the response (equal keys: all of
+them); an empty table gives an empty archive and result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exchange import shared_dir
+from .exchange import Shelf, shared_dir
 
 #: The header fields of the two versions of the format.
 FIELDS = {
@@ -35,9 +37,11 @@ FIELDS = {
 }
 #: Fixed value: the profile of revisit records by payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in an archive file; files are read whole.
-RECORDS = 2_000
-#: Bytes of a batch of payloads in a Python worker.
+#: Records in an archive file by their greatest payload (None: any); files are read whole.
+FILES = ((64_000, 2_000), (4_000_000, 32), (None, 1))
+#: Digests (about 100 bytes each, with what belongs to them) that may be broadcast.
+BROADCAST_ROWS = 200_000
+#: Rows of a batch in a Python worker.
 BATCH_ROWS = 256
 
 
@@ -166,11 +170,16 @@ def to_arc(pages: DataFrame, key: str, url: str, payload: str, version: int = 1)
 
 def convert_archives(arcs: DataFrame) -> DataFrame:
     """(key, id, date, url, kind, sha, size, block) of (key, record), the bytes of ARC files. Several
-    records in a file get keys of their own only through their identifiers."""
+    records in a file get keys of their own only through their identifiers, which also hold the place of
+    the row among its task's: store the result before using it twice."""
 
     def read(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        context = TaskContext.get()
+        place = f"{context.partitionId() if context else 0}/"
+        done = 0
         names = ("id", "date", "url", "kind", "sha", "size")
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH_ROWS):
@@ -179,8 +188,9 @@ def convert_archives(arcs: DataFrame) -> DataFrame:
                 for i, (k, data) in enumerate(zip(part.column("key").to_pylist(), part.column("record").to_pylist(), strict=True)):
                     for n, arc in enumerate(read_arc(data or b"")):
                         keys.append(i)
-                        rows.append(convert(arc, f"{k}/{n}"))
+                        rows.append(convert(arc, f"{k}/{n}/{place}{done + i}"))
                         blocks.append(arc["body"])
+                done += part.num_rows
                 yield pa.RecordBatch.from_pydict(
                     {"key": part.column("key").take(pa.array(keys, pa.int64())), "block": pa.array(blocks, pa.binary())}
                     | {n: pa.array([r[n] for r in rows], pa.int64() if n == "size" else pa.string()) for n in names}
@@ -192,11 +202,15 @@ def convert_archives(arcs: DataFrame) -> DataFrame:
 
 def with_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Adds refers_to, refers_id: the record with the smallest key among those of an equal payload,
-    null for that one itself. Only keys and digests are shuffled, and the revisits, a small part of
-    the records as a rule, are joined back by key."""
+    null for that one itself (and its equals)."""
     slim = records.filter(F.col("size") >= least_bytes).select("key", "sha", "id")
-    firsts = slim.groupBy("sha").agg(F.min(F.struct("key", "id")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", F.col("f.key").alias("refers_to"), F.col("f.id").alias("refers_id"))
-    revisits = slim.join(firsts, "sha").filter(F.col("key") != F.col("refers_to")).groupBy(F.col("id").alias("rid")).agg(F.first("refers_to").alias("refers_to"), F.first("refers_id").alias("refers_id"))
+    firsts = slim.groupBy("sha").agg(F.min(F.struct("key", "id")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("sha").alias("of"), F.col("f.key").alias("to"), F.col("f.id").alias("to_id"))
+    later = ~F.col("key").eqNullSafe(F.col("to"))
+    if firsts.count() <= BROADCAST_ROWS:
+        both = records.join(F.broadcast(firsts), (F.col("sha") == F.col("of")) & (F.col("size") >= least_bytes), "left")
+        revisit = F.col("of").isNotNull() & later
+        return both.select(*records.columns, F.when(revisit, F.col("to")).alias("refers_to"), F.when(revisit, F.col("to_id")).alias("refers_id"))
+    revisits = slim.join(firsts, F.col("sha") == F.col("of")).filter(later).select(F.col("id").alias("rid"), F.col("to").alias("refers_to"), F.col("to_id").alias("refers_id"))
     return records.join(revisits, records["id"] == revisits["rid"], "left").drop("rid")
 
 
@@ -208,6 +222,7 @@ def warc_text(records: DataFrame) -> DataFrame:
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", F.col("id")), line("WARC-Date", F.col("date")),
         line("WARC-Target-URI", F.col("url")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha"))),
+        line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.when(revisit, F.lit(digest(b""))).otherwise(F.col("sha")))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.col("refers_id")), line("X-Refers-To-Key", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
         F.when(F.col("key").isNotNull(), line("X-Record-Key", F.col("key").cast("string"))).otherwise(F.lit("")), line("X-Payload-Length", F.col("size").cast("string")),
         line("Content-Type", F.col("kind")), line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string"))), F.lit("\r\n"),
@@ -215,15 +230,20 @@ def warc_text(records: DataFrame) -> DataFrame:
     return records.select(F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("block").cast("string"))).alias("value"))
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = RECORDS) -> None:
-    """Writes WARC files (gzip). The text writer ends every record with its line separator, which is
-    what a WARC record ends with."""
-    warc_text(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def write_warc(records: DataFrame, path: str, files: tuple = FILES) -> None:
+    """Writes WARC files (gzip) in a folder for each class of payload sizes that there is. The text writer
+    ends every record with its line separator, which is what a WARC record ends with."""
+    least = -1
+    for most, per_file in files:
+        own = records.filter(F.col("size") > least) if most is None else records.filter((F.col("size") > least) & (F.col("size") <= most))
+        if least < 0 or not own.isEmpty():
+            warc_text(own).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(f"{path}/of_{per_file}")
+        least = most
 
 
 def read_archives(spark: SparkSession, path: str, key: str = "key", kind: str = "long", blocks: bool = False) -> DataFrame:
     """(key, payload_bytes, payload_digest, record_type, refers_to) and, if asked for, block of all
-    records of the WARC files in a folder. Digests of responses are checked against their blocks."""
+    records of the WARC files in a folder. Digests are checked against payloads and blocks."""
 
     def read(batches):
         import gzip
@@ -236,14 +256,14 @@ def read_archives(spark: SparkSession, path: str, key: str = "key", kind: str =
                 out: dict[str, list] = {n: [] for n in names}
                 for head, block in read_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     sha = head["warc-payload-digest"].removeprefix("sha1:")
-                    if head["warc-type"] == "response" and digest(block) != sha:
-                        raise ValueError(f"the payload of {head['warc-record-id']} does not have its digest")
+                    if head["warc-block-digest"] != f"sha1:{digest(block)}" or (head["warc-type"] == "response" and digest(block) != sha):
+                        raise ValueError(f"{head['warc-record-id']} does not have its digest")
                     row = (head.get("x-record-key"), int(head.get("x-payload-length", len(block))), sha, head["warc-type"], head.get("x-refers-to-key"), block if blocks else None)
                     for n, v in zip(names, row, strict=True):
                         out[n].append(v)
                 yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64() if n == "size" else pa.binary() if n == "block" else pa.string()) for n, v in out.items()})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content")
     out = files.mapInArrow(read, "key string, size long, sha string, type string, to string, block binary")
     columns = [F.col("key").cast(kind).alias(key), F.col("size").alias("payload_bytes"), F.col("sha").alias("payload_digest"), F.col("type").alias("record_type"), F.col("to").cast(kind).alias("refers_to")]
     return out.select(*columns, *(["block"] if blocks else []))
@@ -252,7 +272,8 @@ def read_archives(spark: SparkSession, path: str, key: str = "key", kind: str =
 def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", version: int = 1, least_bytes: int = 0, path: str | None = None) -> DataFrame:
     """Pages as ARC records, converted to WARC files in ``path``, and what the files hold."""
     spark = pages.sparkSession
-    path = path or shared_dir(spark)
-    records = convert_archives(to_arc(pages, key, url, payload, version))
+    path, shelf = path or shared_dir(spark), Shelf(spark)
+    records = shelf.put("records", convert_archives(to_arc(pages, key, url, payload, version)))
     write_warc(with_revisits(records, least_bytes), path)
+    shelf.drop("records")
     return read_archives(spark, path, key, pages.schema[key].dataType.simpleString())

@@ -366,6 +366,16 @@ def test_archives_round_trip(spark, tmp_path):
     assert arc.archive_pages(d.limit(0)).count() == 0
 
 
+def test_records_of_repeated_rows_have_identifiers_of_their_own(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "u", "p")] * 400 + [(2, "u", "long " * 50_000), (3, "v", "x" * 5_000_000), (4, "v", "p")], "page_id long, url string, html string")
+    records = arc.convert_archives(arc.to_arc(d, "page_id", "url", "html")).select("id").collect()
+    assert len({r.id for r in records}) == 403
+    for limit in (arc.BROADCAST_ROWS, 0):  # both ways of joining the digests back
+        monkeypatch.setattr(arc, "BROADCAST_ROWS", limit)
+        got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in arc.archive_pages(d).collect())
+        assert got == {(1, 1, "response", None): 400, (2, 250_000, "response", None): 1, (3, 5_000_000, "response", None): 1, (4, 1, "revisit", 1): 1}
+
+
 def test_arc_parser_follows_declared_lengths():
     body = b"HTTP/1.0 200 OK\n\nhttp://fake 1.2.3.4 20200101000000 text/html 5\nhello"
     for version in (1, 2):
