@@ -13,6 +13,8 @@ import numpy as np
 M1 = np.uint64(0x9E3779B97F4A7C15)
 M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 M3 = np.uint64(0x165667B19E3779F9)
+#: Other odd multipliers for a second, independent hash.
+OTHER = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 R29, R32 = np.uint64(29), np.uint64(32)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -30,11 +32,12 @@ KEEP_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1],
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def mix(a, b):
+def mix(a, b, second: bool = False):
     """A 64-bit hash of two 64-bit values; the order matters."""
-    h = (a * M1) ^ (b + M3)
+    m1, m2, m3 = OTHER if second else (M1, M2, M3)
+    h = (a * m1) ^ (b + m3)
     h ^= h >> R32
-    h *= M2
+    h *= m2
     h ^= h >> R29
     return h
 
@@ -71,8 +74,8 @@ class Words:
     first: np.ndarray
     lengths: np.ndarray  # words of each text
 
-    def hashes(self) -> np.ndarray:
-        return hash_spans(self.data, self.starts, self.ends)
+    def hashes(self, second: bool = False) -> np.ndarray:
+        return hash_spans(self.data, self.starts, self.ends, second)
 
     def doc(self) -> np.ndarray:
         """The text's number of each word."""
@@ -96,22 +99,22 @@ def split_words(texts: list[bytes], table: np.ndarray = NOT_SPACE, lower: bool =
     return Words(data, starts, ends, first, np.diff(first))
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
     """64-bit hashes of ``data[start:end]``; at least 8 bytes must follow the last span."""
     data = np.ascontiguousarray(data)
     eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data.data, strides=(1,))
     size = ends - starts
-    h = mix(eight[starts] & KEEP_BYTES[np.minimum(size, 8)], size.astype(np.uint64))
+    h = mix(eight[starts] & KEEP_BYTES[np.minimum(size, 8)], size.astype(np.uint64), second)
     more, at = np.flatnonzero(size > 8), 8
     while len(more):
         part = eight[starts[more] + at] & KEEP_BYTES[np.minimum(size[more] - at, 8)]
-        h[more] = mix(h[more], part)
+        h[more] = mix(h[more], part, second)
         at += 8
         more = more[size[more] > at]
     return h
 
 
-def windows(h: np.ndarray, n: int) -> np.ndarray:
+def windows(h: np.ndarray, n: int, second: bool = False) -> np.ndarray:
     """Hashes of every n consecutive values; ``len(h) - n + 1`` of them."""
     if len(h) < n:
         return np.zeros(0, dtype=np.uint64)
@@ -120,13 +123,13 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     while rest:
         if rest & 1:
             piece = have[at : at + len(h) - n + 1]
-            out = piece.copy() if out is None else mix(out, piece)
+            out = piece.copy() if out is None else mix(out, piece, second)
             at += power
         rest >>= 1
         if rest:
-            have = mix(have[:-power], have[power:])
+            have = mix(have[:-power], have[power:], second)
             power *= 2
-    return mix(out, np.uint64(n))
+    return mix(out, np.uint64(n), second)
 
 
 def sliding(x: np.ndarray, n: int, pick=np.minimum) -> np.ndarray:
@@ -148,6 +151,33 @@ def covered(starts: np.ndarray, span: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def wide_tally(high: np.ndarray, low: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 128-bit keys, sorted, in two halves, and how often each occurs (or the sum of its weights)."""
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    if not len(high):
+        return high, low, np.zeros(0, dtype=np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
+    return high[new], low[new], np.diff(np.append(new, len(high))) if weights is None else np.add.reduceat(weights[order], new)
+
+
+def wide_place(high: np.ndarray, low: np.ndarray, of_high: np.ndarray, of_low: np.ndarray) -> np.ndarray:
+    """The places of 128-bit values among sorted distinct keys, -1 for those that are not there."""
+    out = np.full(len(high), -1)
+    if not len(of_high):
+        return out
+    at = np.searchsorted(of_high, high)
+    left = np.arange(len(high))
+    while len(left):  # once, unless keys agree in their high halves
+        left = left[at[left] < len(of_high)]
+        left = left[of_high[at[left]] == high[left]]
+        hit = of_low[at[left]] == low[left]
+        out[left[hit]] = at[left[hit]]
+        left = left[~hit]
+        at[left] += 1
+    return out
+
+
 def member(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which values are among the sorted keys."""
     if not len(keys):

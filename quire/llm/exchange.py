@@ -1,7 +1,7 @@
 """Exact questions about all documents, asked by chunks of documents and answered by shards of keys.
 
 Documents are dealt by the hash of their whole row identity to chunks of bounded size. A chunk asks
-about its *distinct* keys (64-bit hashes), packed by shard; a shard gathers what all chunks say about
+about its *distinct* keys (hashes of 128 bits in two halves, or of 64), packed by shard; a shard gathers what all chunks say about
 a key and answers each of them. A key that a third of all rows hold is therefore one entry per chunk:
 no key is hot, and no pairs arise. Chunks and shards grow in number with the input, never in size. A
 message from a chunk to a shard has a key at least, so there are never more messages than distinct keys of
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytestext import member
+from .bytestext import wide_place, wide_tally
 
 #: Bytes of text in a chunk, and chunks to a shard.
 CHUNK_BYTES = 8_000_000
@@ -142,42 +142,72 @@ def tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[new], np.add.reduceat(weights, new) if len(new) else weights[:0]
 
 
-def repeated(asked: DataFrame, least: int) -> DataFrame:
-    """From questions (chunk, shard, keys, counts) the answers (chunk, found): the keys asked by the
-    chunk whose counts over all chunks come to ``least``. Counts are uint8 and cut at 255."""
+ASKED = "chunk int, shard int, keys binary, lows binary, counts binary"
+FOUND = "chunk int, found binary, lows binary"
 
-    def answer(table):
-        import pyarrow as pa
 
-        chunks = table.column("chunk").to_pylist()
-        keys = [unpack(x) for x in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, dtype=np.uint8) for x in table.column("counts").to_pylist()]
-        every, total = tally(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
-        often = every[total >= least]
-        out = [(c, k[member(k, often)]) for c, k in zip(chunks, keys, strict=True)]
-        out = [(c, pack(k)) for c, k in out if len(k)]
-        return pa.table({"chunk": pa.array([c for c, _ in out], pa.int32()), "found": pa.array([k for _, k in out], pa.binary())})
+def lows_of(blob: bytes, keys: np.ndarray) -> np.ndarray:
+    """The low halves of keys; keys of 64 bits have none."""
+    return np.frombuffer(blob, dtype="<u8") if blob else np.zeros(len(keys), dtype=np.uint64)
+
+
+def asked_table(rows: list[tuple]):
+    import pyarrow as pa
+
+    kinds = {"chunk": pa.int32(), "shard": pa.int32(), "keys": pa.binary(), "lows": pa.binary(), "counts": pa.binary()}
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds.items())})
+
 
-    return asked.groupBy("shard").applyInArrow(answer, "chunk int, found binary")
+def gathered(table) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    """Chunks, keys and their low halves of the questions that a shard has got."""
+    keys = [unpack(x) for x in table.column("keys").to_pylist()]
+    return table.column("chunk").to_pylist(), keys, [lows_of(x, k) for x, k in zip(table.column("lows").to_pylist(), keys, strict=True)]
 
 
-def question(chunk: int, keys: np.ndarray, shards: int) -> dict:
-    """The rows (chunk, shard, keys, counts) of a chunk for the keys it holds, repeats included."""
-    every, n = tally(keys)
+def found_table(rows: list[tuple]):
+    """Of (chunk, keys, lows) those with keys, as FOUND."""
+    import pyarrow as pa
+
+    rows = [(c, pack(k), x.astype("<u8").tobytes() if x.any() else b"") for c, k, x in rows if len(k)]
+    return pa.table({"chunk": pa.array([c for c, _, _ in rows], pa.int32()), "found": pa.array([k for _, k, _ in rows], pa.binary()), "lows": pa.array([x for _, _, x in rows], pa.binary())})
+
+
+def repeated(asked: DataFrame, least: int) -> DataFrame:
+    """From questions (ASKED) the answers (FOUND): the keys asked by the chunk whose counts over all
+    chunks come to ``least``. Counts are uint8 and cut at 255."""
+
+    def answer(table):
+        chunks, keys, lows = gathered(table)
+        counts = [np.frombuffer(x, dtype=np.uint8) for x in table.column("counts").to_pylist()]
+        high, low, total = wide_tally(np.concatenate(keys), np.concatenate(lows), np.concatenate(counts).astype(np.int64))
+        often = total >= least
+        high, low = high[often], low[often]
+        out = []
+        for c, k, x in zip(chunks, keys, lows, strict=True):
+            hit = wide_place(k, x, high, low) >= 0
+            out.append((c, k[hit], x[hit]))
+        return found_table(out)
+
+    return asked.groupBy("shard").applyInArrow(answer, FOUND)
+
+
+def question(chunk: int, keys: np.ndarray, shards: int, lows: np.ndarray | None = None):
+    """The rows (ASKED) of a chunk for the keys it holds, repeats included."""
+    if lows is None:
+        every, n = tally(keys)
+        low = None
+    else:
+        every, low, n = wide_tally(keys, lows)
     n = np.minimum(n, 255).astype(np.uint8)
-    rows = by_shard(every, shards)
-    return {
-        "chunk": [chunk] * len(rows),
-        "shard": [s for s, _, _ in rows],
-        "keys": [pack(every[a:b]) for _, a, b in rows],
-        "counts": [n[a:b].tobytes() for _, a, b in rows],
-    }
+    return asked_table([(chunk, s, pack(every[a:b]), b"" if low is None else low[a:b].astype("<u8").tobytes(), n[a:b].tobytes()) for s, a, b in by_shard(every, shards)])
 
 
-def found_keys(table) -> np.ndarray:
-    """All keys of a chunk's answers, sorted."""
+def found_keys(table) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a chunk's answers, sorted, with their low halves."""
+    none = np.zeros(0, dtype=np.uint64)
     parts = [unpack(x) for x in table.column("found").to_pylist()]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+    lows = [lows_of(x, k) for x, k in zip(table.column("lows").to_pylist(), parts, strict=True)]
+    return wide_tally(np.concatenate([none, *parts]), np.concatenate([none, *lows]))[:2]
 
 
 def boxed(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Every shard of keys holds a table of how many documents contain each line key, a
 the keys in that table. Adding documents raises counts, deleting them lowers counts and takes keys that
 reach zero out of filter and table again, so the state after a deletion equals the state without those
 documents. Lookups ask the filter first and the exact table only for keys that may be present; a false
-positive of the filter therefore never drops a line.
+positive of the filter therefore never drops a line. Keys are compared by hashes of 128 bits.
 
 Defined results: a null or empty text is one empty line; keys shorter than ``least_chars`` code points
 (empty ones, at 1) are never dropped; repeated rows count as that many documents; an empty table gives
@@ -19,11 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytestext import M1, M2, R32, SPACES, member
-from .exchange import boxed_schema, by_shard, chunk_count, found_keys, in_chunks, pack, release, row_texts, shard_count, shared_dir, strings, tally, unboxed, unpack
+from .bytestext import M1, M2, R32, SPACES, wide_place, wide_tally
+from .exchange import FOUND, Shelf, boxed_schema, by_shard, chunk_count, found_keys, found_table, gathered, in_chunks, lows_of, pack, row_texts, shard_count, strings, unboxed, unpack
 
 SLOTS = 4
-STATE = "shard int, shards int, keys binary, refs binary, filter binary"
+STATE = "shard int, shards int, keys binary, lows binary, refs binary, filter binary"
+STATED = "chunk int, shard int, keys binary, lows binary, refs binary"
 
 
 class CuckooFilter:
@@ -97,82 +98,87 @@ class CuckooFilter:
 
 
 class Shard:
-    """One shard's filter and its table of references."""
+    """One shard's filter and its table of references. Keys have 128 bits; the filter takes the high half."""
 
-    def __init__(self, keys: np.ndarray, refs: np.ndarray, filter_: CuckooFilter | None = None):
-        self.keys, self.refs = keys, refs
+    def __init__(self, keys: np.ndarray, lows: np.ndarray, refs: np.ndarray, filter_: CuckooFilter | None = None):
+        self.keys, self.lows, self.refs = keys, lows, refs
         self.filter = filter_ or CuckooFilter.of(keys)
 
-    def change(self, keys: np.ndarray, by: np.ndarray) -> None:
+    @classmethod
+    def empty(cls) -> Shard:
+        none = np.zeros(0, dtype=np.uint64)
+        return cls(none, none, np.zeros(0, dtype=np.int64))
+
+    def change(self, keys: np.ndarray, lows: np.ndarray, by: np.ndarray) -> None:
         """Adds to the references of distinct sorted keys; by may be negative."""
-        every, refs = tally(np.concatenate([self.keys, keys]), np.concatenate([self.refs, by]))
-        live = refs > 0
-        new = ~member(every, self.keys) & live
-        gone = every[~live & member(every, self.keys)]
-        self.filter.delete(gone)
-        self.keys, self.refs = every[live], refs[live]
-        if len(self.keys) > self.filter.table.size * 0.8 or not self.filter.insert(every[new]):
+        every, low, refs = wide_tally(np.concatenate([self.keys, keys]), np.concatenate([self.lows, lows]), np.concatenate([self.refs, by]))
+        live, known = refs > 0, wide_place(every, low, self.keys, self.lows) >= 0
+        self.filter.delete(every[~live & known])
+        self.keys, self.lows, self.refs = every[live], low[live], refs[live]
+        if len(self.keys) > self.filter.table.size * 0.8 or not self.filter.insert(every[~known & live]):
             self.filter = CuckooFilter.of(self.keys)
 
-    def references(self, keys: np.ndarray) -> np.ndarray:
+    def references(self, keys: np.ndarray, lows: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), dtype=np.int64)
         ask = np.flatnonzero(self.filter.maybe(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys[ask]), max(len(self.keys) - 1, 0))
-        hit = self.keys[at] == keys[ask] if len(self.keys) else np.zeros(len(ask), dtype=bool)
-        out[ask[hit]] = self.refs[at[hit]]
+        at = wide_place(keys[ask], lows[ask], self.keys, self.lows)
+        out[ask[at >= 0]] = self.refs[at[at >= 0]]
         return out
 
     def row(self, shard: int, shards: int):
         import pyarrow as pa
 
         return pa.table({
-            "shard": pa.array([shard], pa.int32()), "shards": pa.array([shards], pa.int32()), "keys": pa.array([pack(self.keys)], pa.binary()),
+            "shard": pa.array([shard], pa.int32()), "shards": pa.array([shards], pa.int32()), "keys": pa.array([pack(self.keys)], pa.binary()), "lows": pa.array([self.lows.astype("<u8").tobytes()], pa.binary()),
             "refs": pa.array([self.refs.astype("<i8").tobytes()], pa.binary()), "filter": pa.array([self.filter.table.tobytes()], pa.binary()),
         })
 
     @classmethod
     def load(cls, table) -> Shard:
         if not table.num_rows:
-            return cls(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+            return cls.empty()
         row = table.to_pylist()[0]
-        marks = np.frombuffer(row["filter"], dtype=np.uint16).reshape(-1, SLOTS).copy()
-        return cls(unpack(row["keys"]), np.frombuffer(row["refs"], dtype="<i8").copy(), CuckooFilter(marks))
+        marks, keys = np.frombuffer(row["filter"], dtype=np.uint16).reshape(-1, SLOTS).copy(), unpack(row["keys"])
+        return cls(keys, lows_of(row["lows"], keys), np.frombuffer(row["refs"], dtype="<i8").copy(), CuckooFilter(marks))
 
 
 def line_keys(text: bytes, least_chars: int) -> tuple[list[bytes], list[int]]:
-    """Lines, and the hash of each one's key, 0 for keys too short to count."""
-    from xxhash import xxh3_64_intdigest
+    """Lines, and the 128-bit hash of each one's key, 0 for keys too short to count."""
+    from xxhash import xxh3_128_intdigest
 
     lines = text.split(b"\n")
     keys = [x.strip(SPACES).lower() for x in lines]
     if least_chars > 1:
         keys = [k if len(k) - sum(0x80 <= c < 0xC0 for c in k) >= least_chars else b"" for k in keys]
-    return lines, [(xxh3_64_intdigest(k) or 1) if k else 0 for k in keys]
+    return lines, [(xxh3_128_intdigest(k) or 1) if k else 0 for k in keys]
 
 
 def contributions(docs: DataFrame, column: str, least_chars: int, chunks: int, shards: int) -> DataFrame:
-    """(chunk, shard, keys, refs): in how many documents of the chunk each key is."""
+    """(chunk, shard, keys, lows, refs): in how many documents of the chunk each key is."""
 
     def ask(key, table):
         import pyarrow as pa
 
-        flat: list[int] = []
+        flat: list[bytes] = []
         for text in row_texts(table, column):
-            flat += set(line_keys(text, least_chars)[1]) - {0}
-        keys, n = tally(np.array(flat, dtype=np.uint64))
+            flat += [k.to_bytes(16, "little") for k in set(line_keys(text, least_chars)[1]) - {0}]
+        both = np.frombuffer(b"".join(flat), dtype="<u8").reshape(-1, 2)
+        keys, lows, n = wide_tally(both[:, 1], both[:, 0])
         rows = by_shard(keys, shards)
         return pa.table({
             "chunk": pa.array([key[0].as_py()] * len(rows), pa.int32()), "shard": pa.array([s for s, _, _ in rows], pa.int32()),
-            "keys": pa.array([pack(keys[a:b]) for _, a, b in rows], pa.binary()), "refs": pa.array([n[a:b].astype("<i4").tobytes() for _, a, b in rows], pa.binary()),
+            "keys": pa.array([pack(keys[a:b]) for _, a, b in rows], pa.binary()), "lows": pa.array([lows[a:b].astype("<u8").tobytes() for _, a, b in rows], pa.binary()),
+            "refs": pa.array([n[a:b].astype("<i4").tobytes() for _, a, b in rows], pa.binary()),
         })
 
-    return docs.groupBy("chunk").applyInArrow(ask, "chunk int, shard int, keys binary, refs binary")
+    return docs.groupBy("chunk").applyInArrow(ask, STATED)
 
 
-def _gathered(table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [unpack(x) for x in table.column("keys").to_pylist()]
+def _summed(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, keys, lows = gathered(table)
     refs = [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in table.column("refs").to_pylist()]
-    return tally(np.concatenate(keys), np.concatenate(refs)) if keys else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    none = np.zeros(0, dtype=np.uint64)
+    return wide_tally(np.concatenate([none, *keys]), np.concatenate([none, *lows]), np.concatenate([np.zeros(0, dtype=np.int64), *refs]))
 
 
 def change_state(state: DataFrame | None, docs: DataFrame, sign: int, column: str = "text", least_chars: int = 1, shards: int | None = None) -> DataFrame:
@@ -188,8 +194,8 @@ def change_state(state: DataFrame | None, docs: DataFrame, sign: int, column: st
 
     def merge(key, old, new):
         shard = Shard.load(old)
-        keys, refs = _gathered(new)
-        shard.change(keys, refs * sign)
+        keys, lows, refs = _summed(new)
+        shard.change(keys, lows, refs * sign)
         return shard.row(key[0].as_py(), shards)
 
     if state is None:
@@ -200,27 +206,19 @@ def change_state(state: DataFrame | None, docs: DataFrame, sign: int, column: st
 def of_distinct_texts(docs: DataFrame, column: str = "text", least_chars: int = 1) -> DataFrame:
     """The state in which a line counts once for each distinct text that has it: the lines of exact
     copies are not common because of the copies."""
-    spark = docs.sparkSession
+    shelf = Shelf(docs.sparkSession)
     text = docs.select(F.coalesce(F.col(f"`{column}`"), F.lit("")).alias("text"))
     distinct = text.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary")))).dropDuplicates(["digest"])
-    path = shared_dir(spark)
-    distinct.select("digest", "text").write.parquet(path)
-    release(spark)
-    distinct = spark.read.schema("digest binary, text string").parquet(path)
-    state, path = change_state(None, distinct, 1, "text", least_chars), shared_dir(spark)
-    state.write.parquet(path)
-    release(spark)
-    return spark.read.schema(STATE).parquet(path)
+    distinct = shelf.put("distinct", distinct.select("digest", "text"))
+    state = shelf.put("state", change_state(None, distinct, 1, "text", least_chars))
+    shelf.drop("distinct")
+    return state
 
 
-def drop_common_lines(docs: DataFrame, state: DataFrame | None = None, column: str = "text", least_docs: int = 10, least_chars: int = 1, spare_copies: bool = False) -> DataFrame:
+def drop_common_lines(docs: DataFrame, state: DataFrame | None = None, column: str = "text", least_docs: int = 10, least_chars: int = 1) -> DataFrame:
     """Documents without the lines whose key is in at least ``least_docs`` documents of the state
     (None: of docs themselves). The columns of docs with the text cut, then n_lines (before) and
-    n_dropped.
-
-    spare_copies: documents that consist of common lines for the most part (nothing would be left, or
-    three lines and half of the characters would go) stay whole. Nothing checks that they are copies;
-    a state ``of_distinct_texts`` protects copies without keeping boilerplate."""
+    n_dropped."""
     chunks = chunk_count(docs, column)
     shards = shard_count(chunks)
     if state is not None:
@@ -230,39 +228,31 @@ def drop_common_lines(docs: DataFrame, state: DataFrame | None = None, column: s
     asked = contributions(dealt, column, least_chars, chunks, shards)
 
     def look(shard: Shard, table):
-        import pyarrow as pa
-
         out = []
-        for chunk, keys in zip(table.column("chunk").to_pylist(), table.column("keys").to_pylist(), strict=True):
-            keys = unpack(keys)
-            keys = keys[shard.references(keys) >= least_docs]
-            if len(keys):
-                out.append((chunk, pack(keys)))
-        return pa.table({"chunk": pa.array([c for c, _ in out], pa.int32()), "found": pa.array([k for _, k in out], pa.binary())})
+        for chunk, keys, lows in zip(*gathered(table), strict=True):
+            often = shard.references(keys, lows) >= least_docs
+            out.append((chunk, keys[often], lows[often]))
+        return found_table(out)
 
     if state is None:  # the shard's state is made and asked in one step, from the same rows
 
         def answer(table):
-            shard = Shard(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-            shard.change(*_gathered(table))
+            shard = Shard.empty()
+            shard.change(*_summed(table))
             return look(shard, table)
 
-        answers = asked.groupBy("shard").applyInArrow(answer, "chunk int, found binary")
+        answers = asked.groupBy("shard").applyInArrow(answer, FOUND)
     else:
-        answers = asked.groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(lambda a, s: look(Shard.load(s), a), "chunk int, found binary")
+        answers = asked.groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(lambda a, s: look(Shard.load(s), a), FOUND)
 
     def cut(left, right) -> Iterator:
         import pyarrow as pa
 
-        common = set(found_keys(right).tolist())
+        common = {(high << 64) | low for high, low in zip(*(x.tolist() for x in found_keys(right)), strict=True)}
         texts, n_lines, n_dropped = [], [], []
         for text in row_texts(left, column):
             lines, keys = line_keys(text, least_chars)
             kept = [x for x, k in zip(lines, keys, strict=True) if k not in common]
-            if spare_copies and len(kept) < len(lines):
-                rest = sum(map(len, kept))
-                if not rest or (len(lines) - len(kept) >= 3 and 2 * rest < sum(map(len, lines))):
-                    kept = lines
             texts.append(b"\n".join(kept))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))

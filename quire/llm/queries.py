@@ -26,7 +26,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import cut_repeats
 
     out = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    longest = F.coalesce(F.array_max(F.transform("repeats", lambda r: r["behind"] - r["first"])), F.lit(0)).cast("long")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.size("repeats").cast("long").alias("n_repeats"), longest.alias("longest_repeat"))
 
 
 def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +107,11 @@ hit AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(gene
 o AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed, ws, gone FROM w LEFT JOIN hit USING (doc_id)),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t FROM (
   SELECT doc_id, unnest(ws) AS x, unnest(generate_series(1, len(ws))) AS j FROM w) a
-  ANTI JOIN (SELECT doc_id, unnest(gone) AS j FROM hit) b USING (doc_id, j) GROUP BY doc_id)
-SELECT o.doc_id, n_words, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM o LEFT JOIN kept USING (doc_id)""",
+  ANTI JOIN (SELECT doc_id, unnest(gone) AS j FROM hit) b USING (doc_id, j) GROUP BY doc_id),
+runs AS (SELECT doc_id, count(*) AS n_repeats, max(size) AS longest_repeat FROM (
+  SELECT doc_id, count(*) AS size FROM (SELECT doc_id, j, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS run FROM (SELECT doc_id, unnest(gone) AS j FROM hit)) GROUP BY doc_id, run) GROUP BY doc_id)
+SELECT o.doc_id, n_words, n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(n_repeats, 0) AS n_repeats, coalesce(longest_repeat, 0) AS longest_repeat
+FROM o LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)""",
     "op4_perspective_rotation": r"""
 WITH t AS (
   SELECT conv_id, CAST(floor(turn / 4096) AS BIGINT) AS segment, turn, coalesce(role, 'unknown') AS role,

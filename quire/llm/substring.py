@@ -2,11 +2,16 @@
 
 Seeds are hashes of ``seed`` consecutive words; winnowing keeps, of every ``window - seed + 1``
 consecutive seeds, the least. Two equal windows have equal anchors, so documents meet on anchors alone
-(about one seed in fifteen). Around each anchor that occurs more than once, matches are extended to both
-sides: every placement of the window over the anchor asks whether its whole word sequence starts
-elsewhere too. Placements that match overlap into maximal repeats, which are cut.
+(about one seed in fifteen): the shard of an anchor joins all its occurrences. Around each anchor that
+occurs more than once, matches are extended to both sides, from the window that ends with the anchor to
+the one that begins with it: every such placement meets, by its whole word sequence, the other
+occurrences of the same placement. Placements that match overlap into maximal repeats, which are cut and
+kept as ``repeats``.
 
-Occurrences of an anchor are never paired. A passage in a third of all documents is one key per chunk.
+Occurrences of an anchor are joined by key and never paired with each other: a passage in a third of all
+documents is one entry for each chunk of documents, and pairs of its occurrences would grow with the square of
+their number. That is why an extension compares a placement with all other occurrences at once instead of
+two documents word by word; the result is the same. Word sequences are compared by hashes of 128 bits.
 
 Defined results: null has no words; texts of fewer words than the window stay; repeated rows are other
 places; an empty table gives an empty result; kept words are joined by one space.
@@ -19,20 +24,8 @@ from itertools import compress
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .bytestext import Words, covered, member, sliding, split_words, windows
-from .exchange import boxed_schema, chunk_count, found_keys, in_chunks, question, repeated, row_texts, shard_count, strings, unboxed
-
-ASKED = "chunk int, shard int, keys binary, counts binary"
-
-
-def _asked(rows: dict):
-    import pyarrow as pa
-
-    return pa.table({
-        "chunk": pa.array(rows["chunk"], pa.int32()), "shard": pa.array(rows["shard"], pa.int32()),
-        "keys": pa.array(rows["keys"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary()),
-    })
-
+from .bytestext import Words, covered, member, sliding, split_words, wide_place, windows
+from .exchange import ASKED, boxed_schema, chunk_count, found_keys, in_chunks, question, repeated, row_texts, shard_count, strings, unboxed
 
 def anchors_of(words: Words, h: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the windows that lie in one text, each one's anchor, and all anchor occurrences."""
@@ -60,14 +53,14 @@ def cut_repeats(docs: DataFrame, column: str = "text", window: int = 35, seed: i
 
     def seeds(key, table):
         words = split_words(row_texts(table, column))
-        return _asked(question(key[0].as_py(), anchors_of(words, words.hashes(), window, seed)[2], shards))
+        return question(key[0].as_py(), anchors_of(words, words.hashes(), window, seed)[2], shards)
 
     def extend(key, table, answers):
         words = split_words(row_texts(table, column))
         h = words.hashes()
         starts, anchor, _ = anchors_of(words, h, window, seed)
-        starts = starts[member(anchor, found_keys(answers))]
-        return _asked(question(key[0].as_py(), windows(h, window)[starts], shards))
+        starts = starts[member(anchor, found_keys(answers)[0])]
+        return question(key[0].as_py(), windows(h, window)[starts], shards, windows(words.hashes(True), window, True)[starts])
 
     def cut(key, table, answers):
         import pyarrow as pa
@@ -77,7 +70,11 @@ def cut_repeats(docs: DataFrame, column: str = "text", window: int = 35, seed: i
         n = len(words.starts)
         full = windows(words.hashes(), window)
         starts = np.flatnonzero(words.left()[: len(full)] >= window)
-        gone = covered(starts[member(full[starts], found_keys(answers))], window, n)
+        high, low = found_keys(answers)
+        starts = starts[member(full[starts], high)]
+        if len(starts):
+            starts = starts[wide_place(full[starts], windows(words.hashes(True), window, True)[starts], high, low) >= 0]
+        gone = covered(starts, window, n)
         kept, spans, removed = [], [], []
         for text, a, b in zip(texts, words.first[:-1], words.first[1:], strict=True):
             out, own = gone[a:b], text.split()

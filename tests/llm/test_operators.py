@@ -77,10 +77,22 @@ def test_line_state_deletes_what_it_added(docs):
     assert kept[1] == 1 and kept[13] == 0  # the common line is in one document of the state only
 
 
-def test_spared_copies_stay_whole(spark):
-    rows = [(i, "one\ntwo\nthree") for i in range(12)] + [(20, "one\nown words")]
-    out = {r.doc_id: r.text for r in lines.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), spare_copies=True).collect()}
-    assert out[3] == "one\ntwo\nthree" and out[20] == "own words"
+def test_keys_that_agree_in_half_of_their_bits_stay_apart():
+    high, low = np.array([5, 5, 5, 9], dtype=np.uint64), np.array([2, 1, 2, 0], dtype=np.uint64)
+    keys, lows, n = exchange.wide_tally(high, low)
+    assert (keys.tolist(), lows.tolist(), n.tolist()) == ([5, 5, 9], [1, 2, 0], [1, 2, 1])
+    assert exchange.wide_place(high, low, keys, lows).tolist() == [1, 0, 1, 2]
+    assert exchange.wide_place(np.array([5, 7], dtype=np.uint64), np.array([3, 0], dtype=np.uint64), keys, lows).tolist() == [-1, -1]
+    shard = lines.Shard.empty()
+    shard.change(keys, lows, n)
+    assert shard.references(high, low).tolist() == [2, 1, 2, 1]
+    shard.change(keys[:1], lows[:1], -n[:1])
+    assert shard.references(high, low).tolist() == [2, 0, 2, 1]
+
+
+def test_messages_are_no_more_than_keys():
+    keys = np.arange(0, 2**63, 2**57, dtype=np.uint64)
+    assert exchange.question(3, keys, 1_000_000).num_rows == len(keys)
 
 
 def test_decontamination_against_brute_force(spark, docs):
