@@ -44,8 +44,8 @@ class Shelf:
         self.spark, self.name = spark, f"quire_{uuid.uuid4().hex}"
         spark.sql(f"CREATE DATABASE {self.name} LOCATION '{shared_dir(spark)}'")
 
-    def put(self, table: str, df: DataFrame) -> DataFrame:
-        df.write.saveAsTable(f"{self.name}.{table}")
+    def put(self, table: str, df: DataFrame, **options: str) -> DataFrame:
+        df.write.options(**options).saveAsTable(f"{self.name}.{table}")
         release(self.spark)
         return self.spark.table(f"{self.name}.{table}")
 

@@ -95,12 +95,16 @@ def test_messages_are_no_more_than_keys():
     assert exchange.question(3, keys, 1_000_000).num_rows == len(keys)
 
 
-def test_decontamination_against_brute_force(spark, docs):
-    items = [(1, " ".join(f"P{i}," for i in range(5, 25))), (2, "short TEXT"), (3, None), (4, ""), (12, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10"), (5, "absent words here")]
+@pytest.mark.parametrize(("block", "segment"), [(200_000, 4_000_000), (12, 1_000)])
+def test_decontamination_against_brute_force(spark, docs, monkeypatch, block, segment):
+    """In one block and one segment a task, and in several of both."""
+    monkeypatch.setattr(decontam, "BLOCK", block)
+    monkeypatch.setattr(decontam, "SEGMENT", segment)
+    items = [(1, " ".join(f"P{i}," for i in range(5, 25))), (2, "short TEXT"), (3, None), (4, ""), (12, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10"), (5, "absent words here"), (7, "w9 w2 w4 w3 w5 w8 w7 w6 w1 w10"), (7, "text short"), (8, "a a a"), (9, "text a short a")]
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     got = {r.doc_id: r for r in decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     for i, t in TEXTS:
-        w, hit, found = low(t), set(), set()
+        w, hit, found, close = low(t), set(), set(), set()
         for item, text in items:
             q = low(text)
             n = min(10, len(q))
@@ -109,19 +113,26 @@ def test_decontamination_against_brute_force(spark, docs):
                 if n and tuple(w[p : p + n]) in wins:
                     hit |= set(range(p, p + n))
                     found.add(str(item))
+                if n and tuple(sorted(w[p : p + n])) in {tuple(sorted(x)) for x in wins}:
+                    close.add(str(item))
+        assert got[i].near == sorted(close), i
         assert (got[i].n_words, got[i].n_hit, got[i].items) == (len(w), len(hit), sorted(found)), i
         assert sum(h.behind - h.first for h in got[i].hits) == len(hit)
     assert decontam.contamination(docs, spark.createDataFrame([], "item_id long, text string")).filter("n_hit > 0").count() == 0
 
 
-def test_proximity_and_stored_index(docs):
+def test_proximity_with_slack_and_stored_postings(spark, docs):
+    items = spark.createDataFrame([(1, "text short"), (2, "common one line"), (3, "p3 p1 p0")], "item_id long, text string")
+    near = {r.doc_id: r.near for r in decontam.contamination(docs, items, slack=1).collect()}
+    assert near[8] == ["1"] and near[11] == ["2"] and near[13] == [] and near[3] == near[4] == ["3"]
+    assert {r.doc_id: r.near for r in decontam.contamination(docs, items).collect()}[3] == []
     terms = np.array([5, 1, 2, 9, 3, 1, 7, 2], dtype=np.uint64)
-    index = decontam.Postings(terms)
-    owner = np.zeros(8, dtype=np.int64)
-    assert index.near(np.array([2, 1], dtype=np.uint64), 1, owner).tolist() == [2]
-    assert index.near(np.array([2, 1], dtype=np.uint64), 2, owner).tolist() == [2, 7]
+    index = decontam.Postings.load(*decontam.Postings.of(terms).dump())
+    assert index.terms.tolist() == [1, 2, 3, 5, 7, 9] and index.counts.tolist() == [2, 2, 1, 1, 1, 1] and index.places.tolist() == [1, 5, 2, 7, 4, 0, 6, 3]
+    assert index.within(np.array([0, 0, 1]), np.array([0, 2, 3]), np.array([6, 5, 8])).tolist() == [2, 0, 1]
     rows = decontam.build_index(docs.filter("doc_id in (8, 13)")).collect()
-    assert {(r.key, r.term): r.places for r in rows} == {(8, "short"): [0], (8, "text"): [1], (13, "common"): [0], (13, "line"): [1]}
+    assert sorted(x.doc_id for r in rows for x in r.rows) == [8, 13]
+    assert decontam.contamination(docs.limit(0), items).count() == 0
     assert decontam.cut_hits(b"one two three four", [(1, 3)]) == b"one  four"
 
 
@@ -470,10 +481,6 @@ def test_gradient_matches_differences():
         assert (up - down) / (2 * e) == pytest.approx(grad[i], rel=0.15, abs=2e-4), name
 
 
-def test_digests():
-    assert decontam.sha256_of_items([]) == hashlib.sha256(b"").hexdigest()
-
-
 def test_language_model_scores_by_brute_force(spark):
     """The interpolated score itself, recomputed with the weights of the model's own buckets; an input
     column named like the model's inner ones survives; an empty table."""
