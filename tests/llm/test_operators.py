@@ -264,9 +264,9 @@ def test_tilts_of_a_few_long_and_many_short_documents(spark):
             cells += [(s, x, n), (s, y, m)]
             goals.append((s, size, share * size))
     tilts = mixing.solve(spark.createDataFrame(cells, "source string, size long, n long"), spark.createDataFrame(goals, "source string, source_size long, target double")).collect()
-    assert len(tilts) == 15 and max(abs(t.tilt) for t in tilts) > 96
+    assert len(tilts) == 15 and max(abs(t.tilt) for t in tilts) > 20
     for t in tilts:
-        rate = lambda x: 3 / (1 + 2 * math.exp(min(700.0, -t.tilt * x / t.unit)))  # noqa: B023, E731
+        rate = lambda x: min(3.0, math.exp(min(700.0, t.tilt * x / t.unit)))  # noqa: B023, E731
         got = sum(n * x * rate(x) for s, x, n in cells if s == t.source)
         assert got == pytest.approx(next(g for s, _, g in goals if s == t.source), rel=1e-6)
 
@@ -274,8 +274,21 @@ def test_tilts_of_a_few_long_and_many_short_documents(spark):
 def test_mixing_says_when_a_target_is_not_reached(spark):
     cells = spark.createDataFrame([("a", 20_000, 30), ("a", 50, 10_000)], "source string, size long, n long")
     goals = spark.createDataFrame([("a", 1_100_000, 110_000.0)], "source string, source_size long, target double")
-    with pytest.raises(ArithmeticError):
-        mixing.solve(cells, goals, steps=2, each=2)
+    with pytest.raises(Exception, match="off its target"):
+        mixing.solve(cells, goals, steps=2).collect()
+
+
+def test_remainders_are_carried_to_smaller_sizes(spark, monkeypatch):
+    """A few long documents whose rates are no whole copies: the short ones make up for them, over several
+    stretches of sizes."""
+    monkeypatch.setattr(mixing, "STRETCH", 3)
+    cells = [("a", 1000, 3), ("a", 700, 2)] + [("a", x, 5) for x in range(1, 15)]
+    total = sum(x * n for _, x, n in cells)
+    goals = [("a", total, 0.37 * total)]
+    solved = mixing.solve(spark.createDataFrame(cells, "source string, size long, n long"), spark.createDataFrame(goals, "source string, source_size long, target double"))
+    out = mixing.rounded(solved, 3).collect()
+    assert len(out) == 16 and all(0 <= r.copies <= 3 * r.n for r in out)
+    assert abs(sum(r.size * r.copies for r in out) - 0.37 * total) <= 1
 
 
 def test_mixing_meets_targets(spark):
@@ -304,7 +317,7 @@ def test_mixing_meets_targets(spark):
         free -= full
     for x in out.groupBy("source").agg(F.first("source_size").alias("n"), F.first("target").alias("t"), F.sum("taken").alias("taken"), F.max(F.col("copies")).alias("most")).collect():
         assert x.n == size[x.source] and x.t == pytest.approx(target[x.source], rel=1e-9, abs=1e-6)
-        assert abs(x.taken - x.t) <= 0.02 * x.t + 1 and x.most <= 3
+        assert abs(x.taken - x.t) <= 0.005 * x.t + 1 and x.most <= 3
     again = {(r.doc_id, r.taken) for r in mixing.mix(d, cell=50).collect()}
     assert again == {(r.doc_id, r.taken) for r in out.collect()} and mixing.mix(d.limit(0)).count() == 0
 
