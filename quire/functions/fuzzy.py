@@ -7,12 +7,15 @@ from __future__ import annotations
 
 import html
 import json
+import os
 import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import FURNITURE
+
 HAN = "一-鿿"
 
 
@@ -74,31 +77,26 @@ def term_key(text: str) -> str:
     return "".join(names.get(c, c.lower() if c.isascii() and c.isalnum() else "") for c in text)
 
 
-LEVELS = ["None", "Low", "Contains", "High", "Exact"]
+# Match levels from the best, with what any one of their measures must come to.
+LEVEL_BARS = {"High": {"edits": 0.85, "order": 0.9}, "Low": {"edits": 0.7, "order": 0.8, "prefix": 0.6}}
+# The shortest key that is compared by measures, and the greatest difference of lengths.
+SHORTEST_KEY, LENGTH_BAND = 4, 0.3
 
 
 def match_level(a: str, b: str) -> str:
-    """How alike two terms are by their keys: the better of both directions."""
-    ka, kb = term_key(a), term_key(b)
-    if not ka or not kb:
+    """How alike two terms are by their keys: Exact, Contains, or a level by shares of the longer key that
+    edits leave, that stand in the same order, or that begin both."""
+    short, full = sorted((term_key(a), term_key(b)), key=len)
+    if not short:
         return "Exact" if a.strip() == b.strip() else "None"
-    na, nb = len(a.split()), len(b.split())
-
-    def one(n: int, other: int) -> int:
-        if n > 1 and other < n:
-            return 0
-        if ka == kb:
-            return 4
-        if ka in kb or kb in ka:
-            return 2
-        longest = max(len(ka), len(kb))
-        if min(len(ka), len(kb)) < 4 or abs(len(ka) - len(kb)) / longest > 0.3:
-            return 0
-        alike, shared = 1 - distance(ka, kb) / longest, lcs_length(ka, kb) / longest
-        prefix = next((i for i, (x, y) in enumerate(zip(ka, kb, strict=False)) if x != y), min(len(ka), len(kb))) / longest
-        return 3 if alike >= 0.85 or shared >= 0.9 else 1 if alike >= 0.7 or prefix >= 0.6 or shared >= 0.8 else 0
-
-    return LEVELS[max(one(na, nb), one(nb, na))]
+    if short in full:
+        return "Exact" if short == full else "Contains"
+    size = len(full)
+    if len(short) < SHORTEST_KEY or (size - len(short)) / size > LENGTH_BAND:
+        return "None"
+    common = os.path.commonprefix([short, full])
+    measures = {"edits": 1 - distance(short, full) / size, "order": lcs_length(short, full) / size, "prefix": len(common) / size}
+    return next((level for level, bars in LEVEL_BARS.items() if any(measures[m] >= bar for m, bar in bars.items())), "None")
 
 
 def mentions(source: str, term: str) -> bool:
@@ -189,8 +187,7 @@ def densest_block(text: str) -> str | None:
 
 def without_boilerplate(text: str) -> str:
     """A page without scripts, styles, footers, navigation (but for contents), hidden elements and
-    elements whose class or id names page furniture."""
-    furniture = re.compile(r"sharedaddy|sd-(?:sharing|social|block)|jp-(?:sharing|relatedposts|post-flair)|share-?b(?:uttons?|ox|ar)|social-(?:share|links|media|icons)|addtoany|addthis|sharethis|related-(?:posts?|articles)|yarpp|post-nav(?:igation)?|nav-(?:links|previous|next)|(?:post-)?pagination|page-links|prev-next|comment-respond|comments?-area|comments?-list|screen-reader-text|sr-only|visually-hidden|a11y-hidden")
+    elements that have page furniture among the names of their class or id."""
 
     def goes(name: str, attrs: str) -> bool:
         if name in ("footer", "script", "style"):
@@ -200,7 +197,8 @@ def without_boilerplate(text: str) -> str:
         low = attrs.lower()
         if re.search(r"hidden|display:\s?none", low):
             return True
-        return any(furniture.search(v) for v in re.findall(r"(?:class|id)=(?:\"[^\"]*\"|'[^']*')", low))
+        values = (x or y for x, y in re.findall(r"(?:class|id)=(?:\"([^\"]*)\"|'([^']*)')", low))
+        return any(token in FURNITURE for v in values for token in v.split())
 
     opened = re.compile(r"<([A-Za-z][A-Za-z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
     out, at = [], 0

@@ -27,8 +27,13 @@ PUBLICATION = [
 # Signs of an academic text.
 ACADEMIC = ["\n## references", "\n## abstract", "\nkeywords:", "\nreceived ", "\naccepted ", "\ndoi"]
 # English number words and Roman numerals, 1 to 20.
-NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
-ROMAN = "i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split()
+NUMBER_WORDS = [
+    "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty",
+]
+ROMAN = [
+    "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx",
+]
 # Exam levels in order, and their labels.
 LEVELS = ["zhongKao", "gaoKao", "cet4", "cet6", "kaoYan", "ielts", "toefl", "tem4", "tem8", "gre"]
 LEVEL_LABELS = {
@@ -39,20 +44,34 @@ LEVEL_LABELS = {
 TAG_LABELS = {"zk": "中考", "gk": "高考", "cet4": "四级", "cet6": "六级", "ky": "考研", "ielts": "雅思", "toefl": "托福", "tem4": "专四", "tem8": "专八", "gre": "GRE", "sat": "GRE"}
 FORM_CODES = ["d", "p", "i", "3", "s", "r", "t"]
 # Words that make no proper noun.
-NOISE_WORDS = (
-    "The A An And But For If In Into Of On Or That Their Then There They This Those To We When Where With Now Indeed Even One You People Story Chance Anon End Abstract "
-    "Introduction Background Methods Results Discussion Conclusion Conclusions References Appendix Table Figure Language Specifically However Although Apparently Before "
-    "Besides Consequently Doubtless Meanwhile Moreover Nevertheless Nothing Perhaps Presently Probably Somehow Something Sometimes Suddenly Though Toward Turning Unlike "
-    "Whatever Whenever Wherever Whether Future Lastly Department Social Participants Study Research Data First Second Third"
-).split()
+NOISE_WORDS = [
+    "The", "A", "An", "And", "But", "For", "If", "In", "Into", "Of", "On", "Or", "That", "Their", "Then", "There", "They", "This", "Those", "To",
+    "We", "When", "Where", "With", "Now", "Indeed", "Even", "One", "You", "People", "Story", "Chance", "Anon", "End", "Abstract", "Introduction",
+    "Background", "Methods", "Results", "Discussion", "Conclusion", "Conclusions", "References", "Appendix", "Table", "Figure", "Language",
+    "Specifically", "However", "Although", "Apparently", "Before", "Besides", "Consequently", "Doubtless", "Meanwhile", "Moreover", "Nevertheless",
+    "Nothing", "Perhaps", "Presently", "Probably", "Somehow", "Something", "Sometimes", "Suddenly", "Though", "Toward", "Turning", "Unlike",
+    "Whatever", "Whenever", "Wherever", "Whether", "Future", "Lastly", "Department", "Social", "Participants", "Study", "Research", "Data", "First",
+    "Second", "Third",
+]
 LEADING_NOISE = ["I", "Now", "And", "But", "Then", "The"]
 TRAILING_NOISE = ["And", "We", "His", "Her", "Its", "Their", "Before", "Indeed", "Finally"]
 # English words that a translation may keep.
-RESIDUAL_STOPWORDS = (
-    "a an about after again against all also although am and any anyone as at be because been being before both but by can could did do does down for from had has have he "
-    "her here hers him his how however i if in is it its may me might more most must my no not of on only onto or our out over shall she should so some such than that the "
-    "their them then there these they this those though to under up very vs was we were what when where which while who whom whose why will with without would you your"
-).split()
+RESIDUAL_STOPWORDS = [
+    "a", "an", "about", "after", "again", "against", "all", "also", "although", "am", "and", "any", "anyone", "as", "at", "be", "because", "been",
+    "being", "before", "both", "but", "by", "can", "could", "did", "do", "does", "down", "for", "from", "had", "has", "have", "he", "her", "here",
+    "hers", "him", "his", "how", "however", "i", "if", "in", "is", "it", "its", "may", "me", "might", "more", "most", "must", "my", "no", "not", "of",
+    "on", "only", "onto", "or", "our", "out", "over", "shall", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then",
+    "there", "these", "they", "this", "those", "though", "to", "under", "up", "very", "vs", "was", "we", "were", "what", "when", "where", "which",
+    "while", "who", "whom", "whose", "why", "will", "with", "without", "would", "you", "your",
+]
+# Names in classes and ids of page furniture.
+FURNITURE = [
+    "sharedaddy", "sd-sharing", "sd-social", "sd-block", "jp-sharing", "jp-relatedposts", "jp-post-flair", "share-buttons", "share-button",
+    "sharebox", "share-bar", "social-share", "social-links", "social-media", "social-icons", "addtoany", "addthis", "sharethis", "related-posts",
+    "related-post", "related-articles", "yarpp", "post-navigation", "post-nav", "nav-links", "nav-previous", "nav-next", "pagination", "page-links",
+    "prev-next", "post-pagination", "comment-respond", "comments-area", "comment-area", "comments-list", "comment-list", "screen-reader-text",
+    "sr-only", "visually-hidden", "a11y-hidden",
+]
 # Characters typical of text decoded with the wrong table.
 MOJIBAKE_CJK = "璇妗嘘灦濡備綍濉戦犲绀瑙勮寖鐸鐭璧鎴浼濂鍙"
 
@@ -289,17 +308,12 @@ def article_html(c: Column) -> Column:
 
 
 def is_boilerplate(name: Column, attrs: Column) -> Column:
-    # Parts of class and id names of page furniture.
-    tokens = (
-        "sharedaddy sd-sharing sd-social sd-block jp-sharing jp-relatedposts jp-post-flair share-buttons share-button sharebox share-bar social-share social-links social-media "
-        "social-icons addtoany addthis sharethis related-posts related-post related-articles yarpp post-navigation post-nav nav-links nav-previous nav-next pagination page-links "
-        "prev-next post-pagination comment-respond comments-area comment-area comments-list comment-list screen-reader-text sr-only visually-hidden a11y-hidden"
-    ).split()
     low = ascii_lower(attrs)
-    values = F.regexp_extract_all(low, F.lit(r"""(?:class|id)=(?:"([^"]*)"|'[^']*')"""), F.lit(0))
+    values = F.regexp_extract_all(low, F.lit(r"""(?:class|id)=(?:"[^"]*"|'[^']*')"""), F.lit(0))
+    names = F.flatten(F.transform(values, lambda v: F.split(F.regexp_replace(v, r"""^[a-z]+=|["']""", ""), r"\s+")))
     keep = any_of(attrs, ['epub:type="toc', "epub:type='toc", "landmarks", "page-list", "doc-toc"])
     hidden = any_of(low, ["hidden", 'aria-hidden="true"', "display:none", "display: none", "visibility:hidden", "visibility: hidden"])
-    return F.when(name.isin("footer", "script", "style"), True).when(name == "nav", ~keep).when(hidden, True).otherwise(F.exists(values, lambda v: any_of(v, tokens)))
+    return F.when(name.isin("footer", "script", "style"), True).when(name == "nav", ~keep).when(hidden, True).otherwise(F.arrays_overlap(names, F.array(*[F.lit(t) for t in FURNITURE])))
 
 
 # Markdown ------------------------------------------------------------------------------------------

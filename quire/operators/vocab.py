@@ -24,15 +24,16 @@ def annotate(words: DataFrame, dictionary: DataFrame, level: int, mastered: Data
     being learned or above the reader's level. Adds entry, rank (null: not in the dictionary) and
     ``surface``, the form where it differs from the entry."""
     rows = words.withColumn("word", ascii_lower(F.col("word"))).filter("word <> ''")
-    found = lemma_lookup(rows, dictionary)
-    rows = rows.join(found, "word", "left").withColumn("lemma", F.coalesce("entry", "word"))
+    # all that is asked of a word is settled once for each distinct word; the rows meet one small relation
+    forms = rows.select("word").distinct().join(lemma_lookup(rows, dictionary), "word", "left").withColumn("lemma", F.coalesce("entry", "word"))
     known, wanted = (m.select(ascii_lower(F.col("word")).alias("m")).distinct() for m in (mastered, learning))
     for by in ("word", "lemma"):
-        rows = rows.join(known, rows[by] == known["m"], "left_anti")
+        forms = forms.join(known, forms[by] == known["m"], "left_anti")
     for by in ("word", "lemma"):
-        rows = rows.join(wanted.select(F.col("m").alias(by), F.lit(True).alias(f"{by}_wanted")), by, "left")
-    rows = rows.withColumn("learning", F.coalesce("word_wanted", F.lit(False)) | F.coalesce("lemma_wanted", F.lit(False)))
-    rows = rows.filter(F.col("learning") | F.coalesce(F.col("rank") > level, F.lit(False)))
+        forms = forms.join(wanted.select(F.col("m").alias(by), F.lit(True).alias(f"{by}_wanted")), by, "left")
+    forms = forms.withColumn("learning", F.coalesce("word_wanted", F.lit(False)) | F.coalesce("lemma_wanted", F.lit(False)))
+    forms = forms.filter(F.col("learning") | F.coalesce(F.col("rank") > level, F.lit(False)))
+    rows = rows.join(forms.select("word", "lemma", "rank", "learning"), "word")
     return rows.select(*keep, F.col("lemma").alias("word"), "rank", "learning", F.when(F.col("lemma") != F.col("word"), F.col("word")).otherwise("").alias("surface"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.operators import insights as I
 from quire.operators import metrics as M
-from quire.registry import query
+from quire.registry import _SQL, query
 from quire.sources.tables import table
 
 from . import duck as D
@@ -61,14 +61,24 @@ q("agg16_translated_toc", lambda s, d: M.translated_toc_metrics(toc(s, d), trans
 def metrics_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics of each task in one wide row."""
     log = event_log(spark, sf_dir)
-    parts = [M.event_metrics(log, "task"), M.chunk_p95(log, "task"), M.structure_error_rate(log, "task"), M.slowest_stage(M.stage_timings(log, "task"), "task"), M.stage_counts(chunks(spark, sf_dir), "task").drop("chunks"), M.hint_metrics(hints(spark, sf_dir), "task")]
+    slowest = M.slowest_stage(M.stage_timings(log, "task"), "task").withColumnRenamed("slowest_ms", "slowest_stage_ms")
+    used = M.token_usage(usage(spark, sf_dir), "task")
+    cost = used.select(*used.columns, M.cost_usd(F.col("cached"), F.col("uncached"), F.col("completion"), F.col("responses")).alias("usd"))
+    parts = [
+        M.event_metrics(log, "task"),
+        M.chunk_p95(log, "task"),
+        M.structure_error_rate(log, "task"),
+        slowest,
+        M.stage_counts(chunks(spark, sf_dir), "task"),
+        M.hint_metrics(hints(spark, sf_dir), "task"),
+        cost,
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "task", "left")
     return out
 
 
-q("agg17_metrics_artifact", metrics_artifact)
 USE = "u AS (SELECT user_id AS task, CAST(floor(value * 1000) AS BIGINT) AS prompt, CAST(json_extract_string(props, '$.k') AS BIGINT) * 50 AS cached, event_id % 500 AS completion FROM events)"
 
 
@@ -79,6 +89,13 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _use = "SELECT task, CAST(sum(prompt) AS BIGINT) AS prompt, CAST(sum(least(coalesce(cached, 0), prompt)) AS BIGINT) AS cached, CAST(sum(prompt - least(coalesce(cached, 0), prompt)) AS BIGINT) AS uncached, CAST(sum(completion) AS BIGINT) AS completion, count(*) AS responses FROM u GROUP BY task"
 q("agg37_token_usage", lambda s, d: M.token_usage(usage(s, d), "task"), f"WITH {USE} {_use}")
 q("agg18_cost", lambda s, d: M.token_usage(usage(s, d), "task").select("task", M.cost_usd(F.col("cached"), F.col("uncached"), F.col("completion"), F.col("responses")).alias("usd")), f"WITH {USE}, t AS ({_use}) SELECT task, round(cached / 1e6 * 0.028 + uncached / 1e6 * 0.14 + completion / 1e6 * 0.28, 6) AS usd FROM t")
+_parts = [_SQL[n] for n in ("agg08_event_metrics", "agg09_chunk_p95", "agg10_structure_error_rate", "agg11_slowest_stage", "agg07_stage_counts", "agg14_hint_metrics", "agg37_token_usage", "agg18_cost")]
+_names = ["a.*", "b.* EXCLUDE (task)", "c.* EXCLUDE (task)", "slowest, s.slowest_ms AS slowest_stage_ms", "k.* EXCLUDE (task)", "h.* EXCLUDE (task)", "t.* EXCLUDE (task)", "usd"]
+q(
+    "agg17_metrics_artifact",
+    metrics_artifact,
+    f"SELECT {', '.join(_names)} FROM ({_parts[0]}) a " + " ".join(f"LEFT JOIN ({sql}) {at} ON a.task = {at}.task" for at, sql in zip("bcskhtu", _parts[1:], strict=True)),
+)
 q("agg19_structure_stats", lambda s, d: M.structure_stats(pairs(s, d)).select("task", "idx", "source_blocks", "target_blocks", "source_headings", "target_headings", "block_delta", "mismatch"), None)
 q("agg36_digits", lambda s, d: pairs(s, d).select("task", "idx", F.array_join(F.array_sort(F.regexp_extract_all("source", F.lit("[0-9]"), F.lit(0))), "").alias("digits")), f"WITH {PAIRS_SQL} SELECT task, idx, array_to_string(list_sort(regexp_extract_all(source, '[0-9]')), '') AS digits FROM p")
 q("agg38_window_percentile", lambda s, d: M.window_percentile(event_log(s, d).withColumn("ms", X.metric(F.col("message"), "elapsed_ms")), "task", value="ms").withColumn("percentile", F.col("percentile").cast("long")), f"WITH {LOG_SQL}, w AS (SELECT task, {m('elapsed_ms')} AS ms FROM log QUALIFY row_number() OVER (PARTITION BY task ORDER BY seq DESC) <= 64) SELECT task, CAST(quantile_disc(ms, 0.95) AS BIGINT) AS percentile FROM w GROUP BY task")

@@ -98,23 +98,29 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENS_SQL = (
-    "tok AS (SELECT doc_id, lang, unnest(generate_series(0, len(ws) - 1)) AS pos, unnest(ws) AS word FROM (SELECT doc_id, lang, list_filter(list_transform(list_filter("
+    "tok AS MATERIALIZED (SELECT doc_id, lang, unnest(generate_series(0, len(ws) - 1)) AS pos, unnest(ws) AS word FROM (SELECT doc_id, lang, list_filter(list_transform(list_filter("
     "regexp_split_to_array(coalesce(text, ''), '[^A-Za-z''-]+'), lambda w: length(w) >= 3), lambda w: trim(w, '''-')), lambda w: w <> '') AS ws FROM documents) WHERE len(ws) > 0)"
 )
 
 
-def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word, rank): lower-case words in ten tiers by frequency; the commonest tenth has rank 0."""
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, n): distinct lower-case words and their numbers. Every use is the same plan up to its shuffle, which
+    Spark makes once."""
     from quire.functions.text import ascii_lower
 
+    return tokens(spark, sf_dir).groupBy(ascii_lower(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, rank): lower-case words in ten tiers by frequency; the commonest tenth has rank 0."""
     # ranks need one order over the vocabulary; frequencies are summed before it, so the window sees
     # a row for each word
-    counts = tokens(spark, sf_dir).groupBy(ascii_lower(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    counts = vocabulary(spark, sf_dir)
     return counts.select("word", (F.ntile(10).over(Window.orderBy(F.desc("n"), "word")) - 1).alias("rank"))
 
 
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-DICT_SQL = f"{TOKENS_SQL}, dict AS (SELECT word, ntile(10) OVER (ORDER BY n DESC, word) - 1 AS rank FROM (SELECT {LOW.format('word')} AS word, count(*) AS n FROM tok GROUP BY 1))"
+DICT_SQL = f"{TOKENS_SQL}, dict AS MATERIALIZED (SELECT word, ntile(10) OVER (ORDER BY n DESC, word) - 1 AS rank FROM (SELECT {LOW.format('word')} AS word, count(*) AS n FROM tok GROUP BY 1))"
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

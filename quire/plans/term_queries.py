@@ -19,7 +19,7 @@ from quire.sources.tables import table
 
 from . import duck as D
 from .metric_queries import TOC_SQL, TTOC_SQL, toc, translated_toc
-from .standins import BOOKS_SQL, CHUNKS_SQL, DICT_SQL, HINTS_SQL, LOG_SQL, NOW, PAIRS_SQL, REVIEWS_SQL, TERMS_SQL, books, chunks, dictionary, event_log, fixture, hints, pairs, reviews, terms, tokens, values_sql
+from .standins import BOOKS_SQL, CHUNKS_SQL, DICT_SQL, HINTS_SQL, LOG_SQL, NOW, PAIRS_SQL, REVIEWS_SQL, TERMS_SQL, books, chunks, dictionary, event_log, fixture, hints, pairs, reviews, terms, tokens, vocabulary, values_sql
 from .text_queries import LEMMA_SQL
 
 
@@ -32,10 +32,10 @@ def small_dictionary(s: SparkSession, d: str) -> DataFrame:
     return dictionary(s, d).filter((F.length("word") + F.col("rank")) % 3 != 0)
 
 
-DIC = f"{DICT_SQL}, dic AS (SELECT * FROM dict WHERE (length(word) + rank) % 3 <> 0), voc AS (SELECT DISTINCT {D.low('word')} AS word FROM tok), tries AS (SELECT word, unnest([word] || {LEMMA_SQL('word')}) AS cand, unnest(generate_series(0, len({LEMMA_SQL('word')}))) AS pos FROM voc), found AS (SELECT t.word, arg_min(cand, pos) AS entry, arg_min(rank, pos) AS rank FROM tries t JOIN dic ON dic.word = cand GROUP BY t.word)"
+DIC = f"{DICT_SQL}, dic AS MATERIALIZED (SELECT * FROM dict WHERE (length(word) + rank) % 3 <> 0), voc AS MATERIALIZED (SELECT DISTINCT {D.low('word')} AS word FROM tok), tries AS (SELECT word, unnest([word] || {LEMMA_SQL('word')}) AS cand, unnest(generate_series(0, len({LEMMA_SQL('word')}))) AS pos FROM voc), found AS MATERIALIZED (SELECT t.word, arg_min(cand, pos) AS entry, arg_min(rank, pos) AS rank FROM tries t JOIN dic ON dic.word = cand GROUP BY t.word)"
 MASTERED, LEARNING = "length(word) % 7 = 0", "length(word) % 11 = 0"
 words_of = lambda s, d: tokens(s, d).select("doc_id", "lang", "pos", "word")
-marks = lambda s, d, cond: tokens(s, d).select(X.ascii_lower(F.col("word")).alias("word")).distinct().filter(cond)
+marks = lambda s, d, cond: vocabulary(s, d).filter(cond).select("word")
 
 
 def difficult(s: SparkSession, d: str) -> DataFrame:

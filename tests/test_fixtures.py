@@ -253,3 +253,20 @@ def test_every_hint_has_a_place(spark, sf_dir):
     assert len(rows) > 100 and sorted(r.place for r in rows) == list(range(1, len(rows) + 1))
     first = registry.queries()["srt06_hint_order"](spark, sf_dir).collect()
     assert [r.id for r in sorted(rows, key=lambda r: r.place)][:100] == [r.id for r in first]
+
+
+def test_page_furniture_is_matched_by_whole_names(spark):
+    from quire.functions import fuzzy, text
+
+    page = '<div class="pagination wide">gone</div><p class="unshared-pagination-note">Keep</p><p id="sr-only">gone</p><p class=\'post-nav-title x\'>Keep too</p>'
+    assert fuzzy.without_boilerplate(page) == '<p class="unshared-pagination-note">Keep</p><p class=\'post-nav-title x\'>Keep too</p>'
+    rows = [("div", 'class="a sharedaddy"'), ("div", 'class="sharedaddy-not"'), ("p", "id='addtoany'"), ("footer", ""), ("nav", "epub:type='toc'"), ("p", "")]
+    d = spark.createDataFrame(rows, "name string, attrs string")
+    assert [r.b for r in d.select(text.is_boilerplate(F.col("name"), F.col("attrs")).alias("b")).collect()] == [True, False, True, True, False, False]
+
+
+def test_match_levels_by_keys():
+    from quire.functions.fuzzy import match_level
+
+    for a, b, want in [("Ann Lee", "ann-lee", "Exact"), ("Ann", "Ann Lee", "Contains"), ("Kallisto", "Kalliste", "High"), ("Kallister", "Kalloster X", "Low"), ("cat", "dog", "None"), ("", "", "Exact"), ("日本", "日本", "Exact"), ("日本", "中国", "None")]:
+        assert match_level(a, b) == match_level(b, a) == want, (a, b)
