@@ -103,19 +103,27 @@ TOKENS_SQL = (
 )
 
 
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word, n): distinct lower-case words and their numbers. Every use is the same plan up to its shuffle, which
-    Spark makes once."""
+def staged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens as a stored table, for queries that read them several times."""
+    from quire.streaming.state import shared_folder
+
+    path, rows = shared_folder(spark), tokens(spark, sf_dir)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def vocabulary(spark: SparkSession, sf_dir: str, tok: DataFrame | None = None) -> DataFrame:
+    """(word, n): distinct lower-case words and their numbers."""
     from quire.functions.text import ascii_lower
 
-    return tokens(spark, sf_dir).groupBy(ascii_lower(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    return (tok or tokens(spark, sf_dir)).groupBy(ascii_lower(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dictionary(spark: SparkSession, sf_dir: str, tok: DataFrame | None = None) -> DataFrame:
     """(word, rank): lower-case words in ten tiers by frequency; the commonest tenth has rank 0."""
     # ranks need one order over the vocabulary; frequencies are summed before it, so the window sees
     # a row for each word
-    counts = vocabulary(spark, sf_dir)
+    counts = vocabulary(spark, sf_dir, tok)
     return counts.select("word", (F.ntile(10).over(Window.orderBy(F.desc("n"), "word")) - 1).alias("rank"))
 
 

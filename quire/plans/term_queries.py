@@ -19,7 +19,7 @@ from quire.sources.tables import table
 
 from . import duck as D
 from .metric_queries import TOC_SQL, TTOC_SQL, toc, translated_toc
-from .standins import BOOKS_SQL, CHUNKS_SQL, DICT_SQL, HINTS_SQL, LOG_SQL, NOW, PAIRS_SQL, REVIEWS_SQL, TERMS_SQL, books, chunks, dictionary, event_log, fixture, hints, pairs, reviews, terms, tokens, vocabulary, values_sql
+from .standins import BOOKS_SQL, CHUNKS_SQL, DICT_SQL, HINTS_SQL, LOG_SQL, NOW, PAIRS_SQL, REVIEWS_SQL, TERMS_SQL, books, chunks, dictionary, event_log, fixture, hints, pairs, reviews, staged_tokens, terms, tokens, vocabulary, values_sql
 from .text_queries import LEMMA_SQL
 
 
@@ -28,26 +28,36 @@ def q(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None =
 
 
 # --- words: a third of the vocabulary is missing from the dictionary, so lemmas matter
-def small_dictionary(s: SparkSession, d: str) -> DataFrame:
-    return dictionary(s, d).filter((F.length("word") + F.col("rank")) % 3 != 0)
+def small_dictionary(s: SparkSession, d: str, tok: DataFrame | None = None) -> DataFrame:
+    return dictionary(s, d, tok).filter((F.length("word") + F.col("rank")) % 3 != 0)
 
 
 DIC = f"{DICT_SQL}, dic AS MATERIALIZED (SELECT * FROM dict WHERE (length(word) + rank) % 3 <> 0), voc AS MATERIALIZED (SELECT DISTINCT {D.low('word')} AS word FROM tok), tries AS (SELECT word, unnest([word] || {LEMMA_SQL('word')}) AS cand, unnest(generate_series(0, len({LEMMA_SQL('word')}))) AS pos FROM voc), found AS MATERIALIZED (SELECT t.word, arg_min(cand, pos) AS entry, arg_min(rank, pos) AS rank FROM tries t JOIN dic ON dic.word = cand GROUP BY t.word)"
 MASTERED, LEARNING = "length(word) % 7 = 0", "length(word) % 11 = 0"
 words_of = lambda s, d: tokens(s, d).select("doc_id", "lang", "pos", "word")
-marks = lambda s, d, cond: vocabulary(s, d).filter(cond).select("word")
+marks = lambda s, d, cond, tok=None: vocabulary(s, d, tok).filter(cond).select("word")
 
 
 def difficult(s: SparkSession, d: str) -> DataFrame:
     """Words above level 6 of each language, without mastered ones, with those being learned."""
-    out = V.difficult_words(words_of(s, d), small_dictionary(s, d), 6, marks(s, d, MASTERED), marks(s, d, LEARNING), "lang")
+    tok = staged_tokens(s, d)
+    out = V.difficult_words(tok, small_dictionary(s, d, tok), 6, marks(s, d, MASTERED, tok), marks(s, d, LEARNING, tok), "lang")
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 ANN = f"m AS (SELECT word FROM voc WHERE {MASTERED}), le AS (SELECT word FROM voc WHERE {LEARNING}), ann AS (SELECT t.*, {D.low('t.word')} AS w, coalesce(entry, {D.low('t.word')}) AS lemma, rank FROM tok t LEFT JOIN found f ON f.word = {D.low('t.word')}), kept AS (SELECT *, (w IN (SELECT word FROM le) OR lemma IN (SELECT word FROM le)) AS learning FROM ann WHERE w NOT IN (SELECT word FROM m) AND lemma NOT IN (SELECT word FROM m))"
 q("jn04_difficult_words", difficult, f"WITH {DIC}, {ANN} SELECT DISTINCT lang, lemma AS word, CAST(rank AS BIGINT) AS rank FROM kept WHERE learning OR rank > 6")
 q("jn03_lemma_lookup", lambda s, d: V.lemma_lookup(marks(s, d, "true"), small_dictionary(s, d)).withColumn("rank", F.col("rank").cast("long")), f"WITH {DIC} SELECT word, entry, CAST(rank AS BIGINT) AS rank FROM found")
-q("jn02_annotate", lambda s, d: V.annotate(words_of(s, d), small_dictionary(s, d), 6, marks(s, d, MASTERED), marks(s, d, LEARNING), "doc_id", "pos").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("learning").alias("learning"), F.count_if(F.col("surface") != "").alias("inflected")), f"WITH {DIC}, {ANN} SELECT doc_id, count(*) AS n, count(*) FILTER (learning) AS learning, count(*) FILTER (lemma <> w) AS inflected FROM kept WHERE learning OR rank > 6 GROUP BY doc_id")
+
+
+def annotated(s: SparkSession, d: str) -> DataFrame:
+    """Words to annotate of each document, counted."""
+    tok = staged_tokens(s, d)
+    out = V.annotate(tok, small_dictionary(s, d, tok), 6, marks(s, d, MASTERED, tok), marks(s, d, LEARNING, tok), "doc_id", "pos")
+    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("learning").alias("learning"), F.count_if(F.col("surface") != "").alias("inflected"))
+
+
+q("jn02_annotate", annotated, f"WITH {DIC}, {ANN} SELECT doc_id, count(*) AS n, count(*) FILTER (learning) AS learning, count(*) FILTER (lemma <> w) AS inflected FROM kept WHERE learning OR rank > 6 GROUP BY doc_id")
 q("jn05_word_info", lambda s, d: V.word_info(words_of(s, d).filter("lang = 'en'").select("word", (F.col("doc_id") * 100_000 + F.col("pos")).alias("pos")), small_dictionary(s, d)).withColumn("rank", F.col("rank").cast("long")), f"WITH {DIC}, o AS (SELECT {D.low('word')} AS w, min(doc_id * 100000 + pos) AS pos FROM tok WHERE lang = 'en' GROUP BY 1) SELECT pos, entry AS word, CAST(rank AS BIGINT) AS rank FROM o JOIN found ON found.word = w")
 q("chk25_lookup_tokens", lambda s, d: words_of(s, d).withColumn("w", X.ascii_lower(F.col("word"))).filter(F.length("w") >= 3).groupBy("doc_id", "w").agg(F.min("pos").alias("pos")).withColumn("learning", F.length("w") % 11 == 0).withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY NOT learning, pos)")).filter("learning OR place <= 200").select("doc_id", "w", "learning"), f"WITH {DICT_SQL}, a AS (SELECT doc_id, {D.low('word')} AS w, min(pos) AS pos FROM tok WHERE length(word) >= 3 GROUP BY 1, 2), b AS (SELECT *, length(w) % 11 = 0 AS learning, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) % 11 <> 0, pos) AS place FROM a) SELECT doc_id, w, learning FROM b WHERE learning OR place <= 200")
 _vw = ["run", "well-known", "it's", "a b", "", "3d", "x" * 33, " pad ", "'tis", "été"]
