@@ -169,7 +169,7 @@ class Network:
     def learn(self, texts: list[bytes], labels: np.ndarray, passes: int = PASSES, seed: int = 11, rate: float = 0.01) -> Network:
         labels = labels.astype(np.float32)
         good = float(labels.mean()) if len(labels) else 0.5
-        if not 0 < good < 1:
+        if not len(labels) or not 0 < good < 1:
             self.prior = good
             return self
         r = np.random.default_rng(seed)

@@ -62,3 +62,27 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert all(out[100 + i].text == "copied one\ncopied two" for i in range(12)) and out[200].text == ""
     assert {r.doc_id for r in P.near_dedup(spark, P.line_dedup(spark, docs, SF), SF).collect()} >= set(range(12)) | {100}
     assert P.line_dedup(spark, docs.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("stage", range(len(P.STAGES)))
+def test_stages_take_odd_tables(spark, stage):
+    """Nulls in every column, empty and very long texts, repeated rows, further columns whose names the
+    operators use themselves, and no rows."""
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(1, "some words of a text", "en", "a", 20), (1, "some words of a text", "en", "a", 20), (2, None, None, None, None), (None, "", "de", None, 0), (3, "", "en", "a", 0), (4, long, "en", "b", len(long)), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("row", "chunk", "part", "score", "size", "copies", "near", "node", "segment", "label", "key"):
+        docs = docs.withColumn(name, F.lit(name))
+    name, f = P.STAGES[stage]
+    out = f(spark, docs, SF)
+    got = out.collect()
+    if stage < len(P.STAGES) - 1:
+        assert out.columns == docs.columns
+        assert all(r.row == "row" and r.score == "score" and r.near == "near" for r in got)
+    ids = [r.doc_id for r in got]
+    assert set(ids) <= {1, 2, 3, 4, None}
+    if name == "MinHash near-dedup":
+        assert sorted(ids, key=str) == [1, 2, 4] or len(ids) == 3  # one of the equal texts, of the empty ones, the long one
+    if name in ("line dedup", "benchmark decontamination"):
+        assert len(got) == len(rows)
+    assert f(spark, docs.limit(0), SF).count() == 0
