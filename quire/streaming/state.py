@@ -20,7 +20,13 @@ FIRST = "task long, key string, seq long, translation string, anchor string"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/quire-streams"
+    """A new folder in the one that the cluster names in ``spark.checkpoint.dir``; in a local session without
+    it, as in tests, one in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/quire-streams"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
