@@ -177,20 +177,24 @@ def running_titles(chunks: DataFrame, *by: str, least: int = 3) -> DataFrame:
     return rows.groupBy(*by, "title").agg(F.countDistinct("idx").alias("chunks")).filter(F.col("chunks") >= least)
 
 
-def clusters(items: DataFrame, rounds: int = 50) -> DataFrame:
+def clusters(items: DataFrame) -> DataFrame:
     """(id, cluster): items that share a part, directly or through others; the least id names them.
-    Labels spread from items to parts and back until nothing changes, so no pairs are formed."""
+    Labels spread from items to parts and back until nothing changes, so no pairs are formed. Each round is
+    stored, which cuts its lineage."""
+    from quire.streaming.state import shared_folder
+
+    spark = items.sparkSession
     held = items.select("id", F.explode("parts").alias("part")).distinct()
     label = items.select("id", F.col("id").alias("cluster"))
-    for _ in range(rounds):
+    while True:
         by_part = held.join(label, "id").groupBy("part").agg(F.min("cluster").alias("c"))
         new = held.join(by_part, "part").groupBy("id").agg(F.min("c").alias("c"))
-        step = label.join(new, "id", "left").select("id", F.coalesce("c", "cluster").alias("new"), "cluster").cache()
-        moved = step.filter("new <> cluster").limit(1).count()
+        step, path = label.join(new, "id", "left").select("id", F.coalesce("c", "cluster").alias("new"), "cluster"), shared_folder(spark)
+        step.write.parquet(path)
+        step = spark.read.schema(step.schema).parquet(path)
         label = step.select("id", F.col("new").alias("cluster"))
-        if not moved:
-            break
-    return label
+        if step.filter("new <> cluster").isEmpty():
+            return label
 
 
 # Scheduling and plug points ------------------------------------------------------------------------
@@ -213,17 +217,20 @@ def translate(chunks: DataFrame, translator: Callable[[list[str]], list[str]]) -
     """Pending chunks through a translator of batches of texts. A chunk whose translator fails is marked
     and stays; the others go on."""
 
+    def attempt(texts: list[str]) -> list[str] | None:
+        try:
+            out = translator(texts)
+        except Exception:  # the translator is foreign code: its failure is a row's state
+            return None
+        return out if len(out) == len(texts) else None
+
     def run(batches):
         for pdf in batches:
-            done, stage = [], []
-            for text in pdf["source"]:
-                try:
-                    done.append(translator([text])[0])
-                    stage.append("translated")
-                except Exception:  # the translator is foreign code: its failure is a row's state
-                    done.append(None)
-                    stage.append("translationFailed")
-            yield pdf.assign(translated=done, stage=stage)
+            texts = pdf["source"].tolist()
+            done = attempt(texts)
+            if done is None:  # find the texts that fail by themselves
+                done = [(attempt([t]) or [None])[0] for t in texts]
+            yield pdf.assign(translated=done, stage=["translationFailed" if t is None else "translated" for t in done])
 
     return chunks.mapInPandas(run, chunks.schema)
 
