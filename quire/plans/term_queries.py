@@ -112,7 +112,7 @@ q("set17_unique", lambda s, d: table(s, d, "documents").select("doc_id", F.array
 q("agg03_glossary", lambda s, d: G.merged(terms(s, d).select("task", "source", "translation", F.lit("term").alias("category"), F.lit("dynamic").alias("origin"), "confidence", F.col("chunk").alias("first_chunk"), F.col("chunk").alias("matched"), F.concat(F.lit("H"), "chunk").alias("heading")).withColumnRenamed("confidence", "occurrences"), "task").withColumn("headings", F.array_join("headings", ",")), f"WITH {TERMS_SQL} SELECT task, {D.low("regexp_replace(source, '[^A-Za-z0-9]', '', 'g')")} AS key, translation, 'term' AS category, 'dynamic' AS origin, max(confidence) AS occurrences, min(chunk) AS first_chunk, max(chunk) AS matched, array_to_string(list_sort(list(DISTINCT 'H' || chunk)), ',') AS headings FROM terms GROUP BY ALL")
 q("agg05_grouped_hits", lambda s, d: terms(s, d).groupBy("chunk", "source").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("task").alias("matched")).withColumn("place", F.expr("row_number() OVER (PARTITION BY chunk ORDER BY hits DESC, matched DESC, source)").cast("long")), f"WITH {TERMS_SQL} SELECT chunk, source, count(*) AS hits, count(DISTINCT task) AS matched, row_number() OVER (PARTITION BY chunk ORDER BY count(*) DESC, count(DISTINCT task) DESC, source) AS place FROM terms GROUP BY chunk, source")
 q("agg06_final_order", lambda s, d: terms(s, d).groupBy("source", "translation").agg(F.countDistinct("task").alias("matched"), F.count(F.lit(1)).alias("n"), F.min("chunk").alias("first")).withColumn("same", F.expr("lag(source) OVER (ORDER BY matched DESC, n DESC, first, source, translation) = source")).filter(~F.coalesce("same", F.lit(False))).drop("same"), f"WITH {TERMS_SQL}, g AS (SELECT source, translation, count(DISTINCT task) AS matched, count(*) AS n, min(chunk) AS first FROM terms GROUP BY 1, 2) SELECT * EXCLUDE same FROM (SELECT *, lag(source) OVER (ORDER BY matched DESC, n DESC, first, source, translation) = source AS same FROM g) WHERE NOT coalesce(same, false)")
-q("srt06_hint_order", lambda s, d: G.hint_order(hints(s, d)).limit(100).select("id", "source", "occurrences"), f"WITH {HINTS_SQL} SELECT id, source, occurrences FROM hints ORDER BY target IS NOT NULL DESC, occurrences DESC, first_chunk, source, id LIMIT 100")
+q("srt06_hint_order", lambda s, d: G.hint_order(hints(s, d)).select("id", "source", "occurrences"), f"WITH {HINTS_SQL} SELECT id, source, occurrences FROM hints ORDER BY target IS NOT NULL DESC, occurrences DESC, first_chunk, source, id")
 q("srt06_hint_places", lambda s, d: G.hint_places(hints(s, d)).select("id", "source", "occurrences", "place"), f"WITH {HINTS_SQL} SELECT id, source, occurrences, row_number() OVER (ORDER BY target IS NOT NULL DESC, occurrences DESC, first_chunk, source, id) AS place FROM hints")
 q("srt08_cast_block", lambda s, d: G.cast_block(hints(s, d), 40, "task").select("task", "id", "source"), f"WITH {HINTS_SQL} SELECT task, id, source FROM hints WHERE enforcement = 'strict' AND target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task ORDER BY first_chunk, source, id) <= 40")
 q("srt09_selection", lambda s, d: G.selection_order(hints(s, d), "task").select("task", "id", "place"), f"WITH {HINTS_SQL} SELECT task, id, row_number() OVER (PARTITION BY task ORDER BY CASE WHEN enforcement = 'strict' AND target IS NOT NULL THEN 0 ELSE 1 END, first_chunk, source, id) AS place FROM hints")

@@ -130,7 +130,7 @@ typed("txt28_accepts_persons", X.accepts_persons, f"{_policy} = 'Narrative' OR {
 one("txt29_heading_key", X.heading_key, f"lower({D.collapse('t')})")
 _num = f"regexp_replace(lower({D.collapse('t')}), '^[0-9.)(\\-:\\s]+', '')"
 one("txt30_numberless_key", X.numberless_key, f"CASE WHEN {_num} = '' THEN lower({D.collapse('t')}) ELSE {_num} END")
-_han = ["十", "二十一", "一百零五", "三千二百", "两千", "九九", "〇", "一二三", "百", "四十x", "", "千零一", "第十"]
+HAN_NUMERALS = ["十", "二十一", "一百零五", "三千二百", "两千", "九九", "〇", "一二三", "百", "四十x", "", "千零一", "第十"]
 
 
 def literal(name: str, rows: list, kind: str, f: Callable[[Column], Column], sql: str | None) -> None:
@@ -144,8 +144,9 @@ def literal(name: str, rows: list, kind: str, f: Callable[[Column], Column], sql
     query(name, None if sql is None else f"SELECT t, {sql} AS out FROM {values_sql([(r,) for r in rows], 't')}")(run)
 
 
-literal("txt31_chinese_value", _han, "string", X.chinese_value, None)
-literal("txt32_chinese_numeral_long", [0, 1, 10, 11, 19, 20, 101, 110, 111, 999, 1000, 1001, 1010, 1100, 2345, 9999, 10000], "long", X.chinese_numeral_long, None)
+literal("txt31_chinese_value", HAN_NUMERALS, "string", X.chinese_value, None)
+LONG_NUMERALS = [0, 1, 10, 11, 19, 20, 101, 110, 111, 999, 1000, 1001, 1010, 1100, 2345, 9999, 10000]
+literal("txt32_chinese_numeral_long", LONG_NUMERALS, "long", X.chinese_numeral_long, None)
 _d = lambda e: f"substr('{X.HAN_DIGITS}', CAST({e} AS BIGINT) + 1, 1)"
 literal("txt33_chinese_numeral", list(range(0, 120, 3)), "long", X.chinese_numeral, f"CASE WHEN t < 10 THEN {_d('t')} WHEN t = 10 THEN '十' WHEN t < 20 THEN '十' || {_d('t % 10')} WHEN t < 100 THEN {_d('t // 10')} || '十' || CASE WHEN t % 10 = 0 THEN '' ELSE {_d('t % 10')} END ELSE CAST(t AS VARCHAR) END")
 _words = f"list_position({[*X.NUMBER_WORDS]}, {D.low('t')})"
@@ -241,12 +242,12 @@ _nk = D.low(D.collapse("t"))
 one("txt86_semantic_heading", X.semantic_heading, f"CASE WHEN {_nk} IN ('abstract', '摘要', '摘 要') THEN 'abstract' WHEN {_nk} IN ('keywords', '关键字', '关键词') THEN 'keywords' WHEN {_nk} IN ('references', '参考文献') THEN 'references' WHEN {_nk} IN ('acknowledgments', 'acknowledgements', '致谢') THEN 'acknowledgments' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_nk}, '^(?:abstract )+', ''), '^(?:keywords )+', ''), '^(?:acknowledgments )+', ''), '^(?:acknowledgements )+', ''), '^(?:references )+', '') END")
 _ds = f"replace({D.low(D.trim('t'))}, ' ', '')"
 one("txt87_docx_level", long(X.docx_heading_level), f"coalesce(TRY_CAST(nullif(regexp_extract({_ds}, '^heading([1-6])(?:char)?$', 1), '') AS BIGINT), TRY_CAST(nullif(regexp_extract({_ds}, '^标题([1-6])$', 1), '') AS BIGINT), CASE WHEN {_ds} IN ('title', '标题') THEN 1 WHEN {_ds} IN ('subtitle', '副标题') THEN 2 END)")
-_tags = [("nav", 'epub:type="toc"'), ("nav", 'class="menu"'), ("footer", ""), ("div", 'class="sharedaddy x"'), ("div", "id='post-nav'"), ("p", "hidden"), ("p", 'class="text"'), ("div", 'style="display:none"')]
+TAGS = [("nav", 'epub:type="toc"'), ("nav", 'class="menu"'), ("footer", ""), ("div", 'class="sharedaddy x"'), ("div", "id='post-nav'"), ("p", "hidden"), ("p", 'class="text"'), ("div", 'style="display:none"')]
 
 
 @query("txt90_boilerplate")
 def txt90(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_tags, "name string, attrs string").withColumn("boilerplate", X.is_boilerplate(F.col("name"), F.col("attrs")))
+    return spark.createDataFrame(TAGS, "name string, attrs string").withColumn("boilerplate", X.is_boilerplate(F.col("name"), F.col("attrs")))
 
 
 @query("txt80_epub_path", "SELECT page_id, regexp_replace(regexp_replace('OEBPS/text/' || split_part('../img/' || page_id || '.png#x', '#', 1), '[^/]+/\\.\\./', ''), '//+', '/', 'g') AS path FROM pages")

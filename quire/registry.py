@@ -24,6 +24,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle(name: str, sql: str) -> None:
+    """SQL for a query that is registered without any."""
+    if name not in _QUERIES or name in _SQL:
+        raise KeyError(name)
+    _SQL[name] = sql
+
+
 def queries() -> dict[str, Query]:
     _load()
     return _QUERIES
@@ -43,5 +50,5 @@ def _load() -> None:
     """Modules that register queries, in the order in which they are listed."""
     import importlib
 
-    for name in ("term_queries", "text_queries", "metric_queries", "custom_queries", "book_queries"):
+    for name in ("term_queries", "text_queries", "metric_queries", "custom_queries", "book_queries", "oracles"):
         importlib.import_module(f"quire.plans.{name}")
