@@ -62,7 +62,21 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - rows.bit_count()
 
 
+#: Characters up to which a plain loop is faster.
+LOOP = 40
+
+
 def distance(a: str, b: str) -> int:
+    """The edit distance, row by row of the table; a row of a long text is a few array operations."""
+    if len(b) > LOOP:
+        import numpy as np
+
+        other, place = np.array([ord(y) for y in b]), np.arange(len(b) + 1)
+        row = place
+        for i, x in enumerate(a, 1):
+            new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (other != ord(x)))])
+            row = np.minimum.accumulate(new - place) + place  # insertions
+        return int(row[-1])
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         above, row[0] = row[0], i

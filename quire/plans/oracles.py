@@ -539,3 +539,50 @@ oracle(
         FROM f JOIN r USING (book, word) WHERE r.k = f.k + 1)
     SELECT book, word, reviews, repetitions, round(CAST(interval AS DOUBLE), 2) AS interval, round(CAST(ease AS DOUBLE), 3) AS ease FROM f WHERE k = reviews""",
 )
+
+# --- pages, whose elements of one name are not nested in each other -----------------------------------
+_strip = lambda x: f"regexp_replace({x}, '(?s)<[^>]*>?|>', '', 'g')"
+_tags_of = lambda names: "(?is)" + "|".join(rf"<{n}\b[^>]*>.*?</{n}>" for n in names)
+
+
+def cleaned(x: str) -> str:
+    for name in ("style", "script", "nav", "footer"):
+        x = rf"regexp_replace({x}, '(?is)<{name}\b[^>]*>.*?(?:</{name}\b[^>]*>|$)', '', 'g')"
+    return x
+
+
+def plain(x: str) -> str:
+    """The text of a piece of HTML, on one line."""
+    x = _strip(x)
+    for entity, sign in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{sign}')"
+    return D.collapse(x)
+
+
+_name = lambda x: rf"lower(regexp_extract({x}, '^<([A-Za-z0-9]+)', 1))"
+_pieces = [f"h{k}" for k in range(1, 7)]
+oracle("txt14_boilerplate", f"SELECT page_id, {cleaned('html')} AS out FROM pages")
+oracle(
+    "txt09_densest_block",
+    f"""WITH e AS (SELECT page_id, regexp_extract_all(html, '{_tags_of(('div', 'section'))}') AS l FROM pages),
+    m AS (SELECT page_id, l, list_transform(l, lambda x: length({_strip('x')})) AS sizes FROM e)
+    SELECT page_id, CASE WHEN list_max(sizes) >= 400 THEN l[list_position(sizes, list_max(sizes))] END AS out FROM m""",
+)
+_line = f"""CASE WHEN regexp_matches({_name('x')}, '^h[1-6]$') THEN repeat('#', CAST(substr({_name('x')}, 2) AS BIGINT)) || ' '
+    WHEN {_name('x')} = 'li' THEN '- ' WHEN {_name('x')} = 'blockquote' THEN '> ' ELSE '' END || {plain('x')}"""
+oracle(
+    "src22_page_markdown",
+    rf"""WITH c AS (SELECT page_id, {cleaned('html')} AS page FROM pages),
+    b AS (SELECT page_id, coalesce(nullif(regexp_extract(page, '(?is)<article\b[^>]*>.*?</article>'), ''), nullif(regexp_extract(page, '(?is)<main\b[^>]*>.*?</main>'), ''), page) AS body FROM c),
+    l AS (SELECT page_id, body, list_filter(regexp_extract_all(body, '{_tags_of((*_pieces, 'p', 'li', 'blockquote', 'pre', 'td', 'th'))}'), lambda x: {plain('x')} <> '') AS l FROM b)
+    SELECT page_id, CASE WHEN len(l) = 0 THEN {plain('body')} ELSE array_to_string(list_transform(l, lambda x: {_line}), {BREAK}) END AS out FROM l""",
+)
+_kinds = {"p": "paragraph", "li": "listItem", "blockquote": "blockquote", "pre": "code", "figcaption": "caption", "caption": "caption", "td": "tableCell", "th": "tableCell", "dt": "definition", "dd": "definition", "figure": "image"}
+_kind_of = " ".join(f"WHEN {_name('x')} = '{name}' THEN '{kind}'" for name, kind in _kinds.items())
+oracle(
+    "chk22_html_blocks",
+    f"""WITH l AS (SELECT page_id, html, list_filter(regexp_extract_all(html, '{_tags_of((*_pieces, *_kinds))}'), lambda x: {plain('x')} <> '' OR contains(lower(x), '<img')) AS l FROM pages),
+    k AS (SELECT page_id, unnest(CASE WHEN len(l) > 0 THEN list_transform(l, lambda x: CASE WHEN regexp_matches({_name('x')}, '^h[1-6]$') THEN 'heading' WHEN {plain('x')} = '' THEN 'image' {_kind_of} END)
+        WHEN {plain('html')} <> '' THEN ['chapterText'] ELSE [] END) AS kind FROM l)
+    SELECT kind, count(*) AS n FROM k GROUP BY kind""",
+)

@@ -41,14 +41,5 @@ def test_query_equals_sql(spark, con, name):
     assert sorted("|".join(plain(r[c]) for c in sorted(cols)) for r in df.collect()) == want
 
 
-NO_SQL = sorted(set(registry.queries()) - set(registry.oracle_sql()))
-
-
-@pytest.mark.parametrize("name", NO_SQL)
-def test_query_without_sql_runs(spark, name):
-    df = registry.queries()[name](spark, SF)
-    assert df.columns and df.count() >= 0
-
-
 def test_flagship(spark):
     assert registry.flagship(spark, SF).count() > 0
