@@ -636,6 +636,34 @@ def structured_text(c: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def replace_terms(text: Column, terms: list[dict]) -> Column:
+    """Terms (source, target) replaced at boundaries of Latin identifiers, longer sources first."""
+    for t in sorted(terms, key=lambda t: -len(t["source"])):
+        text = replace_term(text, F.lit(t["source"]), F.lit(t["target"]))
+    return text
+
+
+def replace_aliases(text: Column, terms: list[dict]) -> Column:
+    """Other renderings (source) replaced by the canonical one (target), longer ones first."""
+    for t in sorted(terms, key=lambda t: -len(t["source"].strip())):
+        alias, target = t["source"].strip(), t["target"]
+        if alias and alias not in target and target not in alias:
+            text = F.replace(text, F.lit(alias), F.lit(target))
+    return text
+
+
+def protected_metadata(c: Column) -> Column:
+    """A short chunk of addresses or correspondence of an academic text."""
+    signs = any_of(F.lower(c), ["@", "department of ", "university of ", "corresponding author"])
+    return (trim_ws(c) != "") & signs & (F.length(c) < 400)
+
+
+def chapter_title(ncx: Column, nav: Column, heading: Column, head: Column, order: Column) -> Column:
+    """(title, source): the first title there is, and where it comes from."""
+    named = [(ncx, "EpubNcx"), (nav, "EpubNav"), (heading, "EpubHtmlTitle"), (head, "EpubHtmlTitle"), (F.concat(F.lit("Chapter "), (order + 1).cast("string")), "EpubSpineFallback")]
+    return F.coalesce(*[F.when(title.isNotNull(), F.struct(title.alias("title"), F.lit(source).alias("source"))) for title, source in named])
+
+
 def replace_once(text: Column, old: Column, new: Column) -> Column:
     """The first occurrence replaced; null if there is none."""
     at = F.position(old, text)

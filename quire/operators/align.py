@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import fuzzy
 from quire.functions.segments import blocks, capital_phrases, distinctive_tokens, heading_paths, pack_lines, reference_start
-from quire.functions.text import ascii_lower, block_kind, canonical_phrase, is_noise_phrase, keep_proper_noun, lint_style_rule, plain_text, similarity, term_key, trim_ws
+from quire.functions.text import ascii_lower, block_kind, canonical_phrase, is_noise_phrase, keep_proper_noun, lint_style_rule, plain_text, replace_terms, similarity, term_key, trim_ws
 
 
 # Chunking ------------------------------------------------------------------------------------------
@@ -237,8 +237,7 @@ def translate(chunks: DataFrame, translator: Callable[[list[str]], list[str]]) -
 
 def patched(chunks: DataFrame, terms: list[dict]) -> DataFrame:
     """Terms that came late put into finished translations; ``patched`` tells where that changed any."""
-    fix = fuzzy.column(lambda t: fuzzy.replace_terms(t, terms), "string")
-    rows = chunks.withColumn("new", fix(F.col("translated")))
+    rows = chunks.withColumn("new", replace_terms(F.col("translated"), terms))
     return rows.withColumn("patched", F.col("new") != F.col("translated")).withColumn("translated", F.col("new")).drop("new")
 
 

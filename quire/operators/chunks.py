@@ -10,6 +10,8 @@ from quire.functions.text import CJK, ascii_lower, collapse, count_sub, is_back_
 
 # Stages in order.
 STAGES = ["pending", "translated", "termConsistencyApplied", "residualReviewed", "translationFailed", "mergeReady", "protectedPassthrough"]
+# Stages of a run that are one phase of a task.
+TRANSLATING = ["Translating", "TermConsistency", "ResidualReview"]
 # What a finished task's manifest holds.
 REQUIRED_ARTIFACTS = ["sourceMarkdown", "translatedMarkdown", "translatedHtml", "checkpoint", "eventLog", "validationReport", "glossary", "metrics"]
 
@@ -144,6 +146,29 @@ def sources_match(chunks: DataFrame, new: DataFrame, *task: str) -> DataFrame:
 # Quality rules -------------------------------------------------------------------------------------
 
 
+def resume_gate(saved: DataFrame, now: DataFrame, matching: DataFrame, *task: str) -> DataFrame:
+    """(*task, gate): whether a checkpoint can go on. saved, now: (*task, source_hash, chunk_size, prompt_hash);
+    matching: (*task, match), see ``sources_match``. Chunk size and prompt must be the same and the prompt's hash
+    not blank; then the same source will do, or translated chunks whose sources are unchanged; else null."""
+    then = saved.select(*task, *[F.col(c).alias(f"old_{c}") for c in ("source_hash", "chunk_size", "prompt_hash")])
+    rows = then.join(now, list(task)).join(matching, list(task), "left")
+    usable = (F.col("old_chunk_size") == F.col("chunk_size")) & (F.col("old_prompt_hash") == F.col("prompt_hash")) & (trim_ws(F.col("prompt_hash")) != "")
+    gate = F.when(usable & (F.col("old_source_hash") == F.col("source_hash")), "ExactSourceHash").when(usable & F.col("match"), "MatchingTranslatedSources")
+    return rows.select(*task, gate.alias("gate"))
+
+
+def running_state(updates: DataFrame, *task: str) -> DataFrame:
+    """(*task, status, phase, progress, message): a running task after its last update (seq, stage, progress, message)."""
+    last = updates.groupBy(*task).agg(F.max_by(F.struct("stage", "progress", "message"), "seq").alias("u"))
+    phase = F.when(F.col("u.stage").isin(TRANSLATING), "Translating").otherwise(F.col("u.stage"))
+    return last.select(*task, F.lit("Processing").alias("status"), phase.alias("phase"), F.least(F.col("u.progress"), F.lit(100)).alias("progress"), F.col("u.message").alias("message"))
+
+
+def table_snapshot_missing(translated: Column) -> Column:
+    """The mark of a table whose picture could not be made still stands in the translation."""
+    return F.regexp_like(translated, F.lit("<!--[^>]*pdf-table:image-missing"))
+
+
 def quote_imbalance(target: Column) -> Column:
     return count_sub(target, "“") != count_sub(target, "”")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import ascii_lower, mentions, quoted, term_key, trim_ws
+from quire.functions.text import ascii_lower, collapse, mentions, quoted, term_key, trim_ws
 
 ENTRIES, CAST = 2_000, 40
 
@@ -128,6 +128,51 @@ def whole_counts(terms: DataFrame, chunks: DataFrame, *by: str) -> DataFrame:
     return sums.filter("in_source > 0 AND in_target = 0")
 
 
+def proper_noun_issues(hints: DataFrame, chunks: DataFrame, *by: str) -> DataFrame:
+    """(*by, idx, code, term): names of a chunk that its translation leaves as they are, or, where strict, without
+    their target. hints: (*by, term, target, strict)."""
+    rows = mentioned(hints, chunks, *by).join(hints, [*by, "term"]).join(chunks.filter("translated IS NOT NULL").select(*by, "idx", "translated"), [*by, "idx"])
+    left = F.when(F.contains("translated", F.col("term")), "UNRESOLVED_PROPER_NOUN")
+    gone = F.when(F.col("strict") & ~F.contains("translated", F.col("target")), "MISSING_CANONICAL_PROPER_NOUN_TRANSLATION")
+    codes = F.filter(F.array(left, gone), lambda c: c.isNotNull())
+    return rows.filter("target IS NOT NULL").select(*by, "idx", "term", F.explode(codes).alias("code"))
+
+
+def synthesized(hits: DataFrame, chunks: DataFrame, confirmed: DataFrame, *by: str) -> DataFrame:
+    """(*by, idx, source, target, confidence): strict hits (*by, idx, ord, source, target) whose target stands in the
+    translation and that no confirmed term (*by, idx, source, translation) has by source or target, nor an
+    earlier one of them. A chunk's hits are few, so they are one array."""
+    key = lambda c: ascii_lower(collapse(c))
+    here = hits.join(chunks.filter("translated IS NOT NULL").select(*by, "idx", "translated"), [*by, "idx"]).filter(F.contains("translated", F.col("target")))
+    own = here.groupBy(*by, "idx").agg(F.array_sort(F.collect_list(F.struct("ord", "source", "target"))).alias("hits"))
+    known = confirmed.groupBy(*by, "idx").agg(F.collect_set(key(F.col("source"))).alias("sources"), F.collect_set(trim_ws(F.col("translation"))).alias("targets"))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.coalesce("sources", none).alias("sources"), F.coalesce("targets", none).alias("targets"), F.array().cast("array<struct<source:string,target:string>>").alias("new"))
+
+    def step(a: Column, h: Column) -> Column:
+        seen = F.array_contains(a["sources"], key(h["source"])) | F.array_contains(a["targets"], h["target"])
+        more = F.struct(
+            F.concat(a["sources"], F.array(key(h["source"]))).alias("sources"), F.concat(a["targets"], F.array(trim_ws(h["target"]))).alias("targets"),
+            F.concat(a["new"], F.array(F.struct(h["source"].alias("source"), h["target"].alias("target")))).alias("new"),
+        )
+        return F.when(seen, a).otherwise(more)
+
+    rows = own.join(known, [*by, "idx"], "left").select(*by, "idx", F.explode(F.aggregate("hits", start, step, lambda a: a["new"])).alias("n"))
+    return rows.select(*by, "idx", "n.source", "n.target", F.lit(100).cast("long").alias("confidence"))
+
+
+def sequenced(terms: DataFrame, order: list, *by: str) -> DataFrame:
+    """Adds seq: the number of a term in the order in which waves and their chunks put terms out."""
+    return terms.withColumn("seq", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+
+def frozen_index(terms: DataFrame, chunks: DataFrame, *by: str) -> DataFrame:
+    """(*by, idx, frozen_at, seq, source): for each body chunk the terms it has yet to take up, as of the last
+    sequence number; see ``delta_terms``. chunks: (*by, idx, kind, started, patched)."""
+    last = terms.groupBy(*by).agg(F.max("seq").alias("frozen_at"))
+    return delta_terms(terms, chunks.filter("kind = 'body'"), *by).join(last, list(by)).select(*by, "idx", "frozen_at", "seq", "source")
+
+
 def delta_terms(terms: DataFrame, chunks: DataFrame, *by: str) -> DataFrame:
     """Terms of other chunks that came after a chunk started and after it was last patched.
     terms: (*by, seq, chunk, source); chunks: (*by, idx, started, patched)."""

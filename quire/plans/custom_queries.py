@@ -19,7 +19,7 @@ from quire.sources.tables import table
 from quire.streaming import state as T
 
 from . import duck as D
-from .standins import CHUNKS_SQL, LOG_SQL, PAIRS_SQL, REVIEWS_SQL, SNIPPETS_SQL, TERMS_SQL, chunks, event_log, fixture, pairs, reviews, snippets, terms
+from .standins import CHUNKS_SQL, LOG_SQL, PAIRS_SQL, REVIEWS_SQL, SNIPPETS_SQL, TERMS_SQL, chunks, event_log, pairs, reviews, snippets, terms
 from .text_queries import key_sql
 
 
@@ -39,7 +39,7 @@ page = lambda f: lambda s, d: table(s, d, "pages").select("page_id", Z.column(f,
 q("txt09_densest_block", page(Z.densest_block))
 q("txt14_boilerplate", page(Z.without_boilerplate))
 q("src22_page_markdown", page(Z.page_markdown))
-one("txt24_protected_metadata", lambda t: bool(t.strip()) and ("@" in t or any(x in t.lower() for x in ("department of ", "university of ", "corresponding author"))) and len(t) < 400, "boolean")
+q("txt24_protected_metadata", lambda s, d: snippets(s, d).select("id", F.col("n").cast("long").alias("n"), X.protected_metadata(F.col("t")).alias("out")))
 two("txt35_toc_title", Z.toc_title)
 two("txt36_chapter_heading", lambda a, b: Z.repair_chapter_heading(b), sql="target")
 two("txt43_lcs", Z.lcs_length, "int")
@@ -49,8 +49,8 @@ two("txt51_structural_evidence", lambda a, b: any(Z.structural_evidence(a, w) fo
 one("txt55_mask", Z.mask)
 one("txt56_mask_special", Z.mask_special)
 two("txt59_repeated_title", lambda a, b: Z.without_repeated_title(f"# {a}\n\n{a}\n\n{b}"))
-one("txt61_replace_terms", lambda t: Z.replace_terms(t, [{"source": "the", "target": "DER"}, {"source": "the and", "target": "X"}]))
-one("txt62_replace_aliases", lambda t: Z.replace_aliases(t, [{"source": "on", "target": "AN"}, {"source": "onon", "target": "B"}]))
+q("txt61_replace_terms", lambda s, d: snippets(s, d).select("id", F.col("n").cast("long").alias("n"), X.replace_terms(F.col("t"), [{"source": "the", "target": "DER"}, {"source": "the and", "target": "X"}]).alias("out")))
+q("txt62_replace_aliases", lambda s, d: snippets(s, d).select("id", F.col("n").cast("long").alias("n"), X.replace_aliases(F.col("t"), [{"source": "on", "target": "AN"}, {"source": "onon", "target": "B"}]).alias("out")))
 q("txt65_fnv1a", lambda s, d: table(s, d, "part").select("p_partkey", Z.column(Z.fnv1a64, "string")(F.col("p_name")).alias("hash")))
 one("txt67_json_object", Z.json_object)
 one("txt76_sentence_context", lambda t: Z.sentence_context(t, "the"))
@@ -58,7 +58,6 @@ two("txt78_source_residual", lambda a, b: Z.source_residual(b, a, "目标"))
 two("txt79_alignment_score", lambda a, b: Z.alignment_score("paragraph", a, "paragraph\x1f" + b), "int")
 one("txt81_residual_decision", Z.residual_decision)
 two("txt83_replace_residual", lambda a, b: Z.replace_residual(b, max(a.split(), key=len, default=""), "目标"))
-one("txt89_chapter_title", lambda t: next((x for x in (t.strip(),) if x), "Chapter 1"), sql=f"CASE WHEN {D.trim('t')} = '' THEN 'Chapter 1' ELSE {D.trim('t')} END")
 q("chk15_speech_chunks", lambda s, d: table(s, d, "documents").select("doc_id", F.explode(Z.column(Z.speech_chunks, "array<string>")(F.col("text"))).alias("chunk")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("chunk")).cast("long").alias("largest")))
 q("chk22_html_blocks", lambda s, d: table(s, d, "pages").select("page_id", F.inline(Z.column(Z.html_blocks, "array<struct<ord:int,kind:string,text:string>>")(F.col("html")))).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
 q("chk02_reference_chunks", lambda s, d: A.reference_aware(pairs(s, d).select("task", "idx", F.concat("source", F.lit("\n# References\n"), "target", F.lit("\n# Tail\nend")).alias("t")), "t", 300, "task", "idx").groupBy("task", "idx", "part").agg(F.count(F.lit(1)).alias("n")))
@@ -75,7 +74,6 @@ q("jn18_heading_pairs", lambda s, d: A.heading_sequence(_blocks(s, d, "source"),
 _first = lambda s, d: terms(s, d).filter("confidence >= 85").select("task", "chunk", "source", "translation")
 q("jn22_patch_residuals", lambda s, d: pairs(s, d).select("task", "idx", Z.column(lambda a, b: Z.source_residual(b, max(a.split(), key=len, default=""), "译"), "string")("source", "target").alias("residual")).filter("residual IS NOT NULL"))
 q("jn27_local_cover", lambda s, d: pairs(s, d).select("task", "idx", Z.column(lambda a, b: Z.mentions(a, max(b.split(), key=len, default="")) or Z.mentions(b, max(a.split(), key=len, default="")), "boolean")("source", "target").alias("covered")))
-q("jn13_missing_canonical", lambda s, d: chunks(s, d).filter("translated IS NOT NULL").select("task", "idx", Z.column(lambda a, b: Z.mentions(a, "the") and "der" not in b, "boolean")("source", "translated").alias("missing")), f"WITH {CHUNKS_SQL} SELECT task, idx, regexp_matches(' ' || source || ' ', '[^A-Za-z0-9_-]the[^A-Za-z0-9_-]') AND NOT contains(translated, 'der') AS missing FROM chunks WHERE translated IS NOT NULL")
 q("jn16_confirmed_stats", lambda s, d: terms(s, d).groupBy("task", X.term_key(F.col("source")).alias("key")).agg(F.count(F.lit(1)).alias("occurrences"), F.min("chunk").alias("first_chunk"), F.countDistinct("chunk").alias("matched")), f"WITH {TERMS_SQL} SELECT task, {key_sql('source')} AS key, count(*) AS occurrences, min(chunk) AS first_chunk, count(DISTINCT chunk) AS matched FROM terms GROUP BY ALL")
 q("win02_family_match", lambda s, d: pairs(s, d).select("task", "idx", Z.column(lambda a, b: Z.match_level(a, b) in ("High", "Exact"), "boolean")("source", "target").alias("family")))
 q("win03_first_seen_lock", lambda s, d: A.locked(_first(s, d), "task").select("task", "key", "target"), f"WITH {TERMS_SQL} SELECT task, {key_sql('source')} AS key, translation AS target FROM terms WHERE confidence >= 85 QUALIFY row_number() OVER (PARTITION BY task, {key_sql('source')} ORDER BY chunk, source, translation) = 1")
@@ -139,9 +137,7 @@ _rev = lambda s, d: T.table_stream(s, d, "events").select(F.col("user_id").alias
 q("str16_sm2_stream", lambda s, d: T.latest(T.run_to_table(T.sm2_stream(_rev(s, d)), "update"), "book", "word").select("book", "word", "reviews", F.col("repetitions").cast("long").alias("repetitions")), f"WITH {REVIEWS_SQL}, b AS (SELECT *, max(CASE WHEN quality < 3 THEN seq END) OVER (PARTITION BY book, word) AS bad FROM reviews) SELECT book, word, count(*) AS reviews, count(*) FILTER (bad IS NULL OR seq > bad) AS repetitions FROM b GROUP BY ALL")
 _trm = lambda s, d: T.table_stream(s, d, "lineitem").select((F.col("l_orderkey") % 200).alias("task"), F.concat(F.lit("term"), F.col("l_partkey") % 50).alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("T"), F.col("l_suppkey") % 4).alias("translation"))
 q("win03_first_seen_stream", lambda s, d: T.run_to_table(T.first_seen_stream(_trm(s, d))).groupBy("task", "key").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("n")), "WITH t AS (SELECT l_orderkey % 200 AS task, 'term' || l_partkey % 50 AS key, l_orderkey * 10 + l_linenumber AS seq, 'T' || l_suppkey % 4 AS tr FROM lineitem) SELECT task, key, arg_min(tr, struct_pack(a := seq, b := tr)) AS anchor, count(*) AS n FROM t GROUP BY ALL")
-q("str05_frozen_index", lambda s, d: terms(s, d).groupBy("task").agg(F.max("pos").alias("seq")).join(terms(s, d), "task").filter("pos <= seq - 100").groupBy("task").agg(F.count(F.lit(1)).alias("visible")), f"WITH {TERMS_SQL}, m AS (SELECT task, max(pos) AS seq FROM terms GROUP BY task) SELECT task, count(*) AS visible FROM terms JOIN m USING (task) WHERE pos <= seq - 100 GROUP BY task")
 q("str08_rebuilt_checkpoint", lambda s, d: C.best_candidate(reviews(s, d).select(F.col("book").alias("task"), F.col("quality").alias("translated"), F.lit(True).alias("exact"), F.col("seq").alias("writes"), "ts"), "task").select("task", "translated", "writes"), f"WITH {REVIEWS_SQL} SELECT book AS task, quality AS translated, seq AS writes FROM reviews QUALIFY row_number() OVER (PARTITION BY book ORDER BY quality DESC, seq DESC, ts DESC) = 1")
-q("str09_resume_gate", lambda s, d: chunks(s, d).groupBy("task").agg(F.when(F.col("task") % 3 == 0, "ExactSourceHash").when((F.col("task") % 3 == 1) & (F.count("translated") > 0), "MatchingTranslatedSources").alias("gate")), f"WITH {CHUNKS_SQL} SELECT task, CASE WHEN task % 3 = 0 THEN 'ExactSourceHash' WHEN task % 3 = 1 AND count(translated) > 0 THEN 'MatchingTranslatedSources' END AS gate FROM chunks GROUP BY task")
 q("str02_waves", lambda s, d: A.waves(event_log(s, d), 16, "task").groupBy("task", "wave").agg(F.count(F.lit(1)).alias("n")), f"WITH {LOG_SQL} SELECT task, wave, count(*) AS n FROM (SELECT task, (row_number() OVER (PARTITION BY task ORDER BY seq) - 1) // 16 AS wave FROM log) GROUP BY ALL")
 q("str06_flush_policy", lambda s, d: A.flushes(event_log(s, d), "task").groupBy("task").agg(F.sum("flush").alias("flushes")))
 q("str19_cache_key", lambda s, d: table(s, d, "pages").select("page_id", Z.column(lambda a, b: Z.fnv1a64(a + "\x1f" + b), "string")("url", F.lit("contract-1")).alias("key")))

@@ -14,7 +14,7 @@ from quire.registry import _SQL, query
 from quire.sources.tables import table
 
 from . import duck as D
-from .standins import BOOKS_SQL, CHUNKS_SQL, DICT_SQL, HINTS_SQL, LOG_SQL, NOW, PAIRS_SQL, REVIEWS_SQL, TERMS_SQL, TODAY, books, chunks, dictionary, event_log, hints, pairs, reviews, terms, tokens
+from .standins import BOOKS_SQL, CHUNKS_SQL, DICT_SQL, HINTS_SQL, LOG_SQL, NOW, PAIRS_SQL, REVIEWS_SQL, TERMS_SQL, TODAY, books, chunks, dictionary, event_log, hints, pairs, reviews, terms
 
 
 def q(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:

@@ -104,8 +104,6 @@ q("set04_deck_entries", lambda s, d: G.normalised(_ent(s, d).withColumn("deck",
 q("set05_decks", lambda s, d: G.deck_entries(_ent(s, d).withColumns({"deck_pos": F.col("pos") % 7, "enabled": F.col("pos") % 7 != 2})).select("deck_pos", "source", "translation"), f"WITH {ENT} SELECT pos % 7 AS deck_pos, source, translation FROM ent WHERE pos % 7 <> 2 QUALIFY row_number() OVER (PARTITION BY lower(source) ORDER BY pos % 7, pos) = 1")
 q("srt11_listing", lambda s, d: G.listing(_ent(s, d)).select("source", "occurrences", "pos"), f"WITH {ENT} SELECT source, occurrences, pos FROM ent QUALIFY row_number() OVER (PARTITION BY lower(source) ORDER BY occurrences DESC, pos) = 1")
 q("set10_wave_delta", lambda s, d: G.wave_delta(terms(s, d).filter("confidence >= 85").select("task", "source", "translation", "chunk").withColumnRenamed("translation", "target").distinct(), "task"), f"WITH {TERMS_SQL}, x AS (SELECT DISTINCT task, trim(source) AS source, trim(translation) AS target, chunk FROM terms WHERE confidence >= 85), y AS (SELECT *, lower(lag(source) OVER w) = lower(source) AND lag(target) OVER w = target AS same FROM x WINDOW w AS (PARTITION BY task ORDER BY source, target, chunk)) SELECT task, source, target, chunk, row_number() OVER (PARTITION BY task ORDER BY source, target, chunk) AS seq FROM y WHERE NOT coalesce(same, false)")
-q("win19_wave_sequence", lambda s, d: terms(s, d).groupBy("task", "chunk").agg(F.count(F.lit(1)).alias("n")).withColumn("last_seq", F.expr("sum(n) OVER (PARTITION BY task ORDER BY chunk)")), f"WITH {TERMS_SQL} SELECT task, chunk, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY task ORDER BY chunk) AS BIGINT) AS last_seq FROM terms GROUP BY task, chunk")
-q("set12_missing_strict", lambda s, d: hints(s, d).filter("enforcement = 'strict' AND target IS NOT NULL").join(_ent(s, d).filter("pos % 3 = 0").select(X.ascii_lower(F.col("source")).alias("k")), X.ascii_lower(F.col("source")) == F.col("k"), "left_anti").select("task", "id", "source", "target", F.lit(100).cast("long").alias("confidence")), f"WITH {HINTS_SQL}, {ENT} SELECT task, id, source, target, CAST(100 AS BIGINT) AS confidence FROM hints WHERE enforcement = 'strict' AND target IS NOT NULL AND lower(source) NOT IN (SELECT lower(source) FROM ent WHERE pos % 3 = 0)")
 _tags = [(1, [" a ", "b", "a", "", "x" * 40]), (2, [str(i) for i in range(20)]), (3, [])]
 q("set13_tags", lambda s, d: fixture(s, _tags, "id long, tags array<string>").select("id", F.array_join(L.tags(F.col("tags")), "|").alias("tags")), f"SELECT id, tags FROM {values_sql([(1, 'a|b|' + 'x' * 32), (2, '|'.join(str(i) for i in range(12))), (3, '')], 'id, tags')}")
 q("set17_unique", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")), "|").alias("lines")), None)
@@ -164,7 +162,6 @@ q("str15_reset_failed", lambda s, d: C.reset_failed(chunks(s, d)).groupBy("stage
 q("str20_merge_ready", lambda s, d: C.marked_ready(chunks(s, d)).groupBy("kind", "stage").count().withColumnRenamed("count", "n"), f"WITH {CHUNKS_SQL} SELECT kind, CASE WHEN {_b} AND stage = 'residualReviewed' THEN 'mergeReady' ELSE stage END AS stage, count(*) AS n FROM chunks GROUP BY 1, 2")
 q("str07_flush_interval", lambda s, d: table(s, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") < 3, 1).when(F.col("n_nationkey") < 20, 2).otherwise(4).cast("long").alias("writes")), "SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 1 WHEN n_nationkey < 20 THEN 2 ELSE 4 END AS writes FROM nation")
 q("str11_retry_delay", lambda s, d: table(s, d, "events").select("event_id", F.when(F.col("event_type") == "error", F.greatest(F.coalesce(F.when(F.col("event_id") % 2 == 0, F.col("value")), F.lit(60.0)), F.lit(60.0), (F.col("event_id") % 20 * 5).cast("double"))).otherwise((F.col("event_id") % 20 * 5).cast("double")).alias("seconds")), "SELECT event_id, CASE WHEN event_type = 'error' THEN greatest(coalesce(CASE WHEN event_id % 2 = 0 THEN value END, 60.0), 60.0, CAST(event_id % 20 * 5 AS DOUBLE)) ELSE CAST(event_id % 20 * 5 AS DOUBLE) END AS seconds FROM events")
-q("str14_latest_state", lambda s, d: event_log(s, d).groupBy("task").agg(F.max_by("stage", "seq").alias("stage"), F.max_by("progress", "seq").alias("progress")), f"WITH {LOG_SQL} SELECT task, arg_max(stage, seq) AS stage, arg_max(progress, seq) AS progress FROM log GROUP BY task")
 q("jn24_sources_match", lambda s, d: C.sources_match(chunks(s, d), chunks(s, d).withColumn("source", F.when((F.col("task") % 4 == 0) & (F.col("idx") == 1), "changed").otherwise(F.col("source"))), "task"), f"WITH {CHUNKS_SQL} SELECT task, bool_and(translated IS NULL OR NOT (task % 4 = 0 AND idx = 1)) AND bool_or(translated IS NOT NULL) AS match FROM chunks GROUP BY task")
 
 # --- quality
@@ -179,7 +176,6 @@ q("qa06_review_checks", lambda s, d: C.review_checks(pairs(s, d), "task", "idx")
 q("qa01_residual_terms", lambda s, d: C.residual_terms(pairs(s, d), True, "task", "idx"), f"WITH {PAIRS_SQL}, t AS (SELECT task, idx, list_transform(regexp_extract_all(source, '[A-Za-z]{{2,}}'), lambda w: {D.low('w')}) AS own, unnest(regexp_extract_all(target, '[A-Za-z]{{2,}}')) AS token FROM p) SELECT task, idx, {D.low('token')} AS term, count(*) AS n FROM t WHERE list_contains(own, {D.low('token')}) AND NOT ({D.isin(D.low('token'), X.RESIDUAL_STOPWORDS)} OR regexp_full_match(token, '[A-Z]+') OR regexp_full_match(token, '[A-Z][a-z]+')) GROUP BY ALL")
 q("agg01_validation", lambda s, d: C.validation(chunks(s, d), "task"), f"WITH {CHUNKS_SQL} SELECT task, idx, 'UNTRANSLATED_CHUNK' AS code, 'error' AS level FROM chunks WHERE translated IS NULL UNION ALL SELECT task, idx, 'EMPTY_TRANSLATION', 'error' FROM chunks WHERE kind = 'body' AND trim(translated) = '' AND trim(source) <> '' UNION ALL SELECT task, idx, 'SOURCE_EQUALS_TRANSLATION', 'warning' FROM chunks WHERE kind = 'body' AND translated = source AND trim(source) <> '' UNION ALL SELECT task, idx, 'PDF_TABLE_SNAPSHOT_MISSING', 'error' FROM chunks WHERE kind = 'body' AND contains(translated, 'pdf-table:start') AND NOT contains(translated, 'pdf-table:end')")
 q("agg01_validation_summary", lambda s, d: C.validation(chunks(s, d), "task").groupBy("code", "level").count().withColumnRenamed("count", "n"), f"WITH {CHUNKS_SQL} SELECT * FROM (SELECT 'UNTRANSLATED_CHUNK' AS code, 'error' AS level, count(*) AS n FROM chunks WHERE translated IS NULL UNION ALL SELECT 'SOURCE_EQUALS_TRANSLATION', 'warning', count(*) FROM chunks WHERE kind = 'body' AND translated = source AND trim(source) <> '') WHERE n > 0")
-q("qa08_table_snapshot", lambda s, d: pairs(s, d).select("task", "idx", (F.contains("source", F.lit("|")) & ~F.contains("target", F.lit("|"))).alias("missing")), f"WITH {PAIRS_SQL} SELECT task, idx, contains(source, '|') AND NOT contains(target, '|') AS missing FROM p")
 q("qa09_strict_hits", lambda s, d: G.mentioned(tl(s, d), chunks(s, d), "task").join(chunks(s, d).filter("translated IS NOT NULL"), ["task", "idx"]).select("task", "idx", "term", F.contains("translated", F.col("term")).alias("kept")), f"WITH {CHUNKS_SQL}, t AS (SELECT * FROM {values_sql([(t,) for t in _tl], 'term')}) SELECT task, idx, term, contains(translated, term) AS kept FROM chunks, t WHERE translated IS NOT NULL AND regexp_matches(' ' || source || ' ', '[^A-Za-z0-9_-]' || term || '[^A-Za-z0-9_-]')")
 q("qa10_passthrough", lambda s, d: pairs(s, d).select("task", "idx", (X.near_passthrough(F.col("source"), F.col("target")) & X.english_prose(F.col("target"))).alias("rejected")))
 q("qa11_purged", lambda s, d: C.purged(chunks(s, d)).groupBy("task").agg(F.count("translated").alias("kept")), f"WITH {CHUNKS_SQL} SELECT task, count(translated) AS kept FROM chunks GROUP BY task")

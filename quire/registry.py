@@ -50,5 +50,5 @@ def _load() -> None:
     """Modules that register queries, in the order in which they are listed."""
     import importlib
 
-    for name in ("term_queries", "text_queries", "metric_queries", "custom_queries", "book_queries", "oracles"):
+    for name in ("term_queries", "text_queries", "metric_queries", "custom_queries", "book_queries", "state_queries", "oracles"):
         importlib.import_module(f"quire.plans.{name}")

@@ -270,3 +270,23 @@ def test_match_levels_by_keys():
 
     for a, b, want in [("Ann Lee", "ann-lee", "Exact"), ("Ann", "Ann Lee", "Contains"), ("Kallisto", "Kalliste", "High"), ("Kallister", "Kalloster X", "Low"), ("cat", "dog", "None"), ("", "", "Exact"), ("日本", "日本", "Exact"), ("日本", "中国", "None")]:
         assert match_level(a, b) == match_level(b, a) == want, (a, b)
+
+
+def test_synthesized_terms_see_each_other(spark):
+    from quire.operators import glossary as G
+
+    hits = spark.createDataFrame([(1, 0, 0, "Ann  Lee", "A"), (1, 0, 1, "ann lee", "B"), (1, 0, 2, "Bo", "B"), (1, 0, 3, "Cy", "C"), (1, 0, 4, "Di", "gone"), (1, 1, 0, "Bo", "B")], "task int, idx int, ord int, source string, target string")
+    own = spark.createDataFrame([(1, 0, "A B C"), (1, 1, None)], "task int, idx int, translated string")
+    confirmed = spark.createDataFrame([(1, 0, "x", " C ")], "task int, idx int, source string, translation string")
+    rows = G.synthesized(hits, own, confirmed, "task").collect()
+    assert sorted((r.idx, r.source, r.target, r.confidence) for r in rows) == [(0, "Ann  Lee", "A", 100), (0, "Bo", "B", 100)]
+
+
+def test_resume_needs_the_same_prompt_and_chunk_size(spark):
+    from quire.operators import chunks as C
+
+    kind = "task int, source_hash string, chunk_size int, prompt_hash string"
+    saved = spark.createDataFrame([(1, "a", 9, "p"), (2, "a", 9, "p"), (3, "a", 9, "p"), (4, "a", 8, "p"), (5, "a", 9, " ")], kind)
+    now = spark.createDataFrame([(1, "a", 9, "p"), (2, "b", 9, "p"), (3, "b", 9, "p"), (4, "a", 9, "p"), (5, "a", 9, " ")], kind)
+    matching = spark.createDataFrame([(2, True), (3, False)], "task int, match boolean")
+    assert {r.task: r.gate for r in C.resume_gate(saved, now, matching, "task").collect()} == {1: "ExactSourceHash", 2: "MatchingTranslatedSources", 3: None, 4: None, 5: None}
