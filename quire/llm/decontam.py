@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytestext import ALNUM, covered, groups_of, split_words
-from .exchange import Shelf, boxed, pack, row_texts, tally, unboxed, unpack
+from .exchange import Shelf, boxed, frugal, pack, row_lengths, row_texts, tally, unboxed, unpack
 
 #: Phrases in a block, bytes of text in a segment, places that are worked on at once.
-BLOCK, SEGMENT, STEP = 200_000, 4_000_000, 500_000
+BLOCK, SEGMENT, STEP = 200_000, 2_000_000, 500_000
+#: Of the stored index: row groups of a few segments. Parquet's writer looks at their size after 100 rows else.
+STORED = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 RESULT = "n_words long, n_hit long, items array<string>, hits array<struct<first:int,behind:int>>, near array<string>"
 
 
@@ -204,9 +206,8 @@ def build_index(docs: DataFrame, column: str = "text") -> DataFrame:
         context, number = TaskContext.get(), 0
         task = context.partitionId() if context else 0
         for batch in batches:
-            texts = row_texts(batch, column)
-            for a, b in groups_of([len(x) for x in texts], SEGMENT):
-                words = split_words(texts[a:b], ALNUM, lower=True)
+            for a, b in groups_of(row_lengths(batch, column), SEGMENT):
+                words = split_words(row_texts(batch.slice(a, b - a), column), ALNUM, lower=True)
                 terms, counts, places = Postings.of(words.hashes()).dump()
                 box = batch.column("row").slice(a, b - a)
                 yield pa.RecordBatch.from_pydict({
@@ -217,7 +218,7 @@ def build_index(docs: DataFrame, column: str = "text") -> DataFrame:
 
     box = T.StructType(docs.schema.fields)
     fields = [T.StructField("segment", T.StringType()), T.StructField("rows", T.ArrayType(box))] + [T.StructField(x, T.BinaryType()) for x in ("sizes", "terms", "counts", "places")]
-    return boxed(docs).mapInArrow(build, T.StructType(fields))
+    return boxed(docs).mapInArrow(frugal(build), T.StructType(fields))
 
 
 def frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
@@ -237,7 +238,7 @@ def frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"term": pa.array(np.flatnonzero(n), pa.int64()), "n": pa.array(n[n > 0], pa.int64())})
 
     out = np.zeros(len(terms), dtype=np.int64)
-    for row in index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+    for row in index.select("terms", "counts").mapInArrow(frugal(count), "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         out[row[0]] = row[1]
     return out
 
@@ -306,7 +307,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "text", i
     items (the sorted names of the items with occurring windows), ``hits``: the ranges of hit words (first,
     behind the last), and ``near``: the sorted names of the items with proximity matches."""
     spark, shelf = docs.sparkSession, Shelf(docs.sparkSession)
-    index = shelf.put("index", build_index(docs, column), **{"compression": "zstd", "parquet.block.size": str(32 << 20)})
+    index = shelf.put("index", build_index(docs, column), **STORED)
     schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)), *T.StructType.fromDDL(RESULT).fields])
     new = ("n_words", "n_hit", "items", "hits", "near")
 
@@ -336,7 +337,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "text", i
                         "items": pa.array([[sorted(x) for x in found.items]], pa.list_(pa.list_(pa.string()))), "near": pa.array([[sorted(x) for x in found.near]], pa.list_(pa.list_(pa.string()))),
                     })
 
-        return shared, search, keep
+        return shared, frugal(search), frugal(keep)
 
     blocks = blocks_of(benchmark, item, item_text, window)
     first, kept, more = next(blocks, None), [], None

@@ -67,6 +67,31 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def let_go() -> None:
+    """Gives memory that this process has freed back to the system."""
+    import contextlib
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a system without glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(work):
+    """A function on batches whose worker lets go of its memory when the task is done. Spark keeps workers for
+    later tasks and stages; what they hold on to counts there too, beside an executor that has grown."""
+
+    def run(batches):
+        yield from work(batches)
+        let_go()
+
+    return run
+
+
 def text_size(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows, and bytes of a text column."""
     row = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(column))).first()
@@ -243,6 +268,16 @@ def row_texts(table, column: str) -> list[bytes]:
     return text_bytes(pc.struct_field(row, [row.type.get_field_index(column)]))
 
 
+def row_lengths(table, column: str) -> list[int]:
+    """Bytes of the texts of a table of boxed rows, without making them."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    row = table.column("row")
+    row = row.combine_chunks() if isinstance(row, pa.ChunkedArray) else row
+    return pc.fill_null(pc.binary_length(pc.struct_field(row, [row.type.get_field_index(column)])), 0).to_pylist()
+
+
 def strings(values: list):
     import pyarrow as pa
 

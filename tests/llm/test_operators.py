@@ -383,6 +383,39 @@ def test_forest_recall_on_many_cells():
     assert np.mean(recall) >= 0.9
 
 
+def test_index_is_stored_in_small_row_groups(spark, tmp_path, monkeypatch):
+    """Whoever reads the index holds a few segments at once, not all of a file."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(decontam, "SEGMENT", 1_000_000)
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"{x:x}" for x in r.integers(0, 2**60, 60_000))) for i in range(30)]
+    decontam.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).write.options(**getattr(decontam, "STORED", {"parquet.block.size": str(32 << 20)})).parquet(str(tmp_path / "index"))
+    (file,) = (tmp_path / "index").glob("*.parquet")
+    groups = pq.ParquetFile(file).metadata
+    assert groups.num_rows == 30 and max(groups.row_group(k).num_rows for k in range(groups.num_row_groups)) <= 10
+
+
+def test_workers_let_go_of_memory():
+    """What a task has freed does not stay with its worker (in a process of its own, as a worker is one)."""
+    import subprocess
+    import sys
+
+    code = """
+from quire.llm import exchange
+def now(): return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+def work(batches):
+    for n in batches:
+        texts = [bytes(1000 + i % 50) for i in range(n)]
+        yield texts.pop()
+before = now()
+last = list(exchange.frugal(work)([200_000]))
+print(now() - before)
+"""
+    grown = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 60  # of more than 200 MB
+
+
 def test_archives_round_trip(spark, tmp_path):
     pages = [(1, "http://a/b c", "<p>x</p>\r\n\r\nWARC/1.1 is no header"), (2, "u", "dup"), (3, None, "dup"), (4, "v", None), (5, "v", ""), (6, "é", "日本\n" * 50)]
     d = spark.createDataFrame(pages, "page_id long, url string, html string")
