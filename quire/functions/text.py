@@ -13,6 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CJK = "一-鿿"
 #: White space at which words split.
 WS = r"[\s\u0085   -     　]"
+#: The characters that Unicode classes as spaces.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 # Spelled-out symbols of a term key.
 SYMBOLS = {"+": "plus", "&": "and", "@": "at", "#": "hash", "%": "percent", "=": "equals"}
@@ -84,6 +86,11 @@ def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
+def trim_spaces(c: Column) -> Column:
+    """Without the space characters (not tabs or line ends) at both ends."""
+    return F.btrim(c, F.lit(SPACES))
+
+
 def trim_end(c: Column) -> Column:
     return F.regexp_replace(c, f"{WS}+$", "")
 

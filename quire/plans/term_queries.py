@@ -106,7 +106,7 @@ q("srt11_listing", lambda s, d: G.listing(_ent(s, d)).select("source", "occurren
 q("set10_wave_delta", lambda s, d: G.wave_delta(terms(s, d).filter("confidence >= 85").select("task", "source", "translation", "chunk").withColumnRenamed("translation", "target").distinct(), "task"), f"WITH {TERMS_SQL}, x AS (SELECT DISTINCT task, trim(source) AS source, trim(translation) AS target, chunk FROM terms WHERE confidence >= 85), y AS (SELECT *, lower(lag(source) OVER w) = lower(source) AND lag(target) OVER w = target AS same FROM x WINDOW w AS (PARTITION BY task ORDER BY source, target, chunk)) SELECT task, source, target, chunk, row_number() OVER (PARTITION BY task ORDER BY source, target, chunk) AS seq FROM y WHERE NOT coalesce(same, false)")
 _tags = [(1, [" a ", "b", "a", "", "x" * 40]), (2, [str(i) for i in range(20)]), (3, [])]
 q("set13_tags", lambda s, d: fixture(s, _tags, "id long, tags array<string>").select("id", F.array_join(L.tags(F.col("tags")), "|").alias("tags")), f"SELECT id, tags FROM {values_sql([(1, 'a|b|' + 'x' * 32), (2, '|'.join(str(i) for i in range(12))), (3, '')], 'id, tags')}")
-q("set17_unique", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")), "|").alias("lines")), None)
+q("set17_unique", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: X.trim_spaces(x)), lambda x: x != "")), "|").alias("lines")), None)
 q("agg03_glossary", lambda s, d: G.merged(terms(s, d).select("task", "source", "translation", F.lit("term").alias("category"), F.lit("dynamic").alias("origin"), "confidence", F.col("chunk").alias("first_chunk"), F.col("chunk").alias("matched"), F.concat(F.lit("H"), "chunk").alias("heading")).withColumnRenamed("confidence", "occurrences"), "task").withColumn("headings", F.array_join("headings", ",")), f"WITH {TERMS_SQL} SELECT task, {D.low("regexp_replace(source, '[^A-Za-z0-9]', '', 'g')")} AS key, translation, 'term' AS category, 'dynamic' AS origin, max(confidence) AS occurrences, min(chunk) AS first_chunk, max(chunk) AS matched, array_to_string(list_sort(list(DISTINCT 'H' || chunk)), ',') AS headings FROM terms GROUP BY ALL")
 q("agg05_grouped_hits", lambda s, d: terms(s, d).groupBy("chunk", "source").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("task").alias("matched")).withColumn("place", F.expr("row_number() OVER (PARTITION BY chunk ORDER BY hits DESC, matched DESC, source)").cast("long")), f"WITH {TERMS_SQL} SELECT chunk, source, count(*) AS hits, count(DISTINCT task) AS matched, row_number() OVER (PARTITION BY chunk ORDER BY count(*) DESC, count(DISTINCT task) DESC, source) AS place FROM terms GROUP BY chunk, source")
 q("agg06_final_order", lambda s, d: terms(s, d).groupBy("source", "translation").agg(F.countDistinct("task").alias("matched"), F.count(F.lit(1)).alias("n"), F.min("chunk").alias("first")).withColumn("same", F.expr("lag(source) OVER (ORDER BY matched DESC, n DESC, first, source, translation) = source")).filter(~F.coalesce("same", F.lit(False))).drop("same"), f"WITH {TERMS_SQL}, g AS (SELECT source, translation, count(DISTINCT task) AS matched, count(*) AS n, min(chunk) AS first FROM terms GROUP BY 1, 2) SELECT * EXCLUDE same FROM (SELECT *, lag(source) OVER (ORDER BY matched DESC, n DESC, first, source, translation) = source AS same FROM g) WHERE NOT coalesce(same, false)")
