@@ -3,6 +3,7 @@
 import duckdb
 
 from quire import registry
+from quire.functions import fuzzy as Z
 
 
 def both(spark, folder, name, **tables):
@@ -20,3 +21,12 @@ def test_unique_lines_keep_their_digits(spark, tmp_path):
     texts = ["0 a\n1 b 1\n1 b 1\n22", "  x \nx\n\tx\n x　\n x\r", "", " \n ", "10\n10\n01"]
     got, want = both(spark, tmp_path, "set17_unique", documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert got == want and got[0][1] == "0 a|1 b 1|22"
+
+
+def test_pages_with_broken_references(spark, tmp_path):
+    pages = ["<h1>A &amp; B&amp</h1><p>&amp;lt; &lt;b&gt; &quo &copy &copy; &ampfoo; &#39;s &quot;</p>", "<body>C&amp D&am</body>", "<article><h2>&amp</h2><li>&nbsp</li><td>&nbsp;</td></article>"]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    for name in ("src22_page_markdown", "chk22_html_blocks"):
+        got, want = both(spark, tmp_path / name, name, pages=rows)
+        assert got == want
+    assert Z.unescape("&eacute;&#233;&#xE9;&eacute &nosuch;") == "ééé&eacute &nosuch;"
