@@ -141,7 +141,7 @@ q("str08_rebuilt_checkpoint", lambda s, d: C.best_candidate(reviews(s, d).select
 q("str02_waves", lambda s, d: A.waves(event_log(s, d), 16, "task").groupBy("task", "wave").agg(F.count(F.lit(1)).alias("n")), f"WITH {LOG_SQL} SELECT task, wave, count(*) AS n FROM (SELECT task, (row_number() OVER (PARTITION BY task ORDER BY seq) - 1) // 16 AS wave FROM log) GROUP BY ALL")
 q("str06_flush_policy", lambda s, d: A.flushes(event_log(s, d), "task").groupBy("task").agg(F.sum("flush").alias("flushes")))
 q("str19_cache_key", lambda s, d: table(s, d, "pages").select("page_id", Z.column(lambda a, b: Z.fnv1a64(a + "\x1f" + b), "string")("url", F.lit("contract-1")).alias("key")))
-q("str01_schedule", lambda s, d: A.translate(chunks(s, d).filter("stage = 'pending'"), lambda texts: [t.upper() for t in texts]).select("task", "idx", "translated", "stage"), f"WITH {CHUNKS_SQL} SELECT task, idx, upper(source) AS translated, 'translated' AS stage FROM chunks WHERE stage = 'pending'")
+q("str01_schedule", lambda s, d: A.translate(chunks(s, d).filter("stage = 'pending'"), lambda texts: [Z.upper(t) for t in texts]).select("task", "idx", "translated", "stage"), f"WITH {CHUNKS_SQL} SELECT task, idx, upper(source) AS translated, 'translated' AS stage FROM chunks WHERE stage = 'pending'")
 q("str04_late_patch", lambda s, d: A.patched(chunks(s, d).filter("translated IS NOT NULL"), [{"source": "the", "target": "DER"}]).groupBy("task").agg(F.count_if("patched").alias("patched")))
 q("udf05_ner_hints", lambda s, d: A.ner_hints(table(s, d, "part").select((F.col("p_partkey") % 5).alias("task"), F.to_json(F.struct(F.array(F.struct(F.col("p_name").alias("source"), F.col("p_brand").alias("target"))).alias("terms"))).alias("json")), "json", "task"), "SELECT p_partkey % 5 AS task, p_name AS source, p_brand AS target, count(*) AS n FROM part GROUP BY ALL")
 q("udf06_style_profile", lambda s, d: A.style_rules(table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.to_json(F.struct(F.array("n_name", F.lit("words like x"), F.lit("Keep it plain.")).alias("rules"))).alias("json")), "json").select("id", F.array_join("rules", "|").alias("rules")), "SELECT n_nationkey AS id, n_name || '|Keep it plain.' AS rules FROM nation")

@@ -30,3 +30,11 @@ def test_pages_with_broken_references(spark, tmp_path):
         got, want = both(spark, tmp_path / name, name, pages=rows)
         assert got == want
     assert Z.unescape("&eacute;&#233;&#xE9;&eacute &nosuch;") == "ééé&eacute &nosuch;"
+
+
+def test_capitals_one_for_one(spark, tmp_path):
+    letters = "".join(chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000)
+    assert duckdb.execute("SELECT upper(?)", [letters]).fetchone()[0] == Z.upper(letters)
+    turns = [(7 * k + 1, turn, role, f"{k} straße ﬁn ᾳ ŉ é") for k in range(3) for turn, role in enumerate(["user", "assistant"] * 7)]
+    got, want = both(spark, tmp_path, "str01_schedule", conversations=spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert got == want and any("STRAẞE" in r[2] for r in got)
