@@ -87,7 +87,7 @@ q("agg24_running_titles", lambda s, d: A.running_titles(table(s, d, "documents")
 _pk = lambda s, d: table(s, d, "part").select((F.col("p_partkey") % 3).alias("pack"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("word"), (F.col("p_size") % 10).alias("rank"), F.when(F.col("p_size") % 4 == 0, "").otherwise(F.concat(F.lit("d"), "p_partkey")).alias("definition"))
 q("agg25_merged_packs", lambda s, d: S.merged_packs(_pk(s, d)).select("key", "word", F.col("rank").cast("long").alias("rank"), "definition"), "WITH e AS (SELECT p_partkey % 3 AS pack, p_partkey AS pos, p_name AS word, p_size % 10 AS rank, CASE WHEN p_size % 4 = 0 THEN '' ELSE 'd' || p_partkey END AS definition FROM part), x AS (SELECT *, lower(word) AS key, row_number() OVER w AS place, rank < min(rank) OVER (PARTITION BY lower(word) ORDER BY pack, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lowers FROM e WINDOW w AS (PARTITION BY lower(word) ORDER BY pack, pos)) SELECT key, arg_min(word, place) AS word, CAST(min(rank) AS BIGINT) AS rank, coalesce(arg_max(definition, place) FILTER (lowers AND definition <> ''), arg_min(definition, place)) AS definition FROM x GROUP BY key")
 q("agg04_glossary_merge", lambda s, d: terms(s, d).groupBy("source").agg(F.max("confidence").alias("occurrences"), F.min("chunk").alias("first_chunk"), F.array_join(F.array_sort(F.collect_set("translation")), ",").alias("headings")), f"WITH {TERMS_SQL} SELECT source, max(confidence) AS occurrences, min(chunk) AS first_chunk, array_to_string(list_sort(list(DISTINCT translation)), ',') AS headings FROM terms GROUP BY source")
-q("qa01_masked_residual", lambda s, d: C.residual_terms(pairs(s, d).select("task", "idx", Z.column(Z.mask, "string")("source").alias("source"), Z.column(Z.mask, "string")("target").alias("target")), True, "task", "idx"))
+q("qa01_masked_residual", lambda s, d: C.residual_terms(pairs(s, d).select("task", "idx", Z.column(Z.mask_both, "struct<source:string,target:string>")("source", "target").alias("m")).select("task", "idx", "m.*"), True, "task", "idx"))
 q("qa07_residual_issues", lambda s, d: C.residual_terms(chunks(s, d).filter((F.col("kind") == "body") & ~C.skips_review(F.col("source"))).select("task", "idx", "source", F.col("translated").alias("target")), True, "task", "idx").groupBy("task", "idx").agg(F.count(F.lit(1)).alias("terms")))
 q("qa14_shared_clusters", lambda s, d: A.clusters(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("parts"))).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 
