@@ -42,7 +42,7 @@ q("src05_spine", lambda s, d: B.epub_chapters(epubs(s, d)).groupBy("path").agg(F
 q("src06_ncx_titles", lambda s, d: B.epub_chapters(epubs(s, d)).filter("title_source = 'EpubNcx'").select("path", "title"), f"WITH {CH} SELECT path, title FROM ch WHERE NOT blank")
 q("src07_title_sources", lambda s, d: B.epub_chapters(epubs(s, d)).groupBy("title_source").agg(F.count(F.lit(1)).alias("n")), f"WITH {CH} SELECT 'EpubNcx' AS title_source, count(*) AS n FROM ch WHERE NOT blank")
 q("src08_archive_files", lambda s, d: B.bundle_files(epubs(s, d)).groupBy("path").agg(F.count(F.lit(1)).alias("files")), f"WITH {CH} SELECT path, count(*) + 4 AS files FROM ch GROUP BY path")
-q("src23_sections", lambda s, d: B.epub_chapters(epubs(s, d)).select("path", "title", Z.column(Z.strip_tags, "string")(F.col("html")).alias("text")), f"WITH {CH} SELECT path, title, title || url AS text FROM ch WHERE NOT blank")
+q("src23_sections", lambda s, d: B.epub_chapters(epubs(s, d)).select("path", "title", F.regexp_replace("html", Z.TAG, "").alias("text")), f"WITH {CH} SELECT path, title, title || url AS text FROM ch WHERE NOT blank")
 q("src25_epub_probe", lambda s, d: B.epub_probe(B.epub_blocks(epubs(s, d))).select("path", "chars", "paragraphs"), f"WITH {CH} SELECT path, CAST(sum(length(title) + length(trim(url))) AS BIGINT) AS chars, count(*) AS paragraphs FROM ch WHERE NOT blank GROUP BY path")
 q("src26_one_chapter", lambda s, d: B.epub_chapters(epubs(s, d)).filter("title = 'T7'").select("path", "title"), f"WITH {CH} SELECT path, title FROM ch WHERE title = 'T7' AND NOT blank")
 q("src27_bundle", lambda s, d: B.bundle_files(epubs(s, d)).filter(F.endswith("name", F.lit(".xhtml"))).select("path", "name"), f"WITH {CH} SELECT path, 'OEBPS/c' || (row_number() OVER (PARTITION BY path ORDER BY ord) - 1) || '.xhtml' AS name FROM ch")

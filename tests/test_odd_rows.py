@@ -1,9 +1,11 @@
 """Queries against their SQL on rows that the smallest tables do not hold."""
 
 import duckdb
+import pyarrow as pa
 
 from quire import registry
 from quire.functions import fuzzy as Z
+from quire.sources import books as B
 
 
 def both(spark, folder, name, **tables):
@@ -38,3 +40,25 @@ def test_capitals_one_for_one(spark, tmp_path):
     turns = [(7 * k + 1, turn, role, f"{k} straße ﬁn ᾳ ŉ é") for k in range(3) for turn, role in enumerate(["user", "assistant"] * 7)]
     got, want = both(spark, tmp_path, "str01_schedule", conversations=spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
     assert got == want and any("STRAẞE" in r[2] for r in got)
+
+
+def test_long_texts_are_taken_in_pieces(spark):
+    text = "<p>" + "long " * 2000 + "</p>"
+    rows = [None if i == 7 else f"{i} {text}" for i in range(2000)]
+    seen, blocks = [], pa.list_(pa.struct([("ord", pa.int32()), ("kind", pa.string()), ("text", pa.string())]))
+    sizes = [(len(x), x.nbytes) for x in Z.in_pieces(lambda t: seen.append(t) or Z.html_blocks(t), blocks, iter([(pa.array(rows),), (pa.array([], pa.string()),)]))]
+    assert sum(n for n, _ in sizes) == 2000 and len(seen) == 1999 and len(sizes) > 5 and max(b for _, b in sizes) < Z.SENT + 2 * Z.PIECE
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i long, t string").coalesce(1)
+    got = df.select("i", Z.column(lambda t: t[:6], "string")("t").alias("a"), Z.column(lambda a, b: {"n": len(a), "same": a == b}, "struct<n:int,same:boolean>")("t", "t").alias("b")).collect()
+    assert [(r.i, r.a, r.b and tuple(r.b)) for r in got] == [(i, t and t[:6], t and (len(t), True)) for i, t in enumerate(rows)]
+
+
+def test_files_of_an_archive_leave_in_portions():
+    class Frame:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, read, kind: read
+
+    batch = pa.RecordBatch.from_pylist([{"path": str(i), "content": b"x"} for i in range(5)])
+    rows = lambda path, content: ({"path": path, "name": str(k), "content": bytes(B.SENT // 4)} for k in range(10))
+    sent = [(b.num_rows, b.nbytes) for b in B.of_each(Frame(), "path string, name string, content binary", rows)([batch, batch])]
+    assert sum(n for n, _ in sent) == 100 and max(size for _, size in sent) < 2 * B.SENT
