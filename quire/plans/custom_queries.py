@@ -134,7 +134,7 @@ q("snk14_finalize", lambda s, d: S.finalize({"chunks": chunks(s, d), "log": even
 
 # --- streams
 _rev = lambda s, d: T.table_stream(s, d, "events").select(F.col("user_id").alias("book"), F.concat("event_type", F.get_json_object("props", "$.k").cast("long") % 5).alias("word"), F.col("event_id").alias("seq"), (F.col("event_id") % 6).alias("quality"))
-q("str16_sm2_stream", lambda s, d: T.latest(T.run_to_table(T.sm2_stream(_rev(s, d)), "update"), "book", "word").select("book", "word", "reviews", F.col("repetitions").cast("long").alias("repetitions")), f"WITH {REVIEWS_SQL}, b AS (SELECT *, max(CASE WHEN quality < 3 THEN seq END) OVER (PARTITION BY book, word) AS bad FROM reviews) SELECT book, word, count(*) AS reviews, count(*) FILTER (bad IS NULL OR seq > bad) AS repetitions FROM b GROUP BY ALL")
+q("str16_sm2_stream", lambda s, d: T.sm2_cards(_rev(s, d)).select("book", "word", "reviews", F.col("repetitions").cast("long").alias("repetitions")), f"WITH {REVIEWS_SQL}, b AS (SELECT *, max(CASE WHEN quality < 3 THEN seq END) OVER (PARTITION BY book, word) AS bad FROM reviews) SELECT book, word, count(*) AS reviews, count(*) FILTER (bad IS NULL OR seq > bad) AS repetitions FROM b GROUP BY ALL")
 _trm = lambda s, d: T.table_stream(s, d, "lineitem").select((F.col("l_orderkey") % 200).alias("task"), F.concat(F.lit("term"), F.col("l_partkey") % 50).alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("T"), F.col("l_suppkey") % 4).alias("translation"))
 q("win03_first_seen_stream", lambda s, d: T.run_to_table(T.first_seen_stream(_trm(s, d))).groupBy("task", "key").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("n")), "WITH t AS (SELECT l_orderkey % 200 AS task, 'term' || l_partkey % 50 AS key, l_orderkey * 10 + l_linenumber AS seq, 'T' || l_suppkey % 4 AS tr FROM lineitem) SELECT task, key, arg_min(tr, struct_pack(a := seq, b := tr)) AS anchor, count(*) AS n FROM t GROUP BY ALL")
 q("str08_rebuilt_checkpoint", lambda s, d: C.best_candidate(reviews(s, d).select(F.col("book").alias("task"), F.col("quality").alias("translated"), F.lit(True).alias("exact"), F.col("seq").alias("writes"), "ts"), "task").select("task", "translated", "writes"), f"WITH {REVIEWS_SQL} SELECT book AS task, quality AS translated, seq AS writes FROM reviews QUALIFY row_number() OVER (PARTITION BY book ORDER BY quality DESC, seq DESC, ts DESC) = 1")

@@ -1,6 +1,7 @@
 """Structured Streaming forms of the stateful operators.
 
-State is kept by key in the state store; a batch run over the same rows in order gives the same result.
+State is kept by key, in the state store or in a table that each wave rewrites; a batch run over the same rows in
+order gives the same result.
 Output and checkpoints go to a folder that all executors share: ``spark.checkpoint.dir``, or the
 warehouse where that is unset.
 """
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.vocab import EASE, LEAST_EASE, RELEARN
+from quire.operators.vocab import EASE, sm2_step
 
 SM2 = "book long, word string, reviews long, repetitions int, interval float, ease float"
 FIRST = "task long, key string, seq long, translation string, anchor string"
@@ -30,10 +31,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int = 1) -> DataFrame:
-    """A table's Parquet files as a stream."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, bytes_a_batch: int = 1 << 26) -> DataFrame:
+    """A table's Parquet files as a stream; a batch has a file at least."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", True).parquet(f"{sf_dir}/{name}.parquet*")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_a_batch).option("recursiveFileLookup", True).parquet(f"{sf_dir}/{name}.parquet*")
 
 
 def event_log_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -41,19 +42,11 @@ def event_log_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame) -> DataFrame:
     """Runs over what is there and returns the output."""
     spark = stream.sparkSession
     path = shared_folder(spark)
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append").start()
-    else:  # the last version of every batch's rows
-
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")
-
-        query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode(mode).start()
-    query.awaitTermination()
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
@@ -64,30 +57,27 @@ def micro_batches(stream: DataFrame, flush: Callable[[DataFrame, int], None], se
     return stream.writeStream.foreachBatch(flush).option("checkpointLocation", path).trigger(processingTime=f"{seconds} seconds").start()
 
 
-def sm2_stream(reviews: DataFrame) -> DataFrame:
-    """The schedule of each card whenever new reviews of it arrive. reviews: (book, word, seq, quality)."""
+def sm2_cards(reviews: DataFrame) -> DataFrame:
+    """The schedule of each card after all reviews that a stream has. reviews: (book, word, seq, quality).
+    A wave's reviews are folded onto the schedules before it, which are one row a card, without Python.
+    Two folders take turns, so a wave that is repeated finds the schedules before it whole."""
+    spark = reviews.sparkSession
+    path, key, done = shared_folder(spark), ["book", "word"], []
+    schedule = ["reviews", "repetitions", "interval", "ease"]
+    folder = lambda number: f"{path}/cards{number % 2}"
 
-    def update(key: tuple, batches: Iterator, state) -> Iterator:
-        import numpy as np
-        import pandas as pd
+    def fold(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.schema(SM2).parquet(folder(number - 1)) if number else batch.sparkSession.createDataFrame([], SM2)
+        rows = batch.select(*key, F.struct("seq", "quality").alias("r")).unionByName(before.select(*key, F.struct(*schedule).alias("s")), allowMissingColumns=True)
+        cards = rows.groupBy(*key).agg(F.array_sort(F.collect_list("r")).alias("h"), F.first("s", ignorenulls=True).alias("s"))
+        start = F.coalesce(F.col("s"), F.struct(F.lit(0).cast("long").alias("reviews"), F.lit(0).alias("repetitions"), F.lit(0.0).cast("float").alias("interval"), F.lit(EASE).cast("float").alias("ease")))
+        first = F.struct(*[start[c].alias(c) for c in schedule[1:]])
+        last = F.aggregate("h", first, lambda a, r: sm2_step(a["repetitions"], a["interval"], a["ease"], r["quality"]))
+        cards.select(*key, (start["reviews"] + F.size("h")).alias("reviews"), last.alias("l")).select(*key, "reviews", "l.*").write.mode("overwrite").parquet(folder(number))
+        done.append(number)
 
-        f = np.float32
-        n, reps, days, ease = state.get if state.exists else (0, 0, 0.0, EASE)
-        days, ease = f(days), f(ease)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for quality in rows["quality"].clip(upper=5).astype(int):
-            if quality < 3:
-                reps, days = 0, f(RELEARN)
-            else:
-                reps += 1
-                days = f(1) if reps == 1 else f(6) if reps == 2 else max(f(days * ease), f(1))
-            miss = f(5 - quality)
-            ease = max(f(ease + f(f(0.1) - f(miss * f(f(0.08) + f(miss * f(0.02)))))), f(LEAST_EASE))
-            n += 1
-        state.update((int(n), int(reps), float(days), float(ease)))
-        yield pd.DataFrame({"book": [key[0]], "word": [key[1]], "reviews": [n], "repetitions": [reps], "interval": [days], "ease": [ease]})
-
-    return reviews.groupBy("book", "word").applyInPandasWithState(update, SM2, "reviews long, repetitions int, interval float, ease float", "update", "NoTimeout")
+    reviews.writeStream.foreachBatch(fold).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(SM2).parquet(folder(done[-1])) if done else spark.createDataFrame([], SM2)
 
 
 def first_seen_stream(terms: DataFrame) -> DataFrame:
@@ -102,9 +92,3 @@ def first_seen_stream(terms: DataFrame) -> DataFrame:
         yield rows.assign(anchor=anchor)[["task", "key", "seq", "translation", "anchor"]]
 
     return terms.groupBy("task", "key").applyInPandasWithState(update, FIRST, "anchor string", "append", "NoTimeout")
-
-
-def latest(rows: DataFrame, *key: str) -> DataFrame:
-    """The last batch's row of each key."""
-    cols = [c for c in rows.columns if c not in (*key, "batch")]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select(*key, "r.*")

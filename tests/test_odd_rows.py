@@ -2,10 +2,13 @@
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quire import registry
 from quire.functions import fuzzy as Z
+from quire.operators import vocab as V
 from quire.sources import books as B
+from quire.streaming import state as T
 
 
 def both(spark, folder, name, **tables):
@@ -62,3 +65,15 @@ def test_files_of_an_archive_leave_in_portions():
     rows = lambda path, content: ({"path": path, "name": str(k), "content": bytes(B.SENT // 4)} for k in range(10))
     sent = [(b.num_rows, b.nbytes) for b in B.of_each(Frame(), "path string, name string, content binary", rows)([batch, batch])]
     assert sum(n for n, _ in sent) == 100 and max(size for _, size in sent) < 2 * B.SENT
+
+
+def test_reviews_of_several_waves_are_folded_onto_the_cards(spark, tmp_path):
+    rows = [((None, 1, 2)[i % 3], f"w{i % 7}", i, i * i * 5 % 7) for i in range(400)]
+    kind = "book long, word string, seq long, quality long"
+    for k in range(4):
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/reviews.parquet")
+    cards = T.sm2_cards(T.table_stream(spark, str(tmp_path), "reviews", bytes_a_batch=1))
+    whole = V.sm2_history(spark.createDataFrame(rows, kind).withColumn("ts", F.lit("2024-01-01")), "book", "word")
+    get = lambda df: sorted(map(str, df.select("book", "word", "reviews", "repetitions", "interval", "ease").collect()))
+    assert get(cards) == get(whole) and len(get(cards)) == 21
+    assert "Python" not in cards._jdf.queryExecution().toString()
