@@ -185,6 +185,16 @@ def delta_terms(terms: DataFrame, chunks: DataFrame, *by: str) -> DataFrame:
     return a.join(b, cond).select(*[F.col(f"c.{x}") for x in by], "idx", "seq", "source")
 
 
+def first_delta_terms(terms: DataFrame, chunks: DataFrame, *by: str) -> DataFrame:
+    """Of ``delta_terms`` the first of each source (ASCII case ignored) for each chunk. Between two neighbouring times
+    at which chunks began to take terms, only the first place of a source in a chunk can be one, so terms are
+    reduced to those before they meet the chunks."""
+    times = chunks.groupBy(*by).agg(F.collect_set(F.greatest("started", "patched")).alias("_times"))
+    rows = terms.join(times, list(by)).withColumn("_span", F.size(F.filter("_times", lambda x: x < F.col("seq"))))
+    rows = rows.groupBy(*by, "chunk", "source", "_span").agg(F.min("seq").alias("seq"))
+    return first_per(delta_terms(rows, chunks, *by), ascii_lower(F.col("source")), ["seq", "source"], *by, "idx")
+
+
 def carried_over(chunks: DataFrame, new: DataFrame, *by: str) -> DataFrame:
     """Translations for new chunks whose source an old chunk had, word for word; the first such."""
     known = chunks.filter("translated IS NOT NULL").groupBy(*by, "source").agg(F.min_by("translated", "idx").alias("translated"))

@@ -126,7 +126,7 @@ q("jn09_strict_hits", lambda s, d: G.mentioned(tl(s, d), chunks(s, d), "task").w
 q("jn12_terminology", lambda s, d: G.mentioned(tl(s, d), chunks(s, d), "task").join(chunks(s, d), ["task", "idx"]).filter(~F.contains(F.lower("translated"), F.col("term"))).select("task", "idx", "term"), f"WITH {CHUNKS_SQL}, t AS (SELECT * FROM {values_sql([(t,) for t in _tl], 'term')}) SELECT task, idx, term FROM chunks, t WHERE regexp_matches(' ' || source || ' ', '[^A-Za-z0-9_-]' || term || '[^A-Za-z0-9_-]') AND NOT contains(lower(translated), term)")
 q("agg02_whole_counts", lambda s, d: G.whole_counts(tl(s, d).withColumn("target", F.concat("term", F.lit("s"))), chunks(s, d), "task").select("task", "term", "in_source"), f"WITH {CHUNKS_SQL}, t AS (SELECT * FROM {values_sql([(t,) for t in _tl], 'term')}), x AS (SELECT task, term, sum((length(source) - length(replace(source, term, ''))) // length(term)) AS a, sum(coalesce((length(translated) - length(replace(translated, term || 's', ''))) // (length(term) + 1), 0)) AS b FROM chunks, t GROUP BY task, term) SELECT task, term, CAST(a AS BIGINT) AS in_source FROM x WHERE a > 0 AND b = 0")
 q("jn10_delta_terms", lambda s, d: G.delta_terms(terms(s, d).select("task", F.col("pos").alias("seq"), "chunk", "source"), terms(s, d).select("task", F.col("chunk").alias("idx")).distinct().withColumns({"started": F.col("idx") * 1000, "patched": F.col("task") * 40}), "task").groupBy("task", "idx").agg(F.count(F.lit(1)).alias("terms"), F.min("seq").alias("first")), f"WITH {TERMS_SQL}, c AS (SELECT DISTINCT task, chunk AS idx, chunk * 1000 AS started, task * 40 AS patched FROM terms) SELECT c.task, idx, count(*) AS terms, min(pos) AS first FROM terms t JOIN c ON t.task = c.task AND t.chunk <> c.idx AND pos > greatest(started, patched) GROUP BY ALL")
-q("jn11_frozen_index", lambda s, d: G.first_per(G.delta_terms(terms(s, d).select("task", F.col("pos").alias("seq"), "chunk", "source"), terms(s, d).select("task", F.col("chunk").alias("idx")).distinct().withColumns({"started": F.col("idx") * 1000, "patched": F.lit(0)}), "task"), X.ascii_lower(F.col("source")), ["seq", "source"], "task", "idx"), f"WITH {TERMS_SQL}, c AS (SELECT DISTINCT task, chunk AS idx, chunk * 1000 AS started FROM terms) SELECT c.task, idx, pos AS seq, source FROM terms t JOIN c ON t.task = c.task AND t.chunk <> c.idx AND pos > started QUALIFY row_number() OVER (PARTITION BY c.task, idx, lower(source) ORDER BY pos, source) = 1")
+q("jn11_frozen_index", lambda s, d: G.first_delta_terms(terms(s, d).select("task", F.col("pos").alias("seq"), "chunk", "source"), terms(s, d).select("task", F.col("chunk").alias("idx")).distinct().withColumns({"started": F.col("idx") * 1000, "patched": F.lit(0)}), "task"), f"WITH {TERMS_SQL}, c AS (SELECT DISTINCT task, chunk AS idx, chunk * 1000 AS started FROM terms) SELECT c.task, idx, pos AS seq, source FROM terms t JOIN c ON t.task = c.task AND t.chunk <> c.idx AND pos > started QUALIFY row_number() OVER (PARTITION BY c.task, idx, lower(source) ORDER BY pos, source) = 1")
 q("jn14_resource_hints", lambda s, d: G.first_per(hints(s, d).filter("target IS NOT NULL"), X.term_key(F.col("source")), ["id"], "task").select("task", "id", "source", "target"), f"WITH {HINTS_SQL} SELECT task, id, source, target FROM hints WHERE target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task, lower(regexp_replace(source, '[^A-Za-z0-9]', '', 'g')) ORDER BY id) = 1")
 q("flt12_hint_applies", lambda s, d: hints(s, d).select("task", "id", (F.when(F.col("target").isNotNull(), F.contains("source", F.lit("ring"))).when(F.col("n_chunks") == 0, F.col("first_chunk") == 3).otherwise(F.array_contains(F.sequence(F.col("first_chunk"), F.col("first_chunk") + F.col("n_chunks") - 1), F.lit(3).cast("long")))).alias("applies")), f"WITH {HINTS_SQL} SELECT task, id, CASE WHEN target IS NOT NULL THEN contains(source, 'ring') WHEN n_chunks = 0 THEN first_chunk = 3 ELSE 3 BETWEEN first_chunk AND first_chunk + n_chunks - 1 END AS applies FROM hints")
 q("jn23_carried_over", lambda s, d: G.carried_over(chunks(s, d), chunks(s, d).filter("idx % 2 = 0").select("task", (F.col("idx") + 10).alias("new_idx"), "source"), "task").select("task", "new_idx", "translated"), f"WITH {CHUNKS_SQL}, k AS (SELECT task, source, arg_min(translated, idx) AS translated FROM chunks WHERE translated IS NOT NULL GROUP BY 1, 2) SELECT n.task, n.idx + 10 AS new_idx, k.translated FROM chunks n LEFT JOIN k ON k.task = n.task AND k.source = n.source WHERE n.idx % 2 = 0")

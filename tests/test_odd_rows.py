@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quire import registry
 from quire.functions import fuzzy as Z
+from quire.functions import text as X
+from quire.operators import glossary as GL
 from quire.operators import vocab as V
 from quire.sources import books as B
 from quire.streaming import state as T
@@ -77,3 +79,12 @@ def test_reviews_of_several_waves_are_folded_onto_the_cards(spark, tmp_path):
     get = lambda df: sorted(map(str, df.select("book", "word", "reviews", "repetitions", "interval", "ease").collect()))
     assert get(cards) == get(whole) and len(get(cards)) == 21
     assert "Python" not in cards._jdf.queryExecution().toString()
+
+
+def test_first_delta_terms_are_those_of_all_delta_terms(spark):
+    rows = [(i % 3, i * 7 % 60, i % 4, f"{'Tt'[i % 2]}erm {i % 5}") for i in range(300)] + [(9, 1, 1, "x")]
+    terms = spark.createDataFrame(rows, "task int, seq int, chunk int, source string")
+    chunks = spark.createDataFrame([(t, c, 13 * c, 10 * (t % 2)) for t in range(4) for c in range(5)], "task int, idx int, started int, patched int")
+    first = GL.first_delta_terms(terms, chunks, "task")
+    want = GL.first_per(GL.delta_terms(terms, chunks, "task"), X.ascii_lower(F.col("source")), ["seq", "source"], "task", "idx")
+    assert sorted(first.select(*want.columns).collect()) == sorted(want.collect()) and want.count() > 20
