@@ -180,16 +180,16 @@ def running_titles(chunks: DataFrame, *by: str, least: int = 3) -> DataFrame:
 def clusters(items: DataFrame) -> DataFrame:
     """(id, cluster): items that share a part, directly or through others; the least id names them.
     Labels spread from items to parts and back until nothing changes, so no pairs are formed. Each round is
-    stored, which cuts its lineage."""
+    stored, which cuts its lineage; items are joined by sorting, as a broadcast of them would go through the driver."""
     from quire.streaming.state import shared_folder
 
     spark = items.sparkSession
     held = items.select("id", F.explode("parts").alias("part")).distinct()
     label = items.select("id", F.col("id").alias("cluster"))
     while True:
-        by_part = held.join(label, "id").groupBy("part").agg(F.min("cluster").alias("c"))
-        new = held.join(by_part, "part").groupBy("id").agg(F.min("c").alias("c"))
-        step, path = label.join(new, "id", "left").select("id", F.coalesce("c", "cluster").alias("new"), "cluster"), shared_folder(spark)
+        by_part = held.join(label.hint("merge"), "id").groupBy("part").agg(F.min("cluster").alias("c"))
+        new = held.join(by_part.hint("merge"), "part").groupBy("id").agg(F.min("c").alias("c"))
+        step, path = label.hint("merge").join(new.hint("merge"), "id", "left").select("id", F.coalesce("c", "cluster").alias("new"), "cluster"), shared_folder(spark)
         step.write.parquet(path)
         step = spark.read.schema(step.schema).parquet(path)
         label = step.select("id", F.col("new").alias("cluster"))

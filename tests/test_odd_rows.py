@@ -2,11 +2,13 @@
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from quire import registry
 from quire.functions import fuzzy as Z
 from quire.functions import text as X
+from quire.operators import align as A
 from quire.operators import glossary as GL
 from quire.operators import vocab as V
 from quire.sources import books as B
@@ -88,3 +90,12 @@ def test_first_delta_terms_are_those_of_all_delta_terms(spark):
     first = GL.first_delta_terms(terms, chunks, "task")
     want = GL.first_per(GL.delta_terms(terms, chunks, "task"), X.ascii_lower(F.col("source")), ["seq", "source"], "task", "idx")
     assert sorted(first.select(*want.columns).collect()) == sorted(want.collect()) and want.count() > 20
+
+
+def test_clusters_send_no_items_through_the_driver(spark, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, *a, **b))
+    items = spark.createDataFrame([(i, [f"p{i}", f"p{i + (i % 5 < 4)}"]) for i in range(40)], "id long, parts array<string>")
+    got = {r.id: r.cluster for r in A.clusters(items).collect()}
+    assert got == {i: i // 5 * 5 for i in range(40)}
+    assert plans and not any("Broadcast" in p for p in plans)
