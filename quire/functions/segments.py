@@ -30,8 +30,7 @@ def marked_blocks(c: Column) -> Column:
 
 def english_words(c: Column) -> Column:
     """Runs of letters, apostrophes and hyphens of 3 or more, then trimmed of the latter two."""
-    runs = F.filter(F.split(c, "[^A-Za-z'-]+"), lambda w: F.length(w) >= 3)
-    return F.filter(F.transform(runs, lambda w: F.btrim(w, F.lit("'-"))), lambda w: w != "")
+    return F.regexp_extract_all(c, F.lit("(?<![A-Za-z'-])(?=[A-Za-z'-]{3})['-]*+([A-Za-z](?:[A-Za-z'-]*[A-Za-z])?)"), F.lit(1))
 
 
 def ascii_tokens(c: Column) -> Column:

@@ -15,6 +15,8 @@ CJK = "一-鿿"
 WS = r"[\s\u0085   -     　]"
 #: The characters that Unicode classes as spaces.
 SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+#: The characters of ``WS``; trimming looks at the ends only, a pattern at every blank.
+BLANKS = SPACES + "\t\n\x0b\f\r\u0085\u2028\u2029"
 
 # Spelled-out symbols of a term key.
 SYMBOLS = {"+": "plus", "&": "and", "@": "at", "#": "hash", "%": "percent", "=": "equals"}
@@ -83,7 +85,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def trim_spaces(c: Column) -> Column:
@@ -92,11 +94,11 @@ def trim_spaces(c: Column) -> Column:
 
 
 def trim_end(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+$", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def trim_start(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+", "")
+    return F.ltrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.sources.tables import table
@@ -92,9 +92,13 @@ PAIRS_SQL = (
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, pos, word): English words of documents (see ``segments.english_words``)."""
+    return of_documents(table(spark, sf_dir, "documents"))
+
+
+def of_documents(docs: DataFrame) -> DataFrame:
     from quire.functions.segments import english_words
 
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(english_words(F.coalesce("text", F.lit("")))).alias("pos", "word"))
+    return docs.select("doc_id", "lang", F.posexplode(english_words(F.coalesce("text", F.lit("")))).alias("pos", "word"))
 
 
 TOKENS_SQL = (
@@ -103,20 +107,21 @@ TOKENS_SQL = (
 )
 
 
-def staged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tokens as a stored table, for queries that read them several times."""
+def staged_tokens(spark: SparkSession, sf_dir: str, *by: str, **more: Column) -> DataFrame:
+    """(*by, word, n, *more): tokens in lower case, summed up and stored, for queries that read them several times."""
     from quire.streaming.state import shared_folder
 
-    path, rows = shared_folder(spark), tokens(spark, sf_dir)
+    path, rows = shared_folder(spark), tokens(spark, sf_dir).groupBy(*by, F.lower("word").alias("word"))
+    rows = rows.agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in more.items()])
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
 def vocabulary(spark: SparkSession, sf_dir: str, tok: DataFrame | None = None) -> DataFrame:
-    """(word, n): distinct lower-case words and their numbers."""
-    from quire.functions.text import ascii_lower
-
-    return (tok or tokens(spark, sf_dir)).groupBy(ascii_lower(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    """(word, n): distinct lower-case words and their numbers; of ``tok``, if that is staged."""
+    if tok is not None:
+        return tok.groupBy("word").agg(F.sum("n").alias("n"))
+    return tokens(spark, sf_dir).groupBy(F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))  # they are ASCII
 
 
 def dictionary(spark: SparkSession, sf_dir: str, tok: DataFrame | None = None) -> DataFrame:

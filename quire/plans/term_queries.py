@@ -19,7 +19,7 @@ from quire.sources.tables import table
 
 from . import duck as D
 from .metric_queries import TOC_SQL, TTOC_SQL, toc, translated_toc
-from .standins import BOOKS_SQL, CHUNKS_SQL, DICT_SQL, HINTS_SQL, LOG_SQL, NOW, PAIRS_SQL, REVIEWS_SQL, TERMS_SQL, books, chunks, dictionary, event_log, fixture, hints, pairs, reviews, staged_tokens, terms, tokens, vocabulary, values_sql
+from .standins import BOOKS_SQL, CHUNKS_SQL, DICT_SQL, HINTS_SQL, LOG_SQL, NOW, PAIRS_SQL, REVIEWS_SQL, TERMS_SQL, books, chunks, dictionary, event_log, fixture, hints, pairs, reviews, of_documents, staged_tokens, terms, tokens, vocabulary, values_sql
 from .text_queries import LEMMA_SQL
 
 
@@ -40,7 +40,7 @@ marks = lambda s, d, cond, tok=None: vocabulary(s, d, tok).filter(cond).select("
 
 def difficult(s: SparkSession, d: str) -> DataFrame:
     """Words above level 6 of each language, without mastered ones, with those being learned."""
-    tok = staged_tokens(s, d)
+    tok = staged_tokens(s, d, "lang")
     out = V.difficult_words(tok, small_dictionary(s, d, tok), 6, marks(s, d, MASTERED, tok), marks(s, d, LEARNING, tok), "lang")
     return out.withColumn("rank", F.col("rank").cast("long"))
 
@@ -52,14 +52,27 @@ q("jn03_lemma_lookup", lambda s, d: V.lemma_lookup(marks(s, d, "true"), small_di
 
 def annotated(s: SparkSession, d: str) -> DataFrame:
     """Words to annotate of each document, counted."""
-    tok = staged_tokens(s, d)
-    out = V.annotate(tok, small_dictionary(s, d, tok), 6, marks(s, d, MASTERED, tok), marks(s, d, LEARNING, tok), "doc_id", "pos")
-    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("learning").alias("learning"), F.count_if(F.col("surface") != "").alias("inflected"))
+    tok = staged_tokens(s, d, "doc_id")
+    out = V.annotate(tok, small_dictionary(s, d, tok), 6, marks(s, d, MASTERED, tok), marks(s, d, LEARNING, tok), "doc_id", "n")
+    times = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    return out.groupBy("doc_id").agg(F.sum("n").alias("n"), times(F.col("learning")).alias("learning"), times(F.col("surface") != "").alias("inflected"))
+
+
+def info(s: SparkSession, d: str) -> DataFrame:
+    """The dictionary's entries of English words, by first place."""
+    tok = staged_tokens(s, d, pos=F.min(F.when(F.col("lang") == "en", F.col("doc_id") * 100_000 + F.col("pos"))))
+    return V.word_info(tok.filter("pos IS NOT NULL").select("word", "pos"), small_dictionary(s, d, tok)).withColumn("rank", F.col("rank").cast("long"))
+
+
+def seeds(s: SparkSession, d: str) -> DataFrame:
+    """Words of each language that are not mastered, with their first document."""
+    tok = staged_tokens(s, d, "lang", first_doc=F.min("doc_id"))
+    return tok.select("lang", "word", "first_doc").join(marks(s, d, MASTERED, tok), "word", "left_anti")
 
 
 q("jn02_annotate", annotated, f"WITH {DIC}, {ANN} SELECT doc_id, count(*) AS n, count(*) FILTER (learning) AS learning, count(*) FILTER (lemma <> w) AS inflected FROM kept WHERE learning OR rank > 6 GROUP BY doc_id")
-q("jn05_word_info", lambda s, d: V.word_info(words_of(s, d).filter("lang = 'en'").select("word", (F.col("doc_id") * 100_000 + F.col("pos")).alias("pos")), small_dictionary(s, d)).withColumn("rank", F.col("rank").cast("long")), f"WITH {DIC}, o AS (SELECT {D.low('word')} AS w, min(doc_id * 100000 + pos) AS pos FROM tok WHERE lang = 'en' GROUP BY 1) SELECT pos, entry AS word, CAST(rank AS BIGINT) AS rank FROM o JOIN found ON found.word = w")
-q("chk25_lookup_tokens", lambda s, d: words_of(s, d).withColumn("w", X.ascii_lower(F.col("word"))).filter(F.length("w") >= 3).groupBy("doc_id", "w").agg(F.min("pos").alias("pos")).withColumn("learning", F.length("w") % 11 == 0).withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY NOT learning, pos)")).filter("learning OR place <= 200").select("doc_id", "w", "learning"), f"WITH {DICT_SQL}, a AS (SELECT doc_id, {D.low('word')} AS w, min(pos) AS pos FROM tok WHERE length(word) >= 3 GROUP BY 1, 2), b AS (SELECT *, length(w) % 11 = 0 AS learning, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) % 11 <> 0, pos) AS place FROM a) SELECT doc_id, w, learning FROM b WHERE learning OR place <= 200")
+q("jn05_word_info", info, f"WITH {DIC}, o AS (SELECT {D.low('word')} AS w, min(doc_id * 100000 + pos) AS pos FROM tok WHERE lang = 'en' GROUP BY 1) SELECT pos, entry AS word, CAST(rank AS BIGINT) AS rank FROM o JOIN found ON found.word = w")
+q("chk25_lookup_tokens", lambda s, d: of_documents(table(s, d, "documents").repartition("doc_id")).withColumn("w", F.lower("word")).filter(F.length("w") >= 3).groupBy("doc_id", "w").agg(F.min("pos").alias("pos")).withColumn("learning", F.length("w") % 11 == 0).withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY NOT learning, pos)")).filter("learning OR place <= 200").select("doc_id", "w", "learning"), f"WITH {DICT_SQL}, a AS (SELECT doc_id, {D.low('word')} AS w, min(pos) AS pos FROM tok WHERE length(word) >= 3 GROUP BY 1, 2), b AS (SELECT *, length(w) % 11 = 0 AS learning, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) % 11 <> 0, pos) AS place FROM a) SELECT doc_id, w, learning FROM b WHERE learning OR place <= 200")
 _vw = ["run", "well-known", "it's", "a b", "", "3d", "x" * 33, " pad ", "'tis", "été"]
 q("flt11_valid_word", lambda s, d: fixture(s, [(w,) for w in _vw], "w string").union(table(s, d, "part").select("p_name")).select("w", V.valid_word(F.col("w")).alias("valid")), f"SELECT w, regexp_full_match(trim(w), '[A-Za-z][A-Za-z''-]{{0,31}}') AS valid FROM (SELECT * FROM {values_sql([(w,) for w in _vw], 'w')} UNION ALL SELECT p_name FROM part)")
 
@@ -85,7 +98,7 @@ _up = lambda s, d: reviews(s, d).filter("quality = 5").groupBy("book", F.concat(
 q("set07_upsert_cards", lambda s, d: V.upsert_cards(_cc(s, d), _up(s, d)), f"WITH {CARDS_SQL}, u AS (SELECT DISTINCT book, word || CASE WHEN seq % 3 = 0 THEN 'x' ELSE '' END AS word FROM reviews WHERE quality = 5) SELECT book, word, CASE WHEN u.word IS NOT NULL THEN 'new' ELSE 'old' END AS context, CASE WHEN c.n IS NOT NULL THEN 'ch1' ELSE '' END AS chapter, coalesce(CAST(n AS INT), 0) AS repetitions FROM cards c FULL JOIN u USING (book, word)")
 q("set08_upsert_marks", lambda s, d: V.upsert_marks(cards(s, d).select("book", "word", F.lit("learning").alias("status"), F.lit("old").alias("context"), F.concat(F.lit("d"), "n").alias("custom")), _up(s, d).select("book", "word", F.lit("mastered").alias("status"), "context")), f"WITH {CARDS_SQL}, u AS (SELECT DISTINCT book, word || CASE WHEN seq % 3 = 0 THEN 'x' ELSE '' END AS word FROM reviews WHERE quality = 5) SELECT book, word, CASE WHEN u.word IS NOT NULL THEN 'mastered' ELSE 'learning' END AS status, CASE WHEN u.word IS NOT NULL THEN 'new' ELSE 'old' END AS context, coalesce('d' || n, '') AS custom FROM cards c FULL JOIN u USING (book, word)")
 q("set09_notebook_add", lambda s, d: V.seed_cards(cards(s, d).filter("n > 5"), _seed(s, d), V.NOTEBOOK), f"WITH {CARDS_SQL}, c AS (SELECT * FROM cards WHERE n > 5) SELECT book, word, 'c' || min(seq) AS context, '1' AS chapter FROM reviews WHERE (book, word) NOT IN (SELECT (book, word) FROM c) GROUP BY book, word")
-q("set15_book_seeds", lambda s, d: tokens(s, d).select("lang", X.ascii_lower(F.col("word")).alias("word"), "doc_id").groupBy("lang", "word").agg(F.min("doc_id").alias("first_doc")).join(marks(s, d, MASTERED), "word", "left_anti"), f"WITH {DICT_SQL} SELECT {D.low('word')} AS word, lang, min(doc_id) AS first_doc FROM tok WHERE length(word) % 7 <> 0 GROUP BY ALL")
+q("set15_book_seeds", seeds, f"WITH {DICT_SQL} SELECT {D.low('word')} AS word, lang, min(doc_id) AS first_doc FROM tok WHERE length(word) % 7 <> 0 GROUP BY ALL")
 q("win15_activities", lambda s, d: V.keep_activities(reviews(s, d), 40).select("book", "seq", F.round("minutes", 6).alias("minutes")), f"WITH {REVIEWS_SQL} SELECT book, seq, round(greatest(0.1, least(1440.0, minutes)), 6) AS minutes FROM reviews QUALIFY row_number() OVER (PARTITION BY book ORDER BY ts DESC, seq DESC) <= 40")
 q("win16_review_log", lambda s, d: V.trim_log(reviews(s, d), NOW, 20).select("book", "seq"), f"WITH {REVIEWS_SQL}, s AS (SELECT book, min(seq) AS start FROM reviews WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY GROUP BY book) SELECT book, seq FROM reviews JOIN s USING (book) WHERE seq >= start")
 q("str16_sm2", lambda s, d: V.sm2_history(reviews(s, d), "book", "word").select("book", "word", "reviews", F.col("repetitions").cast("long").alias("repetitions"), F.round(F.col("interval").cast("double"), 2).alias("interval"), F.round(F.col("ease").cast("double"), 3).alias("ease")))
