@@ -20,7 +20,7 @@ def paragraphs(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences with their end mark, Latin or Chinese; a line end closes one too."""
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit("[^.!?。！？\n]*[.!?。！？\n]|[^.!?。！？\n]+"), F.lit(0)), trim_ws), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit("[^.!?。！？\n]++[.!?。！？\n]?|[.!?。！？\n]"), F.lit(0)), trim_ws), lambda x: x != "")
 
 
 def marked_blocks(c: Column) -> Column:

@@ -111,7 +111,9 @@ def staged_tokens(spark: SparkSession, sf_dir: str, *by: str, **more: Column) ->
     """(*by, word, n, *more): tokens in lower case, summed up and stored, for queries that read them several times."""
     from quire.streaming.state import shared_folder
 
-    path, rows = shared_folder(spark), tokens(spark, sf_dir).groupBy(*by, F.lower("word").alias("word"))
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.repartition("doc_id") if "doc_id" in by else docs  # their words are more than their texts
+    path, rows = shared_folder(spark), of_documents(docs).groupBy(*by, F.lower("word").alias("word"))
     rows = rows.agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in more.items()])
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

@@ -1,5 +1,7 @@
 """Queries against their SQL on rows that the smallest tables do not hold."""
 
+import re
+
 import duckdb
 import pyarrow as pa
 from pyspark.sql import DataFrameWriter
@@ -11,6 +13,7 @@ from quire.functions import text as X
 from quire.operators import align as A
 from quire.operators import glossary as GL
 from quire.operators import vocab as V
+from quire.plans.standins import staged_tokens
 from quire.sources import books as B
 from quire.streaming import state as T
 
@@ -23,7 +26,8 @@ def both(spark, folder, name, **tables):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
     cur = con.execute(registry.oracle_sql()[name])
     cols = [d[0] for d in cur.description]
-    return sorted(tuple(r) for r in registry.queries()[name](spark, str(folder)).select(*cols).collect()), sorted(cur.fetchall())
+    rows = [tuple(r) for r in registry.queries()[name](spark, str(folder)).select(*cols).collect()]
+    return sorted(rows, key=str), sorted(cur.fetchall(), key=str)
 
 
 def test_unique_lines_keep_their_digits(spark, tmp_path):
@@ -99,3 +103,25 @@ def test_clusters_send_no_items_through_the_driver(spark, monkeypatch):
     got = {r.id: r.cluster for r in A.clusters(items).collect()}
     assert got == {i: i // 5 * 5 for i in range(40)}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_words_of_odd_documents(spark, tmp_path):
+    texts = ["'a' -- It's --well-known-- ab 'ab' x-y --- ''' éABC Tess'", "", "Running ran RUNS wolves don't.  Yes!?　 No。a", "Wolf run runs the the The sitting sit sits"] * 2
+    docs = spark.createDataFrame([(i % 7, ("en", "de")[i % 2], t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    for name in ("jn02_annotate", "jn04_difficult_words", "jn05_word_info", "chk25_lookup_tokens", "set15_book_seeds", "chk08_sentences"):
+        got, want = both(spark, tmp_path / name, name, documents=docs)
+        assert list(map(str, got)) == list(map(str, want)), name
+
+
+def test_words_are_not_stored_one_by_one(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "en", "same words again and again " * 50) for i in range(20)], "doc_id long, lang string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert (staged_tokens(spark, str(tmp_path), "lang").count(), staged_tokens(spark, str(tmp_path), "doc_id").count()) == (4, 80)
+    plan = registry.queries()["chk25_lookup_tokens"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == plan.count("hashpartitioning(doc_id") == 1
+
+
+def test_trims_take_all_blanks(spark):
+    blank = [chr(c) for c in range(1, 0x3100) if re.match(X.WS, chr(c), re.ASCII)]
+    df = spark.createDataFrame([(f"{b}a{b}b{b}{b}",) for b in blank], "t string").select(X.trim_ws(F.col("t")), X.trim_start(F.col("t")), X.trim_end(F.col("t")))
+    assert sorted(map(tuple, df.collect())) == sorted((f"a{b}b", f"a{b}b{b}{b}", f"{b}a{b}b") for b in blank) and set(blank) == set(X.BLANKS)
